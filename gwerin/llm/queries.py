@@ -1,0 +1,39 @@
+"""The pN_ queries of this package, over the whole of their tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gwerin.llm import nearest, runs, textform
+from gwerin.session import table
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [
+        textform.changed_rows(table(spark, sf_dir, tab), key, text).select(F.lit(tab).alias("tab"), "row_id")
+        for tab, key, text in (("words", "word_id", "word"), ("captions", "caption_id", "segment_text"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = None
+    for tab, key in (("segments", "segment_id"), ("captions", "caption_id")):
+        one = table(spark, sf_dir, tab).select(F.lit(tab).alias("tab"), "video_url", F.col(key).alias("row_id"), "segment_start", "segment_end", "segment_text")
+        rows = one if rows is None else rows.unionByName(one)
+    found = runs.collapse_runs(rows, ["tab", "video_url"], "segment_start", "segment_end", "segment_text", "row_id")
+    return found.where("run_rows >= 2").select("tab", "first_id", "run_rows")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captions = table(spark, sf_dir, "captions").select("caption_id", "video_url", "segment_start")
+    words = table(spark, sf_dir, "words").select("video_url", "word_end", "word_id")
+    found = nearest.nearest_match(captions, words, "video_url", "segment_start", "word_end", "word_id", tolerance=0.2)
+    return found.where("word_id is not null").select("caption_id", "word_id")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, f in globals().items() if k.startswith("p") and k.split("_")[0][1:].isdigit() and callable(f)}
