@@ -48,18 +48,16 @@ def nearest_match(left: DataFrame, right: DataFrame, entity: str, left_time: str
     for width in rings(tolerance, first_ring or tolerance / 4):
         open_ = F.col("_best").isNull() | (F.col("_best.d") > settled)
         own = F.floor(F.col("_t") / width)
-        # what is settled takes no part: its bucket is one that no right row can have
-        buckets = F.when(open_, F.array(own - 1, own, own + 1)).otherwise(F.array(F.lit(None).cast("long")))
-        asked = probe.select("_e", "_t", "_best", F.explode(buckets).alias("_b"))
-        waiting = asked.where("_b is null").drop("_b")
-        found = (
-            asked.where("_b is not null")
-            .join(near.withColumn("_b", F.floor(F.col("_rt") / width)), ["_e", "_b"], "left")
-            .withColumn("d", F.abs(F.col("_rt") - F.col("_t")))
-            .withColumn("_new", F.when(F.col("d") <= top, F.struct("d", "_rt", "_rid")))
-            .select("_e", "_t", F.least("_best", "_new").alias("_best"))
+        # what is settled takes no part: it gets a spread bucket far from any time
+        parked = F.array(F.lit(-(1 << 62)) - F.pmod(F.xxhash64("_e", "_t"), F.lit(1 << 40)))
+        asked = probe.select("_e", "_t", "_best", F.explode(F.when(open_, F.array(own - 1, own, own + 1)).otherwise(parked)).alias("_b"))
+        distance = F.abs(F.col("_rt") - F.col("_t"))
+        new = F.when(distance <= top, F.struct(distance.alias("d"), "_rt", "_rid"))
+        probe = (
+            asked.join(near.withColumn("_b", F.floor(F.col("_rt") / width)), ["_e", "_b"], "left")
+            .groupBy("_e", "_t")
+            .agg(F.min(F.least("_best", new)).alias("_best"))
         )
-        probe = waiting.unionByName(found).groupBy("_e", "_t").agg(F.min("_best").alias("_best"))
         settled = width
     best = probe.where("_best is not null").select(F.col("_e").alias("_me"), F.col("_t").alias("_mt"), F.col("_best._rid").alias(right_id), (F.col("_best.d") / MICRO).alias("distance"))
     return left.join(best, (left[entity] == best["_me"]) & (left["_t"] == best["_mt"]), "left").drop("_t", "_me", "_mt")

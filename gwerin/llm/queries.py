@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gwerin.llm import nearest, runs, textform
+from gwerin.llm import bpe, langid, nearest, runs, textform
 from gwerin.session import table
 
 
@@ -35,5 +35,37 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("word_id is not null").select("caption_id", "word_id")
 
 
+def _language_model(spark: SparkSession, sf_dir: str) -> langid.Model:
+    """Machines fitted on a bounded sample of labelled document lines and the word list."""
+    sample = langid.sample_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "text", "lang", "doc_id")
+    return langid.fit(sample + langid.listed_words(table(spark, sf_dir, "known_words")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _language_model(spark, sf_dir)
+    unit = lambda name, key, part="0", lang="lang": [F.lit(name).alias("unit"), F.col(key).cast("long").alias("unit_id"), F.expr(part).cast("long").alias("part_no"), F.col(lang).alias("lang")]
+
+    docs = langid.label_documents(table(spark, sf_dir, "documents"), model, "doc_id", "text", "lang").where("lang is not null")
+    cases = docs.select("doc_id", "lang", F.coalesce(langid.base_code(F.col("label")) != F.col("lang"), F.lit(True)).alias("wrong"), F.filter("lines", lambda x: x["lang"] != F.col("lang")).alias("others"))
+    whole = F.when(F.col("wrong"), F.array(F.struct(F.lit("document").alias("unit"), F.lit(0).cast("long").alias("part_no"), F.col("lang").alias("lang"))))
+    lines = F.transform("others", lambda x: F.struct(F.lit("line").alias("unit"), x["part_no"].alias("part_no"), x["lang"].alias("lang")))
+    documents = cases.select("doc_id", F.explode(F.concat(F.coalesce(whole, F.array().cast("array<struct<unit:string,part_no:bigint,lang:string>>")), lines)).alias("c"))
+    documents = documents.select(F.col("c.unit").alias("unit"), F.col("doc_id").alias("unit_id"), F.col("c.part_no").alias("part_no"), F.col("c.lang").alias("lang"))
+
+    segments = langid.label_segments(table(spark, sf_dir, "segments"), table(spark, sf_dir, "words"), model, "segment_id", "video_url", "segment_start", "segment_text", "language")
+    segments = segments.where("lang is not null and not (label <=> lang)").select(*unit("segment", "segment_id"))
+
+    key = ["video_url", "timestamp_span", "trigger_word", "following_word"]
+    facts = table(spark, sf_dir, "mutations").select("mutation_id", *key, "is_code_switch").where("following_word is not null").groupBy(*key).agg(F.min_by(F.struct("mutation_id", "is_code_switch"), "mutation_id").alias("f")).select("following_word", "f.*")
+    words = langid.label_words(facts, model, table(spark, sf_dir, "known_words"), "following_word", "is_code_switch")
+    contexts = facts.withColumn("w", F.lower(textform.consistent_form(F.col("following_word")))).join(words, "w")
+    contexts = contexts.where("(lang = 'en' and not (is_code_switch <=> true)) or (lang = 'cy' and is_code_switch <=> true)").select(*unit("context", "mutation_id"))
+    return documents.unionByName(segments).unionByName(contexts)
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", bpe.token_ids(F.col("text")).alias("ids"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k.split("_")[0][1:].isdigit() and callable(f)}
