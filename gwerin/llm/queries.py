@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gwerin.llm import bpe, langid, nearest, runs, textform
+from gwerin.llm import bpe, langid, nearest, runs, textform, turns
 from gwerin.session import table
 
 
@@ -19,6 +19,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = turns.speaker_turns(table(spark, sf_dir, "chat_utterances"), table(spark, sf_dir, "chat_participants"))
+    return found.select("transcript_id", "speaker_code", "first_utterance_id", "turn_lines")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = None
     for tab, key in (("segments", "segment_id"), ("captions", "caption_id")):

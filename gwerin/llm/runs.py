@@ -9,6 +9,8 @@ row per bucket, itself in blocks of buckets.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,13 +26,12 @@ def carry_last(df: DataFrame, entity: str, bucket: str, value: str, out: str, fa
     if levels == 0:
         w = Window.partitionBy(entity).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
-    block = "_block"
+    block = f"_block{levels}"
     df = df.withColumn(block, F.floor(F.col(bucket) / fanout))
     w = Window.partitionBy(entity, block).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     inside = df.withColumn("_inside", F.last(value, ignorenulls=True).over(w))
-    tops = df.where(F.col(value).isNotNull()).groupBy(entity, block).agg(F.max_by(value, bucket).alias("_top"))
-    blocks = df.select(entity, block).distinct().join(tops, [entity, block], "left")
-    above = carry_last(blocks.withColumnRenamed(block, "_b"), entity, "_b", "_top", "_above", fanout, levels - 1).select(entity, F.col("_b").alias(block), "_above")
+    tops = df.groupBy(entity, block).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(bucket))).alias("_top"))
+    above = carry_last(tops, entity, block, "_top", "_above", fanout, levels - 1).select(entity, block, "_above")
     return inside.join(above, [entity, block], "left").withColumn(out, F.coalesce("_inside", "_above")).drop("_inside", "_above", block)
 
 
@@ -41,6 +42,39 @@ def _same(a: Column, b: Column) -> Column:
     return F.coalesce((a == b) | near, F.lit(False))
 
 
+def aggregate_runs(rows: DataFrame, entity: str, bucket: str, order: list[str], payload: list[str], continues: Callable[[Column, Column], Column], first: Column, measures: dict[str, tuple[Column, str]]) -> DataFrame:
+    """Runs of consecutive rows: (entity, first, run_rows, measures).
+
+    Rows are ordered by ``order`` within the entity; ``bucket`` rises with that order and
+    cuts an entity into parts that fit a task. ``continues(row, before)`` says of two
+    structs of the payload whether the row carries on the run of the one directly before.
+    ``first`` is taken from the run's first row; a measure is (column, "min", "max" or "join"),
+    the last joining texts in order.
+    """
+    by = Window.partitionBy(entity, bucket).orderBy(*order)
+    me, load = F.struct(*order), F.struct(*payload)
+    rows = rows.withColumn("_prev", F.lag(load).over(by)).withColumn("_head", F.row_number().over(by) == 1)
+    goes_on = F.coalesce(continues(load, F.col("_prev")), F.lit(False))
+    key = F.struct(me.alias("at"), first.alias("first"))
+    rows = rows.withColumn("_change", F.when(~F.col("_head") & ~goes_on, key))
+
+    # one row per bucket: its first and last row and its last change
+    edge = rows.groupBy(entity, bucket).agg(F.min_by(F.struct(load.alias("load"), key.alias("key")), me).alias("_top"), F.max_by(load, me).alias("_tail"), F.max_by("_change", F.when(F.col("_change").isNotNull(), me)).alias("_last"))
+    edge = carry_last(edge, entity, bucket, "_tail", "_before")
+    opens = ~F.coalesce(continues(F.col("_top.load"), F.col("_before")), F.lit(False))
+    edge = edge.withColumn("_opens", F.when(opens, F.col("_top.key"))).withColumn("_last", F.coalesce("_last", "_opens"))
+    edge = carry_last(edge, entity, bucket, "_last", "_carried").select(entity, bucket, F.coalesce("_opens", "_carried").alias("_enter"))
+
+    run = F.last("_change", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    fold = {"min": F.min, "max": F.max}
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["text"]), " ")
+    some = lambda name, c, how: F.struct(F.min(me).alias("at"), joined(F.struct(me.alias("at"), c.alias("text"))).alias("text")) if how == "join" else fold[how](c)
+    parts = rows.withColumn("_run", run).groupBy(entity, bucket, "_run").agg(F.count(F.lit(1)).alias("run_rows"), *[some(name, c, how).alias(name) for name, (c, how) in measures.items()])
+    runs = parts.join(edge, [entity, bucket]).withColumn("_run", F.coalesce("_run", "_enter"))
+    runs = runs.groupBy(entity, "_run").agg(F.sum("run_rows").alias("run_rows"), *[(joined(name) if how == "join" else fold[how](name)).alias(name) for name, (_, how) in measures.items()])
+    return runs.select(entity, F.col("_run.first").alias("first"), "run_rows", *measures)
+
+
 def collapse_runs(df: DataFrame, entity: list[str], start: str, end: str, text: str, row_id: str, max_gap: float = 30.0, bucket_seconds: float = 300.0) -> DataFrame:
     """One row per run: entity columns, first_id, run_rows, run_start, run_end, duration.
 
@@ -68,31 +102,9 @@ def collapse_runs(df: DataFrame, entity: list[str], start: str, end: str, text:
     before = F.lag(F.struct("_s", "_e", "_null", "_h")).over(same)
     rows = rows.withColumn("_copy", before.eqNullSafe(F.struct("_s", "_e", "_null", "_h"))).where(~F.col("_copy")).drop("_copy")
 
-    order = by.orderBy("_s", "_id")
-    me = F.struct("_s", "_id")
-    rows = rows.withColumn("_prev", F.lag(F.struct("_k", "_e")).over(order)).withColumn("_first", F.row_number().over(order) == 1)
-    follows = lambda prev: _same(F.col("_k"), prev["_k"]) & (F.round(F.col("_s") - prev["_e"], 6) <= max_gap)
-    rows = rows.withColumn("_new", F.when(F.col("_first"), None).otherwise(~F.coalesce(follows(F.col("_prev")), F.lit(False))))
-
-    # one row per bucket: its first and last event and its last change
-    edge = rows.groupBy(e, "_b").agg(
-        F.min_by(F.struct("_k", "_s", "_id"), me).alias("_head"), F.max_by(F.struct("_k", "_e"), me).alias("_tail"), F.max(F.when(F.col("_new"), me)).alias("_change")
-    )
-    edge = carry_last(edge, e, "_b", "_tail", "_before")
-    head_new = ~F.coalesce(_same(F.col("_head._k"), F.col("_before._k")) & (F.round(F.col("_head._s") - F.col("_before._e"), 6) <= max_gap), F.lit(False))
-    head = F.struct(F.col("_head._s").alias("_s"), F.col("_head._id").alias("_id"))
-    edge = edge.withColumn("_opens", F.when(head_new, head)).withColumn("_change", F.coalesce("_change", "_opens"))
-    edge = carry_last(edge, e, "_b", "_change", "_carried").select(e, "_b", F.coalesce("_opens", "_carried").alias("_enter"))
-
-    run = F.last(F.when(F.col("_new"), me), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    parts = rows.withColumn("_run", run).groupBy(e, "_b", "_run").agg(F.count(F.lit(1)).alias("_n"), F.min("_s").alias("_from"), F.max("_e").alias("_to"))
-    runs = (
-        parts.join(edge, [e, "_b"])
-        .withColumn("_run", F.coalesce("_run", "_enter"))
-        .groupBy(e, "_run")
-        .agg(F.sum("_n").alias("run_rows"), F.min("_from").alias("run_start"), F.max("_to").alias("run_end"))
-        .select(e, F.col("_run._id").alias("first_id"), "run_rows", "run_start", "run_end")
-    )
+    goes_on = lambda row, before: _same(row["_k"], before["_k"]) & (F.round(row["_s"] - before["_e"], 6) <= max_gap)
+    runs = aggregate_runs(rows, e, "_b", ["_s", "_id"], ["_k", "_s", "_e"], goes_on, F.col("_id"), {"run_start": (F.col("_s"), "min"), "run_end": (F.col("_e"), "max")})
+    runs = runs.withColumnRenamed("first", "first_id")
     single = alone.select(e, F.col("_id").alias("first_id"), F.lit(1).cast("long").alias("run_rows"), F.col("_s").alias("run_start"), F.col("_e").alias("run_end"))
     every = runs.unionByName(single).withColumn("duration", F.col("run_end") - F.col("run_start"))
     return every.select(*[F.col(f"{e}.{c}").alias(c) for c in entity], "first_id", "run_rows", "run_start", "run_end", "duration")
