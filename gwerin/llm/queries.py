@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gwerin.llm import bpe, langid, nearest, runs, textform, turns
+from gwerin.llm import bpe, langid, nearest, runs, sentences, textform, turns
 from gwerin.session import table
 
 
@@ -72,5 +72,10 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", bpe.token_ids(F.col("text")).alias("ids"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentences.split_sentences(documents, "doc_id", "text").select("doc_id", "sent_start", "sent_end")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k.split("_")[0][1:].isdigit() and callable(f)}
