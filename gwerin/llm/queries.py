@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gwerin.llm import bpe, langid, nearest, runs, sentences, textform, turns
-from gwerin.session import table
+from gwerin.llm import bpe, langid, mixing, nearest, runs, sentences, textform, turns
+from gwerin.session import checkpoint, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,21 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", bpe.token_ids(F.col("text")).alias("ids"))
 
 
+def _document_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    sizes = documents.select("doc_id", "source", F.coalesce(langid.base_code(F.col("lang")), F.lit("und")).alias("lang"), F.col("doc_kind").alias("topic"), bpe.token_count(F.col("text")).alias("tokens"))
+    return checkpoint(sizes)  # five small columns, read several times
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_document_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "doc_id").select("doc_id", "source", "tokens", "copies")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.actual_shares(mixing.mix(_document_sizes(spark, sf_dir), targets, "doc_id"), targets)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentences.split_sentences(documents, "doc_id", "text").select("doc_id", "sent_start", "sent_end")
