@@ -3,7 +3,7 @@
 Method: a lag window compares each event with its predecessor, changes are flagged,
 flags are summed up to run identifiers and the runs are aggregated. To keep a hot
 entity from ending in one task, the windows run over (entity, time bucket); what a
-bucket needs from the buckets before it is carried by ``carry_last`` over one small
+bucket needs from the buckets before it is carried by ``carry_blocks`` over one small
 row per bucket, itself in blocks of buckets.
 """
 
@@ -15,24 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gwerin.llm.textform import text_key
-
-
-def carry_last(df: DataFrame, entity: str, bucket: str, value: str, out: str, fanout: int = 256, levels: int = 1) -> DataFrame:
-    """Last non-null ``value`` of the entity's earlier buckets; one row per (entity, bucket) in and out.
-
-    Windows are over (entity, bucket // fanout), so a task holds at most ``fanout`` rows;
-    blocks pass on one row each to the next level, and only the top level is per entity.
-    """
-    if levels == 0:
-        w = Window.partitionBy(entity).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
-    block = f"_block{levels}"
-    df = df.withColumn(block, F.floor(F.col(bucket) / fanout))
-    w = Window.partitionBy(entity, block).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    inside = df.withColumn("_inside", F.last(value, ignorenulls=True).over(w))
-    tops = df.groupBy(entity, block).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(bucket))).alias("_top"))
-    above = carry_last(tops, entity, block, "_top", "_above", fanout, levels - 1).select(entity, block, "_above")
-    return inside.join(above, [entity, block], "left").withColumn(out, F.coalesce("_inside", "_above")).drop("_inside", "_above", block)
+from gwerin.operators.carry import carry_blocks
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -60,10 +43,10 @@ def aggregate_runs(rows: DataFrame, entity: str, bucket: str, order: list[str],
 
     # one row per bucket: its first and last row and its last change
     edge = rows.groupBy(entity, bucket).agg(F.min_by(F.struct(load.alias("load"), key.alias("key")), me).alias("_top"), F.max_by(load, me).alias("_tail"), F.max_by("_change", F.when(F.col("_change").isNotNull(), me)).alias("_last"))
-    edge = carry_last(edge, entity, bucket, "_tail", "_before")
+    edge = carry_blocks(edge, [entity], bucket, "_tail", "_before")
     opens = ~F.coalesce(continues(F.col("_top.load"), F.col("_before")), F.lit(False))
     edge = edge.withColumn("_opens", F.when(opens, F.col("_top.key"))).withColumn("_last", F.coalesce("_last", "_opens"))
-    edge = carry_last(edge, entity, bucket, "_last", "_carried").select(entity, bucket, F.coalesce("_opens", "_carried").alias("_enter"))
+    edge = carry_blocks(edge, [entity], bucket, "_last", "_carried").select(entity, bucket, F.coalesce("_opens", "_carried").alias("_enter"))
 
     run = F.last("_change", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
     fold = {"min": F.min, "max": F.max}

@@ -15,8 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gwerin.llm.runs import aggregate_runs, carry_last
+from gwerin.llm.runs import aggregate_runs
 from gwerin.llm.textform import consistent_form
+from gwerin.operators.assignment import assign
+from gwerin.operators.carry import carry_blocks
 from gwerin.session import checkpoint
 
 # What is not speech in angle brackets, and marks for what can't be understood.
@@ -83,41 +85,6 @@ def phonetic_key(key: Column) -> Column:
     return F.substring(F.regexp_replace(key, r"(.)\1+", "$1"), 1, 2)
 
 
-def assign(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in a cheapest one-to-one assignment (Hungarian method); rows beyond the columns get -1."""
-    n, m = cost.shape
-    if n > m:
-        back = assign(cost.T)
-        out = np.full(n, -1)
-        out[back] = np.arange(m)
-        return out
-    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        match[0], at = i, 0
-        least, way, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
-        while match[at]:
-            used[at] = True
-            row = match[at]
-            slack = cost[row - 1] - u[row] - v[1:]
-            better = ~used[1:] & (slack < least[1:])
-            least[1:][better] = slack[better]
-            way[1:][better] = at
-            nxt = int(np.argmin(np.where(used, np.inf, np.r_[np.inf, least[1:]])))
-            delta = least[nxt]
-            u[match[used]] += delta
-            v[used] -= delta
-            least[~used] -= delta
-            at = nxt
-        while at:
-            match[at] = match[way[at]]
-            at = way[at]
-    out = np.full(n, -1)
-    for j in range(1, m + 1):
-        if match[j]:
-            out[match[j] - 1] = j - 1
-    return out
-
-
 def _distance(a: str, b: str) -> float:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -198,7 +165,7 @@ def speaker_turns(lines: DataFrame, participants: DataFrame) -> DataFrame:
     by = Window.partitionBy("t", "b").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     here = rows.withColumn("_own", F.last("own", ignorenulls=True).over(by)).withColumn("_anchor", F.last("anchor", ignorenulls=True).over(by))
     ends = rows.groupBy("t", "b").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("n"))).alias("own"), F.max_by("anchor", F.when(F.col("anchor").isNotNull(), F.col("n"))).alias("anchor"))
-    ends = carry_last(carry_last(ends, "t", "b", "own", "own_before"), "t", "b", "anchor", "anchor_before").select("t", "b", "own_before", "anchor_before")
+    ends = carry_blocks(carry_blocks(ends, ["t"], "b", "own", "own_before"), ["t"], "b", "anchor", "anchor_before").select("t", "b", "own_before", "anchor_before")
     rows = here.join(ends, ["t", "b"]).where("kept").select(
         "t", "n", "utterance_id", "at", "till", "clean", F.coalesce("_own", "own_before")["c"].alias("code"), F.coalesce("_anchor", "anchor_before", F.struct(F.lit(float("-inf")).alias("a"), F.lit(-1).cast("bigint").alias("n"))).alias("anchor")
     )
