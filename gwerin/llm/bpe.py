@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import base64
 import functools
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+from gwerin.functions.batches import slices
+
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the vocabulary's word pattern.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -106,26 +107,13 @@ def encoder(ranks_path: str) -> TrieEncoder:
     return TrieEncoder(ranks_path)
 
 
-def _slices(texts: pa.Array) -> Iterator[list[str | None]]:
-    """Python strings of parts of a batch of bounded bytes (a longer text is a part of its own)."""
-    import pyarrow.compute as pc
-
-    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    begin = 0
-    while begin < len(texts):
-        base = size[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(size, base + SLICE_BYTES, "right")))
-        yield texts.slice(begin, end - begin).to_pylist()
-        begin = end
-
-
 def token_ids(col, ranks_path: str = DEFAULT_RANKS):
     """Column -> Column array<int>: ids without special tokens; null and empty texts have the empty list."""
     from pyspark.sql.functions import arrow_udf
 
     @arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        done = [encoder(ranks_path).encode(part) for part in _slices(texts)]
+        done = [encoder(ranks_path).encode(part.to_pylist()) for part in slices(texts, SLICE_BYTES)]
         counts = np.concatenate([c for _, c in done]) if done else np.zeros(0, np.int64)
         ids = np.concatenate([i for i, _ in done]) if done else np.zeros(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids, pa.int32()))
@@ -139,7 +127,7 @@ def token_count(col, ranks_path: str = DEFAULT_RANKS):
 
     @arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
-        done = [encoder(ranks_path).encode(part)[1] for part in _slices(texts)]
+        done = [encoder(ranks_path).encode(part.to_pylist())[1] for part in slices(texts, SLICE_BYTES)]
         return pa.array(np.concatenate(done) if done else np.zeros(0, np.int64), pa.int64())
 
     return count(col)

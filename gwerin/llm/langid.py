@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,6 +28,7 @@ from gwerin.llm.textform import consistent_form, normalize_array
 LINES_PER_LANGUAGE = 800
 LINE_CHARS = 400
 BITS = 16
+PART = 200_000  # code points that are scored at a time
 ORDERS = (1, 2, 3, 4)
 WORD_WEIGHT = 2  # features that a whole word counts for
 LISTED_WORDS = 5000  # at most so many listed words of a language are fitted on
@@ -80,6 +82,29 @@ def _codepoints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return cp, np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
 
 
+def _parts(texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """The texts in parts of about ``PART`` code points with their numbers; a longer text is cut between words."""
+    piece, of, size = [], [], 0
+    for i, text in enumerate(texts):
+        begin = 0
+        while True:
+            end = len(text)
+            if end - begin > PART:
+                cut = text.rfind(" ", begin, begin + PART)
+                end = cut if cut > begin else begin + PART
+            piece.append(text[begin:end])
+            of.append(i)
+            size += end - begin
+            begin = end
+            if size >= PART:
+                yield piece, np.array(of)
+                piece, of, size = [], [], 0
+            if begin >= len(text):
+                break
+    if piece:
+        yield piece, np.array(of)
+
+
 def _ngrams(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n-grams of letters and their rows; runs of others count as one space."""
     low = _lower_table()[cp]
@@ -162,13 +187,21 @@ class Model:
         return best, least[best, np.arange(rows)]
 
     def scores(self, texts: list[str]) -> tuple[dict, np.ndarray]:
-        cp, row = _codepoints(texts)
+        """Margins of all machines and letters by script, of each text; in parts of ``PART`` code points."""
         n = len(texts)
-        script = _script_table()[cp]
-        counts = np.stack([np.bincount(row[script == i], minlength=n) for i in range(1, len(SCRIPTS) + 1)])
-        idx, at = _ngrams(cp, row)
-        size = np.sqrt(np.maximum(1, np.bincount(at, minlength=n)))
-        return {k: np.bincount(at, weights=w[idx], minlength=n) / size for k, w in self.machines.items()}, counts
+        counts, size = np.zeros((len(SCRIPTS), n)), np.zeros(n)
+        sums = {k: np.zeros(n) for k in self.machines}
+        for piece, of in _parts(texts):
+            cp, row = _codepoints(piece)
+            script = _script_table()[cp]
+            for i in range(len(SCRIPTS)):
+                np.add.at(counts[i], of, np.bincount(row[script == i + 1], minlength=len(piece)))
+            idx, at = _ngrams(cp, row)
+            np.add.at(size, of, np.bincount(at, minlength=len(piece)))
+            for k, w in self.machines.items():
+                np.add.at(sums[k], of, np.bincount(at, weights=w[idx], minlength=len(piece)))
+        size = np.sqrt(np.maximum(1, size))
+        return {k: v / size for k, v in sums.items()}, counts
 
     def predict(self, texts: list[str]) -> tuple[list[str | None], np.ndarray]:
         """Language and confidence of consistent texts; (null, 0) without a letter of a known script."""

@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from gwerin.functions.batches import slices
+
 # Letters of other alphabets, and rare Latin ones, that are drawn like basic Latin.
 CYRILLIC_LIKE = {
     "Ѕ": "S", "І": "I", "Ј": "J", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X",
@@ -42,6 +44,7 @@ INVISIBLE = [(0x00, 0x08), (0x0E, 0x1F), (0x7F, 0x84), (0x86, 0x9F), (0xAD, 0xAD
 SPACES = [0x09, 0x0B, 0x0C, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x2800, 0x3000]
 
 TOP = 0x110000
+SLICE_BYTES = 1 << 20  # text of a batch that the arrays are made for at a time
 LIMIT = 0x32000  # no character above has a decomposition or a case here
 LATIN, CYR, GRK, ARM, CHK, CJK, OTHER = 1, 2, 3, 4, 5, 6, 7
 
@@ -263,6 +266,12 @@ def normalize_array(texts: pa.Array) -> pa.Array:
     """Arrow strings in, their consistent forms out; nulls stay."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    if texts.nbytes > SLICE_BYTES and len(texts) > 1:
+        return pa.concat_arrays([_normalize(part) for part in slices(texts, SLICE_BYTES)])
+    return _normalize(texts)
+
+
+def _normalize(texts: pa.Array) -> pa.Array:
     texts = texts.cast(pa.large_string())
     n = len(texts)
     if not n or texts.null_count == n:
