@@ -345,7 +345,8 @@ def split_sentences(df: DataFrame, key: str, text: str) -> DataFrame:
         spans = df.select(key, sentence_spans(F.col(text), {r["word"]: r["kind"] for r in some}).alias("s"))
     else:
         spans = _joined(df, key, text, table)
-    return spans.select(key, F.posexplode("s").alias("sent_no", "s")).select(key, "sent_no", "s.sent_start", "s.sent_end")
+    # outer, as a plain explode would make the optimizer evaluate the spans twice, once to filter
+    return spans.select(key, F.posexplode_outer("s").alias("sent_no", "s")).where("s is not null").select(key, "sent_no", "s.sent_start", "s.sent_end")
 
 
 def _joined(df: DataFrame, key: str, text: str, table: DataFrame) -> DataFrame:
