@@ -2,27 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-from gwerin.operators import drift, lexicon_lines
-from gwerin.session import table
-
-
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.changes(table(spark, sf_dir, "drift_records"))
-
-
-def p6_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.unify(table(spark, sf_dir, "drift_records"))
-
-
-def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicon_lines.parse_lines(table(spark, sf_dir, "lexicon_lines")).where("reason is not null").select("line_no", "reason")
-
-
-def p7_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicon_lines.parse_lines(table(spark, sf_dir, "lexicon_lines")).where("reason is null").select("line_no", "wordform", "lemma", "tag", "morph")
+from gwerin.plans import files_queries, join_queries, registry, stats_queries, text_queries  # noqa: F401 - they register
 
 
 def queries() -> dict:
-    return {"p6_found": p6_found, "p6_unified": p6_unified, "p7_found": p7_found, "p7_entries": p7_entries}
+    return dict(registry.QUERIES)

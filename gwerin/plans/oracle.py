@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from gwerin.plans import catalogue, registry  # noqa: F401 - the catalogue registers
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
