@@ -1 +1,289 @@
-"""Joins, alignment, review and sequences."""
+"""Joins, alignment, rules, review and sequences."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gwerin import tables as T
+from gwerin.functions import text
+from gwerin.operators import align, joins, lexicon_lines, review, rules, segments, stats, tokens
+from gwerin.operators.carry import last_before
+from gwerin.plans.registry import query
+from gwerin.plans.stats_queries import BASE, facts
+from gwerin.plans.text_queries import CLUSTER, ENGLISH, LINES, case, lines, listed, sql_norm
+from gwerin.session import table
+
+CUES = "WITH c AS (SELECT min(caption_id) AS caption_id, video_url, segment_start, segment_end, segment_text FROM captions GROUP BY ALL)\n"
+
+
+def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delivered cues, each once."""
+    return table(spark, sf_dir, "captions").groupBy("video_url", "segment_start", "segment_end", "segment_text").agg(F.min("caption_id").alias("caption_id"))
+
+
+@query("WITH RECURSIVE " + CUES[5:] + """, o AS (SELECT *, row_number() OVER (PARTITION BY video_url ORDER BY segment_start, caption_id) AS i, (length(segment_text) % 7)::DOUBLE AS score FROM c WHERE video_url IS NOT NULL),
+f AS (SELECT video_url, i, i AS li, caption_id AS lid, segment_start AS ls, segment_end AS le, coalesce(score, 0) AS lc FROM o WHERE i = 1 UNION ALL
+SELECT o.video_url, o.i, CASE WHEN d.dup AND NOT coalesce(o.score, 0) > f.lc THEN f.li WHEN d.dup THEN f.li ELSE f.li + 1 END, CASE WHEN d.dup AND NOT coalesce(o.score, 0) > f.lc THEN f.lid ELSE o.caption_id END,
+CASE WHEN d.dup AND NOT coalesce(o.score, 0) > f.lc THEN f.ls ELSE o.segment_start END, CASE WHEN d.dup AND NOT coalesce(o.score, 0) > f.lc THEN f.le ELSE o.segment_end END, CASE WHEN d.dup AND NOT coalesce(o.score, 0) > f.lc THEN f.lc ELSE coalesce(o.score, 0) END
+FROM f JOIN o ON o.video_url = f.video_url AND o.i = f.i + 1, LATERAL (SELECT greatest(greatest(0, least(f.le, o.segment_end) - greatest(f.ls, o.segment_start)) / greatest(f.le - f.ls, 1e-6), greatest(0, least(f.le, o.segment_end) - greatest(f.ls, o.segment_start)) / greatest(o.segment_end - o.segment_start, 1e-6)) >= 0.8 AS dup) d)
+SELECT video_url, arg_max(lid, i) AS caption_id FROM f GROUP BY video_url, li""")
+def segment_overlap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cues(spark, sf_dir).withColumn("score", (F.length("segment_text") % 7).cast("double"))
+    return segments.drop_overlaps(rows, "video_url", "segment_start", "segment_end", "caption_id", "score")
+
+
+@query("SELECT segment_id, round(segment_start + 10, 3) AS segment_start, round(segment_end + 10, 3) AS segment_end FROM segments WHERE round(segment_start + 10, 3) >= 59.95 AND round(segment_end + 10, 3) <= 600.05")
+def window_shift_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.shift_and_trim(table(spark, sf_dir, "segments").select("segment_id", "segment_start", "segment_end"), "segment_start", "segment_end", 10.0, 60.0, 600.0)
+
+
+@query(CUES + ", l AS (SELECT *, lag(segment_text) OVER w AS p, row_number() OVER w AS i FROM c WHERE video_url IS NOT NULL WINDOW w AS (PARTITION BY video_url ORDER BY segment_start, caption_id)) SELECT caption_id FROM l WHERE i = 1 OR p IS DISTINCT FROM segment_text")
+def consecutive_dup_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.collapse_repeats(cues(spark, sf_dir), "video_url", ["segment_start", "caption_id"], "segment_text", F.floor(F.col("segment_start") / 300)).select("caption_id")
+
+
+@query(CUES + """, b AS (SELECT *, max(segment_end) OVER (PARTITION BY video_url ORDER BY segment_start, caption_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c WHERE video_url IS NOT NULL),
+i AS (SELECT *, sum((before IS NULL OR before <= segment_start)::INT) OVER (PARTITION BY video_url ORDER BY segment_start, caption_id) AS g FROM b)
+SELECT video_url, arg_min(caption_id, (segment_start, caption_id)) AS island, count(*) AS cues, round(max(segment_end) - min(segment_start), 3) AS seconds FROM i GROUP BY video_url, g""")
+def gaps_islands_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = segments.islands(cues(spark, sf_dir).where("video_url is not null"), "video_url", "segment_start", "segment_end", "caption_id")
+    return out.groupBy("video_url", "island").agg(F.count("*").alias("cues"), F.round(F.max("segment_end") - F.min("segment_start"), 3).alias("seconds"))
+
+
+ENTRIES = """WITH e AS (SELECT string_split(regexp_replace(line, '\\r$', ''), chr(9)) AS f FROM lexicon_lines WHERE NOT contains(line, '"') AND regexp_matches(regexp_replace(line, '\\r$', ''), '^[\\p{L} ''’-]*[^ \\t][\\p{L} ''’-]*\\t[\\p{L} ''’-]*[^ \\t][\\p{L} ''’-]*\\t(ADJ|ADP|ADV|AUX|CCONJ|DET|INTJ|NOUN|NUM|PART|PRON|PROPN|PUNCT|SCONJ|SYM|VERB|X)(\\t([\\p{L}\\p{N}]+=[\\p{L}\\p{N}]+(,[\\p{L}\\p{N}]+)*(\\|[\\p{L}\\p{N}]+=[\\p{L}\\p{N}]+(,[\\p{L}\\p{N}]+)*)*)?)?$')),
+x AS (SELECT f[1] AS wordform, lower(f[2]) AS l, f[3] AS tag, f[4] AS morph FROM e WHERE regexp_matches(f[1], '^[\\p{L} ''’-]+$') AND regexp_matches(f[2], '^[\\p{L} ''’-]+$')),
+g AS (SELECT wordform, count(*) AS n, CASE WHEN min(l) = max(l) THEN min(l) END AS lemma, CASE WHEN count(*) = 1 THEN min(tag) END AS tag FROM x GROUP BY wordform)
+"""
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.lexicon(lexicon_lines.parse_lines(table(spark, sf_dir, "lexicon_lines").where("not contains(line, '\"')").select("line")).where("reason is null"))
+
+
+@query(ENTRIES + "SELECT wordform, n, lemma, tag FROM g")
+def lexicon_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries(spark, sf_dir).select("wordform", "n", "lemma", "tag")
+
+
+@query(ENTRIES + """, w AS (SELECT DISTINCT lower(wordform) AS w FROM g)
+SELECT w, coalesce(a.wordform, b.wordform) AS form, CASE WHEN a.wordform IS NOT NULL THEN a.lemma ELSE b.lemma END AS lemma, CASE WHEN a.wordform IS NOT NULL THEN a.tag ELSE b.tag END AS tag FROM w LEFT JOIN g a ON a.wordform = w LEFT JOIN g b ON b.wordform = upper(w[1]) || w[2:]""")
+def case_recovery_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lex = entries(spark, sf_dir)
+    return joins.look_up(lex.select(F.lower("wordform").alias("w0")).distinct(), "w0", lex).select(F.col("w0").alias("w"), "form", "lemma", "tag")
+
+
+@query(f"""WITH w AS (SELECT DISTINCT {sql_norm('word')} AS n FROM words), c AS (SELECT lower(following_word) AS n, min(lemma) AS lemma FROM mutations WHERE lemma IS NOT NULL GROUP BY 1)
+SELECT n, CASE WHEN n IN ({listed(T.SUPPLETIVE)}) THEN n WHEN n IN ({listed(ENGLISH)}) THEN NULL ELSE coalesce(c.lemma, n) END AS lemma FROM w LEFT JOIN c USING (n) WHERE n <> ''""")
+def lemma_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First answer of: suppletive list, none for English, earlier lemmas, the word itself."""
+    known = table(spark, sf_dir, "mutations").where("lemma is not null").groupBy(F.lower("following_word").alias("n")).agg(F.min("lemma").alias("lemma"))
+    words = table(spark, sf_dir, "words").select(text.normalize_word(F.col("word")).alias("n")).where("n <> ''").distinct()
+    lemma = F.when(F.col("n").isin(T.SUPPLETIVE), F.col("n")).when(text.is_english(F.col("n")), None).otherwise(F.coalesce("lemma", "n"))
+    return words.join(known, "n", "left").select("n", lemma.alias("lemma"))
+
+
+@query(BASE + f""", a AS (SELECT mutation_id, video_url, lower(following_word) AS n, try_cast(regexp_extract(timestamp_span, '-\\s*([\\d.]+)s', 1) AS DOUBLE) AS t1 FROM f),
+w AS (SELECT word_id, video_url, {sql_norm('word')} AS n, word_end FROM words WHERE word_end IS NOT NULL)
+SELECT mutation_id, (SELECT arg_min(w.word_id, (round(w.word_end * 1000000), w.word_id)) FROM w WHERE w.video_url = a.video_url AND w.n = a.n AND abs(round(w.word_end * 1000000) - round(a.t1 * 1000000)) <= 50000) AS word_id FROM a""")
+def tolerance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fact with the spoken word that ends within 0.05 s of it and reads the same."""
+    left = facts(spark, sf_dir).select("mutation_id", "video_url", F.lower("following_word").alias("n"), text.parse_span(F.col("timestamp_span"))[1].alias("t1"))
+    right = table(spark, sf_dir, "words").select("word_id", "video_url", text.normalize_word(F.col("word")).alias("n"), "word_end")
+    return joins.tolerance_join(left, right, ["video_url", "n"], "t1", "word_end", "word_id", 0.05).select("mutation_id", "word_id")
+
+
+@query(BASE + """, a AS (SELECT mutation_id, video_url, try_cast(regexp_extract(timestamp_span, '([\\d.]+)s', 1) AS DOUBLE) AS t0, try_cast(regexp_extract(timestamp_span, '-\\s*([\\d.]+)s', 1) AS DOUBLE) AS t1 FROM f)
+SELECT mutation_id, arg_min(segment_id, (segment_start, segment_id)) AS first_span, count(*) AS spans FROM a JOIN segments s ON s.video_url = a.video_url AND s.segment_start <= a.t1 AND s.segment_end >= a.t0 GROUP BY mutation_id""")
+def interval_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t0, t1 = text.parse_span(F.col("timestamp_span"))
+    left = facts(spark, sf_dir).select("mutation_id", "video_url", t0.alias("t0"), t1.alias("t1"))
+    spans = table(spark, sf_dir, "segments").select("video_url", F.col("segment_id").alias("span_id"), F.col("segment_start").alias("s0"), F.col("segment_end").alias("s1"))
+    return joins.overlap_join(left, spans, "video_url", "mutation_id")
+
+
+@query("""WITH u AS (SELECT transcript_id, line_no, arg_min(utt_end, utterance_id) AS e FROM (SELECT * REPLACE (coalesce(utt_end, -1) AS utt_end) FROM chat_utterances) GROUP BY ALL)
+SELECT transcript_id, line_no, last_value(nullif(e, -1) IGNORE NULLS) OVER (PARTITION BY transcript_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM u""")
+def carry_forward_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last known end before each line."""
+    u = table(spark, sf_dir, "chat_utterances").groupBy("transcript_id", "line_no").agg(F.min_by(F.struct("utt_end"), "utterance_id").alias("u")).withColumn("e", F.col("u.utt_end"))
+    u = u.withColumn("b", F.floor(F.col("line_no") / 2000))
+    return last_before(u, ["transcript_id"], "b", ["line_no"], "e", "before").select("transcript_id", "line_no", "before")
+
+
+@query(LINES + "SELECT segment_id, pos, string_agg(word, ' ') OVER (PARTITION BY segment_id ORDER BY pos ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS context FROM w")
+def context_window_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    near = Window.partitionBy("segment_id").orderBy("pos").rowsBetween(-6, 6)
+    return lines(spark, sf_dir).select("segment_id", "pos", F.array_join(F.collect_list("word").over(near), " ").alias("context"))
+
+
+@query()
+def align_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "words").groupBy("video_url", "word_start", "word_end").agg(F.min_by(F.struct("word_id", "word"), "word_id").alias("w")).select("video_url", "word_start", "w.*")
+    return align.align_streams(align.stream(words, "video_url", "word_start", "word", ["word_id"]), align.stream(cues(spark, sf_dir), "video_url", "segment_start", "segment_text", ["caption_id"]))
+
+
+@query()
+def gap_tolerant_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg = table(spark, sf_dir, "segments").groupBy("video_url", "segment_start").agg(F.min("segment_id").alias("segment_id"))
+    words = rules.enrich(table(spark, sf_dir, "words")).join(seg, ["video_url", "segment_start"]).select("segment_id", F.col("i").cast("bigint").alias("i"), F.col("w").alias("word"))
+    toks = lines(spark, sf_dir).select("segment_id", F.col("pos").cast("bigint").alias("i"), text.normalize_word(F.col("word")).alias("word")).where("word <> ''")
+    return align.align_with_gaps(words, toks)
+
+
+INITIAL = lambda a, b: f"({a} <> {b} AND {a}[length({CLUSTER.format(w=a)}) + 1:] = {b}[length({CLUSTER.format(w=b)}) + 1:])"
+
+
+@query(BASE + f""", e AS (SELECT lower(following_word) AS w, lower(matched_radical) AS c, lower(lemma) AS r, CASE WHEN is_erosion THEN 'replace' ELSE 'delete' END AS tag, NOT coalesce(pos_compatible, true) IS FALSE AS ok FROM f),
+v AS (SELECT CASE WHEN w IS NULL THEN 'no_alignment' WHEN c IS NULL THEN CASE WHEN tag = 'delete' THEN 'caption_omits_word' ELSE 'no_alignment' END WHEN NOT ok THEN 'alignment_timing_implausible' WHEN w = c THEN 'confirmed_match'
+WHEN NOT coalesce(c = r OR {INITIAL('c', 'r')}, true) THEN 'caption_word_not_lemma_candidate' WHEN {INITIAL('w', 'c')} THEN CASE WHEN c <> r AND NOT w <> r THEN 'confirms_erosion' WHEN NOT c <> r AND w <> r THEN 'caption_disputes_mutation' WHEN c <> r THEN 'confirms_mutation_present' ELSE 'confirms_no_mutation' END
+ELSE 'caption_disagrees_non_initial' END AS verdict, CASE WHEN c IS NULL THEN NULL WHEN NOT ok THEN 'rejected' WHEN length(w) >= 3 THEN 'high' ELSE 'low' END AS match_confidence FROM e)
+SELECT verdict, match_confidence, count(*) AS n FROM v GROUP BY ALL""")
+def corroboration_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram of verdicts and match confidence, the matched radical standing for the other transcript's word."""
+    raw = stats.dedup_facts(table(spark, sf_dir, "mutations"), ["mutation_id", "lemma", "matched_radical", "is_erosion", "pos_compatible"])
+    w, c, r = F.lower("following_word"), F.lower("matched_radical"), F.lower("lemma")
+    tag, ok = F.when(F.col("is_erosion"), "replace").otherwise("delete"), F.coalesce("pos_compatible", F.lit(True))
+    out = raw.select(align.verdict(w, c, r, tag, ok).alias("verdict"), align.match_confidence(c, ok, F.length(w)).alias("match_confidence"))
+    return out.groupBy("verdict", "match_confidence").agg(F.count("*").alias("n"))
+
+
+COLS = ["status", "confidence_score"]
+SIDES = BASE + """, o AS (SELECT video_url, timestamp_span, trigger_word, following_word, coalesce(manual_reviewed, false) AS rev, status, confidence_score FROM f WHERE trigger_word <> 'am'),
+n AS (SELECT video_url, timestamp_span, trigger_word, following_word, CASE WHEN status = 'erosion' THEN 'correct_mutation' ELSE status END AS status, confidence_score FROM f WHERE trigger_word <> 'dy'),
+j AS (SELECT coalesce(o.video_url, n.video_url) AS video_url, coalesce(o.timestamp_span, n.timestamp_span) AS timestamp_span, coalesce(o.trigger_word, n.trigger_word) AS trigger_word, coalesce(o.following_word, n.following_word) AS following_word,
+o.rev, o.status AS os, n.status AS ns, o.confidence_score AS oc, n.confidence_score AS nc, o.trigger_word IS NOT NULL AS ho, n.trigger_word IS NOT NULL AS hn
+FROM o FULL JOIN n ON o.video_url IS NOT DISTINCT FROM n.video_url AND o.timestamp_span IS NOT DISTINCT FROM n.timestamp_span AND o.trigger_word IS NOT DISTINCT FROM n.trigger_word AND o.following_word IS NOT DISTINCT FROM n.following_word)
+"""
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The facts before and after a made-up change of rules: one trigger new, one gone, one status read otherwise."""
+    d = stats.dedup_facts(table(spark, sf_dir, "mutations"), ["mutation_id", "manual_reviewed", *COLS])
+    return d.where("trigger_word <> 'am'"), d.where("trigger_word <> 'dy'").withColumn("status", F.when(F.col("status") == "erosion", "correct_mutation").otherwise(F.col("status")))
+
+
+@query(SIDES + "SELECT video_url, timestamp_span, trigger_word, following_word, CASE WHEN NOT ho THEN 'added' WHEN NOT hn THEN 'removed' WHEN os IS NOT DISTINCT FROM ns AND oc IS NOT DISTINCT FROM nc THEN 'same' WHEN rev THEN 'protected' ELSE 'changed' END AS class FROM j")
+def keyed_diff_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.diff_classes(*_sides(spark, sf_dir), stats.KEY, COLS, "manual_reviewed")
+
+
+@query(SIDES + "SELECT video_url, timestamp_span, trigger_word, following_word, CASE WHEN ho AND (NOT hn OR rev) THEN os ELSE ns END AS status, CASE WHEN ho AND (NOT hn OR rev) THEN oc ELSE nc END AS confidence_score FROM j")
+def guarded_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.upsert(*_sides(spark, sf_dir), stats.KEY, COLS, "manual_reviewed")
+
+
+def _review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.review_queue(stats.dedup_facts(table(spark, sf_dir, "mutations"), ["mutation_id", "manual_reviewed", "status", "rule"]))
+
+
+@query(BASE + "SELECT mutation_id, trigger_word, rule, status FROM f WHERE status IN ('erosion', 'wrong_mutation_type') AND NOT coalesce(manual_reviewed, false)")
+def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _review(spark, sf_dir).select("mutation_id", "trigger_word", "rule", "status")
+
+
+@query(BASE + "SELECT trigger_word, rule, status, count(*) AS n, grouping(trigger_word, rule, status)::INT AS set_id FROM f WHERE status IN ('erosion', 'wrong_mutation_type') AND NOT coalesce(manual_reviewed, false) GROUP BY GROUPING SETS ((trigger_word), (rule), (status))")
+def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.review_summary(_review(spark, sf_dir))
+
+
+@query("SELECT user_id, arg_min(event_type, (ts, event_id)) AS original, arg_max(event_type, (ts, event_id)) AS current, count(*) AS review_count FROM events GROUP BY user_id")
+def review_log_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.log_fold(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type")
+
+
+@query("SELECT user_id, sum((event_type = 'error')::INT)::BIGINT AS attempts, sum((event_type = 'view')::INT)::BIGINT AS deferrals, CASE WHEN max((event_type NOT IN ('error', 'view'))::INT) = 1 THEN 'done' WHEN sum((event_type = 'error')::INT) >= 3 THEN 'given_up' ELSE 'retry' END AS state FROM events GROUP BY user_id")
+def retry_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.retry_state(table(spark, sf_dir, "events"), "user_id", F.col("event_type") == "error", F.col("event_type") == "view")
+
+
+@query(BASE + "SELECT mutation_id FROM f WHERE contains(lower(concat_ws(' ', trigger_word, following_word, note)), 'gwirio') ORDER BY mutation_id LIMIT 20")
+def search_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = stats.dedup_facts(table(spark, sf_dir, "mutations"), ["mutation_id", "note"])
+    return review.search(d, ["trigger_word", "following_word", "note"], "gwirio", "mutation_id").select("mutation_id")
+
+
+@query()
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.seeded_sample(table(spark, sf_dir, "mutations").select("mutation_id", "status"), "mutation_id", 50, seed=7)
+
+
+@query("SELECT video_url, min(word_id) AS word_id FROM words WHERE video_url IS NOT NULL AND video_url NOT IN (SELECT video_url FROM captions WHERE video_url IS NOT NULL) GROUP BY video_url")
+def anti_queue_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.undiscovered(table(spark, sf_dir, "words").select("video_url", "word_id"), [table(spark, sf_dir, "captions")], "video_url", "word_id")
+
+
+@query("SELECT DISTINCT video_url FROM segments s WHERE NOT EXISTS (SELECT 1 FROM mutations m WHERE m.video_url = s.video_url)")
+def orphan_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "segments").select("video_url").distinct().join(table(spark, sf_dir, "mutations").select("video_url").distinct(), "video_url", "left_anti")
+
+
+@query("SELECT caption_kind, language, count(*) AS n FROM (SELECT caption_kind, NULL AS language FROM captions UNION ALL SELECT NULL, language FROM segments) GROUP BY ALL")
+def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = table(spark, sf_dir, "captions").select("video_url", "caption_kind").unionByName(table(spark, sf_dir, "segments").select("video_url", "language"), allowMissingColumns=True)
+    return both.groupBy("caption_kind", "language").agg(F.count("*").alias("n"))
+
+
+@query(BASE + "SELECT count(*) AS n, count(*) FILTER (strftime(loaded_at, '%Y%m%d') NOT IN ('20250101')) AS kept FROM f")
+def batch_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = facts(spark, sf_dir, "loaded_at")
+    return d.agg(F.count("*").alias("n"), F.count(F.when(~F.date_format("loaded_at", "yyyyMMdd").isin("20250101"), 1)).alias("kept"))
+
+
+# ---------------------------------------------------------------- rules
+
+TRIG = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in T.TRIGGERS.items()) + ") AS trig(tw, listed)"
+NODE = "n, confidence, cysill_pos, spacy_pos, spacy_dep, spacy_mutation, gender, word_end"
+LEADS = ", ".join(f"lead({c}, {k}) OVER o AS {c}_{k}" for k in (1, 2, 3) for c in NODE.split(", "))
+FITS = [f"(n_{k} IS NOT NULL AND n_{k} NOT IN ({listed(T.FILLERS)}) AND n_{k} <> n)" for k in (1, 2, 3)]
+PICK = ", ".join("CASE " + " ".join(f"WHEN {f} THEN {c}_{k}" for k, f in enumerate(FITS, 1)) + f" END AS t_{c}" for c in NODE.split(", "))
+SQL_COARSE = "list_transform(string_split_regex({p}, '[+|]'), lambda x: CASE WHEN starts_with(x, 'PREP') OR starts_with(x, 'CPREP') THEN 'ADP' WHEN starts_with(x, 'VB') OR starts_with(x, 'VERB') THEN 'VERB' WHEN starts_with(x, 'ADJ') OR starts_with(x, 'ORD') THEN 'ADJ' WHEN starts_with(x, 'ADV') THEN 'ADV' WHEN starts_with(x, 'PRON') THEN 'PRON' WHEN starts_with(x, 'N') OR starts_with(x, 'PLACE') OR starts_with(x, 'PERSON') THEN 'NOUN' WHEN starts_with(x, 'CARD') THEN 'NUM' WHEN starts_with(x, 'CONJ') THEN 'CONJ' ELSE 'other' END)"
+COLL = "regexp_replace(t_n, '" + "|".join(sorted(T.SINGLE_CLUSTERS, key=len, reverse=True)) + "', 'V', 'g')"
+RULES = f"""WITH k AS (SELECT min(word_id) AS id FROM words WHERE video_url IS NOT NULL AND segment_start IS NOT NULL GROUP BY video_url, segment_start, word_start, word_end),
+w AS (SELECT * FROM (SELECT x.* EXCLUDE (word), {sql_norm('word')} AS n FROM words x JOIN k ON x.word_id = k.id) WHERE length(n) >= 2),
+i AS (SELECT *, row_number() OVER o - 1 AS i, {LEADS} FROM w WINDOW o AS (PARTITION BY video_url, segment_start ORDER BY word_start, word_id)),
+p AS (SELECT *, {PICK}, CASE """ + " ".join(f"WHEN {f} THEN {k}" for k, f in enumerate(FITS, 1)) + f""" ELSE 4 END AS ahead FROM i),
+h AS (SELECT p.*, string_split(listed, '|') AS l FROM p JOIN {TRIG} ON tw = n WHERE confidence >= 0.65 AND t_n IS NOT NULL AND t_confidence >= 0.65),
+e AS (SELECT *, CASE WHEN n = 'yn' THEN CASE WHEN regexp_matches(coalesce(cysill_pos, ''), '^(PREP|CPREP)') OR coalesce(spacy_dep, '') = 'case' THEN ['nasal'] WHEN regexp_matches(coalesce(cysill_pos, ''), 'VERBADJ|PREDYN|VB|ADV') OR coalesce(spacy_dep, '') IN ('aux', 'mark') THEN ['soft_limited'] ELSE l END
+WHEN n = 'ei' THEN CASE WHEN starts_with(gender, 'fem') THEN CASE WHEN regexp_matches(t_n, '^[{T.VOWELS}]') THEN ['h-mutation'] WHEN regexp_matches(t_n, '^[ptc]') THEN ['aspirate'] END WHEN starts_with(gender, 'masc') THEN ['soft'] ELSE l END
+WHEN n IN ({listed(T.MIXED)}) THEN CASE WHEN regexp_matches(t_n, '^[ptc]') THEN ['aspirate'] ELSE ['soft'] END ELSE l END AS exp,
+{case(T.SURFACE_TYPE, CLUSTER.format(w='t_n'))} AS surface, t_n IN ({listed(ENGLISH)}) AS switched FROM h),
+g AS (SELECT *, len(list_filter(regexp_extract_all(t_n, '.'), lambda x: unicode(x) BETWEEN 192 AND 591 AND NOT contains('{T.LEGAL_MARKED}', x))) > 0 OR regexp_matches(t_n, '\\p{{M}}') OR regexp_matches(t_n, '{"|".join(T.IMPOSSIBLE_PAIRS)}') OR regexp_matches({COLL}, '[^{T.VOWELS}V]{{4,}}') OR t_n IN ({listed(T.BOD_FORMS)})
+OR (coalesce(t_cysill_pos, '') IN ('', '?', 'none', 'n/a') AND t_spacy_pos IS NULL) OR regexp_matches(t_n, '^[{T.VOWELS}]') AS skip,
+(n IN ('mae', 'ydy', 'oes') AND (t_n IN ({listed(list(T.TRIGGERS))}) OR coalesce(t_spacy_dep, '') = 'nsubj')) OR (n = 'yn' AND (coalesce(t_spacy_pos, '') = 'VERB' OR starts_with(coalesce(t_cysill_pos, ''), 'VB')))
+OR ((list_contains(exp, 'soft') OR list_contains(exp, 'soft_limited')) AND {CLUSTER.format(w='t_n')} IN ('ll', 'rh') AND n IN ('yn', 'cyn', 'mor', 'pur')) AS gate,
+CASE WHEN coalesce(t_cysill_pos, '') IN ('', '?', 'none', 'n/a') OR t_spacy_pos IS NULL THEN true ELSE list_contains({SQL_COARSE.format(p='t_cysill_pos')}, CASE t_spacy_pos WHEN 'PROPN' THEN 'NOUN' WHEN 'AUX' THEN 'VERB' ELSE t_spacy_pos END) END AS agree FROM e),
+r AS (SELECT *, CASE WHEN switched THEN 'code_switch' WHEN list_contains(list_transform(exp, lambda x: replace(x, 'soft_limited', 'soft')), surface) THEN 'correct_mutation'
+WHEN surface IS NULL AND (""" + " OR ".join(f"(list_contains(exp, '{k}') AND t_n[1] IN ({listed(v)}))" for k, v in T.INVARIANT.items()) + """) THEN 'selective_invariancy'
+WHEN surface IS NOT NULL THEN CASE WHEN agree THEN 'wrong_mutation_type' ELSE 'erosion_unverified' END ELSE 'mutation_mismatch' END AS status FROM g WHERE switched OR (exp IS NOT NULL AND NOT gate AND NOT skip))
+"""
+
+
+@query(RULES + "SELECT video_url, segment_start, i, n AS trigger_word, t_n AS following_word, array_to_string(exp, '|') AS expected, surface, status FROM r")
+def rule_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts that trigger words and their targets make, by the whole decision list."""
+    out = rules.word_trigger_facts(rules.enrich(table(spark, sf_dir, "words")))
+    return out.select("video_url", "segment_start", F.col("i").cast("bigint").alias("i"), "trigger_word", "following_word", "expected", "surface", "status")
+
+
+@query("WITH RECURSIVE " + RULES[5:] + f""", u AS (SELECT i.video_url, i.segment_start, i.i, CASE WHEN i.n IN ({listed(list(T.TRIGGERS))}) AND confidence >= 0.65 AND ahead <= 3 THEN i.i + ahead ELSE i.i + 1 END AS nxt FROM p AS i),
+v AS (SELECT video_url, segment_start, i, nxt FROM u WHERE i = 0 UNION ALL SELECT u.video_url, u.segment_start, u.i, u.nxt FROM v JOIN u ON u.video_url = v.video_url AND u.segment_start = v.segment_start AND u.i = v.nxt)
+SELECT video_url, segment_start, i FROM v""")
+def cursor_nonoverlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words at which the scan's cursor stops: a trigger with a target consumes all up to it."""
+    ahead = tokens.lookahead(rules.enrich(table(spark, sf_dir, "words")), ["video_url", "segment_start"], ["i"], "w")
+    fires = F.col("w").isin(list(T.TRIGGERS)) & (F.col("confidence") >= 0.65) & (F.col("ahead") <= 3)
+    rows = ahead.select(F.struct("video_url", "segment_start").alias("unit"), "i", (F.col("i") + F.when(fires, F.col("ahead")).otherwise(1)).alias("nxt"))
+    return segments.follow(rows, "unit", "i", "nxt").select("unit.video_url", "unit.segment_start", F.col("i").cast("bigint").alias("i"))
+
+
+@query(BASE + """, x AS (SELECT *, nullif(nullif(mutation_found, 'none'), 'n/a') AS surf, string_split(expected_mutation, '|') AS want, CASE spacy_mutation WHEN 'SM' THEN 'soft' WHEN 'NM' THEN 'nasal' WHEN 'AM' THEN 'aspirate' END AS b, nullif(nullif(cysill_mutation_type, 'n/a'), 'none') AS a, NOT coalesce(locally_resolved, false) AS gen FROM f),
+y AS (SELECT *, coalesce(b = surf OR list_contains(want, b), false) AS pc, gen AND coalesce(a = surf OR list_contains(want, a), false) AS cc, surf IS NOT NULL AS heard, coalesce(spacy_dep IN ('obj', 'iobj', 'nsubj', 'obl', 'vocative', 'amod', 'nmod', 'xcomp'), false) AS ctx, gen AND a IS NULL AS rad, surf IS NULL AND expected_mutation IS NOT NULL AS hf,
+CASE WHEN gen THEN a IS NOT DISTINCT FROM surf ELSE NULL END AS ca, CASE WHEN spacy_pos IS NOT NULL THEN b IS NOT DISTINCT FROM surf END AS pa FROM x)
+SELECT mutation_id, CASE WHEN is_erosion THEN CASE WHEN ctx AND rad AND hf THEN 0.9 WHEN rad AND hf THEN 0.75 WHEN hf THEN 0.5 ELSE 0.1 END ELSE CASE WHEN pc AND cc AND heard THEN 1.0 WHEN pc AND cc THEN 0.95 WHEN pc AND heard THEN 0.8 WHEN cc AND heard THEN 0.65 WHEN pc THEN 0.7 WHEN cc THEN 0.5 ELSE 0.3 END END::DOUBLE AS score,
+CASE WHEN is_erosion THEN CASE WHEN ctx AND rad AND hf THEN 'all_three' WHEN rad AND hf THEN 'cysill+heuristic' WHEN hf THEN 'heuristic_only' ELSE 'disputed' END ELSE CASE WHEN pc AND cc AND heard THEN 'all_three' WHEN pc AND cc THEN 'parser+cysill' WHEN pc AND heard THEN 'parser+heuristic' WHEN cc AND heard THEN 'cysill+heuristic' WHEN pc THEN 'parser_only' WHEN cc THEN 'cysill_only' ELSE 'heuristic_only' END END AS score_source,
+CASE WHEN ca AND pa THEN 'all_three' WHEN ca THEN 'cysill+heuristic' WHEN pa THEN 'parser+heuristic' WHEN ca IS NULL AND pa IS NULL THEN 'heuristic_only' ELSE 'disputed' END AS agreement FROM y""")
+def confidence_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.confidence(stats.dedup_facts(table(spark, sf_dir, "mutations"), ["mutation_id", "mutation_found", "expected_mutation", "spacy_mutation", "cysill_mutation_type", "locally_resolved", "spacy_dep", "spacy_pos", "is_erosion"]))
