@@ -153,4 +153,4 @@ def parse_lines(df: DataFrame, line: str = "line") -> DataFrame:
 
 def features(morph: Column) -> Column:
     """Map of a valid morph string; empty for null and empty."""
-    return F.str_to_map(F.nullif(morph, F.lit("")), F.lit("|"), F.lit("="))
+    return F.str_to_map(F.nullif(morph, F.lit("")), F.lit(r"\|"), F.lit("="))

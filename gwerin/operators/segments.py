@@ -50,8 +50,8 @@ def drop_overlaps(df: DataFrame, key: str, start: str, end: str, row_id: str, sc
         swapped = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(x))
         return F.when((F.size(acc) > 0) & (share >= threshold), F.when(x["c"] > last["c"], swapped).otherwise(acc)).otherwise(F.concat(acc, F.array(x)))
 
-    kept = rows.groupBy(key, "island").agg(F.aggregate(F.array_sort(F.collect_list(item)), empty, step).alias("k"))
-    return kept.select(key, F.explode("k.i").alias(row_id))
+    kept = rows.groupBy(key, "island").agg(F.aggregate(F.array_sort(F.collect_list(item)), empty, step).alias("_kept"))
+    return kept.select(key, F.explode("_kept.i").alias(row_id))
 
 
 def collapse_repeats(df: DataFrame, key: str, order: list[str], value: str, bucket: Column) -> DataFrame:

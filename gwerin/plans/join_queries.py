@@ -287,3 +287,10 @@ CASE WHEN is_erosion THEN CASE WHEN ctx AND rad AND hf THEN 'all_three' WHEN rad
 CASE WHEN ca AND pa THEN 'all_three' WHEN ca THEN 'cysill+heuristic' WHEN pa THEN 'parser+heuristic' WHEN ca IS NULL AND pa IS NULL THEN 'heuristic_only' ELSE 'disputed' END AS agreement FROM y""")
 def confidence_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.confidence(stats.dedup_facts(table(spark, sf_dir, "mutations"), ["mutation_id", "mutation_found", "expected_mutation", "spacy_mutation", "cysill_mutation_type", "locally_resolved", "spacy_dep", "spacy_pos", "is_erosion"]))
+
+
+@query("SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gwerin.streaming.incremental import windowed_counts
+
+    return windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type")
