@@ -339,7 +339,7 @@ def label_documents(df: DataFrame, model: Model, key: str, text: str, label: str
     out = out.withColumn("_top", F.array_max(sums))
     weight = F.aggregate(F.filter("lines", lambda x: x["lang"] == F.col("_top.lang")), F.lit(0.0), lambda a, x: a + x["chars"] * x["confidence"])
     all_chars = F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + x["chars"])
-    return out.select(key, "label", F.col("_top.lang").alias("lang"), F.coalesce(weight / all_chars, F.lit(0.0)).alias("confidence"), "lines")
+    return out.select(key, "label", F.col("_top.lang").alias("lang"), F.coalesce(F.try_divide(weight, all_chars), F.lit(0.0)).alias("confidence"), "lines")
 
 
 def label_segments(segments: DataFrame, words: DataFrame, model: Model, key: str, entity: str, start: str, text: str, label: str, at_least: int = 3) -> DataFrame:

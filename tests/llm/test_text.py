@@ -1,0 +1,208 @@
+"""Character form, language, tokens, sentences: edge cases and brute force."""
+
+import random
+import unicodedata
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+textform = pytest.importorskip("gwerin.llm.textform")
+from gwerin.llm import bpe, langid, sentences  # noqa: E402
+
+
+def form(*texts):
+    return textform.normalize_array(pa.array(texts, pa.string())).to_pylist()
+
+
+def test_consistent_form_examples():
+    pairs = {"ｙｎ": "yn", "о’r": "o'r", "Мае": "Mae", "t​ŷ­": "tŷ", "tŷ": "tŷ", "a b　c": "a b c", "ﬁ": "fi", "𝗒n": "yn", "haℓℓ": "hall", "cyո": "cyn", "ɡêm": "gêm", "４3": "43", "nhwʹn": "nhw'n", "е̂": "ê"}
+    assert form(*pairs) == list(pairs.values())
+
+
+def test_real_words_stay():
+    same = ["привет", "Καλημέρα σε όλους τους φίλους.", "το φως ο", "今日は、天気！", "straße", "señor", "garçon", "“Pam?”", "a  b", "", "نعم", "ต้นไม้ทำ"]
+    assert form(*same) == same
+
+
+def test_composition_equals_the_standard():
+    rng = random.Random(5)
+    t = textform._tables()
+    ok = lambda c: unicodedata.category(chr(c)) != "Cn" and all(not t["like"][ord(x)] and x not in textform.APOSTROPHES and ord(x) not in textform.SPACES for x in unicodedata.normalize("NFD", chr(c)))
+    chars = [c for c in range(0x20, 0x3200) if ok(c) and (t["len"][c] == 255 or unicodedata.decomposition(chr(c))[:1] not in ("", "<"))]
+    marks = [c for c in chars if unicodedata.combining(chr(c))]
+    texts = ["".join(chr(rng.choice(marks if rng.random() < 0.6 else chars)) for _ in range(rng.randint(0, 9))) for _ in range(8000)]
+    texts += ["".join(chr(rng.choice([0x41, 0x1100, 0x1161, 0x11A8, 0xAC00, 0x9C7, 0x9BE, 0xCC6, 0xCC2, 0xCD5, 0x301, 0x327])) for _ in range(rng.randint(0, 9))) for _ in range(4000)]
+    assert form(*texts) == [unicodedata.normalize("NFC", x) for x in texts]
+
+
+def test_form_is_stable_and_slices_change_nothing(monkeypatch):
+    texts = ["Вуԁԁ у bоnt", None, "", "ｙｎ​", "tŷ" * 50] * 20
+    once = form(*texts)
+    assert form(*once) == once
+    monkeypatch.setattr(textform, "SLICE_BYTES", 64)
+    assert form(*texts) == once
+
+
+def test_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "ｙｎ", "x"), (2, None, None)], "id long, word string, word_norm string")
+    with pytest.raises(ValueError):
+        textform.normalize_text(df, ["word"])
+    assert [r["n"] for r in textform.normalize_text(df.drop("word_norm"), ["word"]).select(F.col("word_norm").alias("n")).collect()] == ["yn", None]
+    assert textform.changed_rows(df.where("false"), "id", "word").count() == 0
+
+
+# ------------------------------------------------------------ tokens
+
+
+def reference():
+    import base64
+
+    import tiktoken
+
+    with open(bpe.DEFAULT_RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=bpe.WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_ids_equal_plain_merging(spark, sf):
+    rng = random.Random(2)
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    texts += ["".join(chr(rng.choice([rng.randint(32, 0x2FFF), rng.randint(97, 122), 32, 0x1F600])) for _ in range(60)) for _ in range(300)] + ["a" * 5000, "\n" * 300, "", None, "<|endoftext|>"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    out = {r["i"]: (r["ids"], r["n"]) for r in df.select("i", bpe.token_ids(F.col("text")).alias("ids"), bpe.token_count(F.col("text")).alias("n")).collect()}
+    want = reference().encode_ordinary_batch([t or "" for t in texts])
+    assert all(out[i] == (w, len(w)) for i, w in enumerate(want))
+
+
+def test_small_caches_change_nothing(monkeypatch):
+    texts = ["mae'r gath yn y tŷ", "mae gath", "tŷ tŷ"]
+    want = bpe.TrieEncoder(bpe.DEFAULT_RANKS).encode(texts)[0].tolist()
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 0)
+    monkeypatch.setattr(bpe, "CACHE_PAIRS", 1)
+    enc = bpe.TrieEncoder(bpe.DEFAULT_RANKS)
+    assert [enc.encode([t])[0].tolist() for t in texts] and enc.encode(texts)[0].tolist() == want
+
+
+# ------------------------------------------------------------ languages
+
+LINES = {
+    "cy": ["Mae'r gath yn y tŷ heddiw", "Beth am fynd i'r ysgol yfory?", "Roedd y tywydd yn braf iawn ddoe", "Dw i ddim yn gwybod am hyn", "Mae hi'n oer yn y gegin"],
+    "en": ["The cat is in the house today", "What about going to school tomorrow?", "The weather was very nice yesterday", "I do not know about this", "It is cold in the kitchen"],
+    "de": ["Die Katze ist heute im Haus", "Wie wäre es morgen mit der Schule?", "Das Wetter war gestern sehr schön", "Ich weiß nichts darüber", "Es ist kalt in der Küche"],
+    "fr": ["Le chat est dans la maison", "Et si on allait à l'école demain ?", "Il faisait très beau hier", "Je ne sais rien de cela", "Il fait froid dans la cuisine"],
+    "es": ["El gato está en la casa hoy", "¿Qué tal ir a la escuela mañana?", "Ayer hizo muy buen tiempo", "No sé nada de esto", "Hace frío en la cocina"],
+    "ja": ["猫は今日家にいます", "明日学校へ行きますか"], "zh": ["猫今天在家里", "你明天去学校吗"],
+}
+
+
+@pytest.fixture(scope="module")
+def model():
+    return langid.fit([(k, t) for k, v in LINES.items() for t in v])
+
+
+def test_predicts_what_it_was_fitted_on(model):
+    texts = [(k, t) for k, v in LINES.items() for t in v]
+    got, sure = model.predict([t for _, t in texts])
+    assert sum(g == k for g, (k, _) in zip(got, texts)) >= len(texts) - 1 and (sure > 0).all()
+
+
+def test_scripts_need_no_sample(model):
+    got, sure = model.predict(["สวัสดี", "नमस्ते दुनिया", "καλημέρα", "مرحبا", "", "12 !?", "привет"])
+    assert got == ["th", "hi", "el", "ar", None, None, None] and sure[4] == 0
+
+
+def test_no_sample_at_all():
+    got, _ = langid.fit([]).predict(["hello there", "สวัสดี"])
+    assert got == [None, "th"]
+
+
+def test_held_out_lines(spark, sf):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fitted = langid.fit(langid.sample_lines(docs, "text", "lang", "doc_id") + langid.listed_words(spark.read.parquet(f"{sf}/known_words.parquet")))
+    other = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang in ('cy', 'en', 'fr', 'de', 'es', 'ja', 'zh') and doc_id > 9000")
+    out = langid.label_documents(other, fitted, "doc_id", "text", "lang").where("lang is not null").collect()
+    assert sum(r["lang"] == r["label"] for r in out) / len(out) > 0.9  # labels themselves are wrong now and then
+
+
+def test_documents(spark, model):
+    long = LINES["cy"][0] * 3000
+    df = spark.createDataFrame([(1, "\n".join([LINES["cy"][0], "", LINES["en"][0], LINES["cy"][2]]), None, 9), (2, None, "cy", 9), (3, " \n ", "en", 9), (4, long, "wel", 9)], "doc_id long, text string, lang string, chars int")
+    rows = {r["doc_id"]: r for r in langid.label_documents(df, model, "doc_id", "text", "lang").collect()}
+    assert rows[1]["lang"] == "cy" and [(x["part_no"], x["lang"]) for x in rows[1]["lines"]] == [(1, "cy"), (3, "en"), (4, "cy")]
+    assert rows[2]["lang"] is None and rows[3]["lang"] is None and rows[2]["confidence"] == 0 and rows[4]["lang"] == "cy"
+    assert langid.label_documents(df.where("false"), model, "doc_id", "text", "lang").count() == 0
+
+
+def test_label_spellings(spark):
+    labels = ["cy", "cym", "wel", "CY", "cy-GB", "en_US", "zh-Hans", "und", "", None, "xx", "klingon"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i int, l string")
+    assert [r["b"] for r in df.orderBy("i").select(langid.base_code(F.col("l")).alias("b")).collect()] == ["cy"] * 5 + ["en", "zh"] + [None] * 5
+
+
+def test_words_of_both_languages_are_home(spark, model):
+    marks = spark.createDataFrame([("football", True)] * 5 + [("football", False)] * 4 + [("gath", False)] * 9 + [("gath", True), ("map", True), (None, True)], "w0 string, m boolean")
+    known = spark.createDataFrame([("cy", "map"), ("en", "map"), ("cy", "gath"), ("en", "the")], "lang string, word string")
+    assert {r["w"]: r["lang"] for r in langid.label_words(marks, model, known, "w0", "m").collect()} == {"football": "en", "gath": "cy", "map": "cy"}
+
+
+def test_long_texts_are_scored_in_parts(model, monkeypatch):
+    texts = [LINES["cy"][0], " ".join(LINES["en"] * 40), "", "x" * 900]
+    want = model.predict(texts)[0]
+    monkeypatch.setattr(langid, "PART", 100)
+    assert model.predict(texts)[0] == want
+
+
+# ------------------------------------------------------------ sentences
+
+CASES = {
+    "Dr. Jones came at 10.30. He left.": ["Dr. Jones came at 10.30.", "He left."],
+    "They sold bread, milk, etc. Then they went.": ["They sold bread, milk, etc.", "Then they went."],
+    "Prof. J. R. Smith lives near Penrhosdu now.": ["Prof. J. R. Smith lives near Penrhosdu now."],
+    '"Come in. It is cold!" said Ann. Then she sat.': ['"Come in. It is cold!" said Ann.', "Then she sat."],
+    "Ann said: “We found it.” Who was there?": ["Ann said: “We found it.”", "Who was there?"],
+    "« Venez. C'est froid ici ! » a dit Luc. Oui.": ["« Venez. C'est froid ici ! » a dit Luc.", "Oui."],
+    "„Komm rein. Es ist kalt!“ sagte Eva. Am 3. Mai kam sie.": ["„Komm rein. Es ist kalt!“ sagte Eva.", "Am 3. Mai kam sie."],
+    "Wel... dwi ddim yn siŵr. Ie!": ["Wel... dwi ddim yn siŵr.", "Ie!"],
+    "7. Mae hi'n oer.\n- Ydy.": ["7. Mae hi'n oer.", "- Ydy."],
+    "no mark here\nand here": ["no mark here", "and here"],
+    "It was late.The end came!Yes.": ["It was late.", "The end came!", "Yes."],
+    "See voice.example/3 now. (It was 2.5 long.) Go.": ["See voice.example/3 now.", "(It was 2.5 long.)", "Go."],
+    "今日は駅へ行きますか？「はい。家です。」と先生が言いました。": ["今日は駅へ行きますか？", "「はい。家です。」と先生が言いました。"],
+    "老师说：“来吧。很好！”你要去吗？": ["老师说：“来吧。很好！”", "你要去吗？"],
+    "ราคา21.74บาท เธอจะไปไหม": ["ราคา21.74บาท", "เธอจะไปไหม"],
+    "डॉ. 20 नंबर पर थी। यह नई है।": ["डॉ. 20 नंबर पर थी।", "यह नई है।"],
+    "Θα πας; Ο κ. Νίκος ήρθε.": ["Θα πας;", "Ο κ. Νίκος ήρθε."],
+    "هل ذهبت؟ وصل د. سليمون إلى السوق.": ["هل ذهبت؟", "وصل د. سليمون إلى السوق."],
+    "What?! No!!! :-)": ["What?!", "No!!! :-)"],
+    "": [], " \n\t ": [], "...": ["..."],
+}
+
+
+@pytest.mark.parametrize("text", list(CASES))
+def test_sentences(text):
+    assert [text[a:b] for a, b in sentences.Segmenter().split(text)] == CASES[text]
+
+
+def test_every_solid_character_is_in_one_sentence():
+    rng = random.Random(1)
+    seg = sentences.Segmenter()
+    for _ in range(3000):
+        text = "".join(rng.choice('aB .!?"“”«»()1\n:,。，「」ก…\r\'') for _ in range(rng.randint(0, 40)))
+        spans = seg.split(text)
+        assert all(a < b and not text[a].isspace() and not text[b - 1].isspace() for a, b in spans)
+        assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+        inside = set().union(*[range(a, b) for a, b in spans]) if spans else set()
+        assert all(i in inside for i, c in enumerate(text) if not c.isspace() and c not in "\x1c\x1d\x1e\x85")
+
+
+def test_corpus_teaches_abbreviations_either_way(spark, monkeypatch):
+    docs = [(i, f"Mae Cyfg. Huws yma.\nAeth pawb adref.\nRoedd Cyfg. Elen {i} yno.") for i in range(20)] + [(90, None), (91, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert [r["word"] for r in sentences.abbreviations(df, "text").collect()] == ["cyfg"]
+    key = lambda out: sorted((r["doc_id"], r["sent_start"], r["sent_end"]) for r in out.collect())
+    sent = key(sentences.split_sentences(df, "doc_id", "text"))
+    assert len(sent) == 60
+    monkeypatch.setattr(sentences, "FEW", 0)
+    assert key(sentences.split_sentences(df, "doc_id", "text")) == sent
+    assert sentences.split_sentences(df.where("false"), "doc_id", "text").count() == 0
