@@ -135,7 +135,7 @@ def parse(lines: pa.Array) -> pa.Array:
 
 
 def parse_lines(df: DataFrame, line: str = "line") -> DataFrame:
-    """The rows with wordform, lemma, tag, morph, reason and offset; map-only.
+    """The rows with wordform, lemma, tag, morph, reason and offset; map-only, and parsed once even where a filter on the result follows.
 
     ``reason`` is null for valid rows, else 'columns', 'quoting' or 'value', the first that
     applies, and the fields are null. A null or empty line fails by its columns.
@@ -148,7 +148,7 @@ def parse_lines(df: DataFrame, line: str = "line") -> DataFrame:
     def parsed(lines: pa.Array) -> pa.Array:
         return parse(lines)
 
-    return df.withColumn("_p", parsed(F.col(line))).select(*df.columns, *[F.col(f"_p.{c}").alias(c) for c in names])
+    return df.withColumn("_p", parsed.asNondeterministic()(F.col(line))).select(*df.columns, *[F.col(f"_p.{c}").alias(c) for c in names])
 
 
 def features(morph: Column) -> Column:
