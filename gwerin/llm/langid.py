@@ -304,7 +304,7 @@ def identify(col: Column, model: Model) -> Column:
         lang, sure = _load(blob).predict([t or "" for t in normalize_array(texts).to_pylist()])
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(sure, pa.float64())], ["lang", "confidence"])
 
-    return whole(col)
+    return whole.asNondeterministic()(col)  # else a filter on the result would evaluate it once more
 
 
 def identify_lines(col: Column, model: Model) -> Column:
@@ -325,7 +325,7 @@ def identify_lines(col: Column, model: Model) -> Column:
         values = pa.StructArray.from_arrays([pa.array(part, pa.int64()), pa.array([len(x.strip()) for x in flat], pa.int64()), pa.array(lang, pa.string()), pa.array(sure, pa.float64())], fields=list(kind))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
-    return lines(col)
+    return lines.asNondeterministic()(col)
 
 
 def label_documents(df: DataFrame, model: Model, key: str, text: str, label: str) -> DataFrame:
