@@ -111,3 +111,30 @@ def confidence(df: DataFrame) -> DataFrame:
     agreed = F.when(F.coalesce(ca, no) & F.coalesce(pa, no), "all_three").when(F.coalesce(ca, no), "cysill+heuristic").when(F.coalesce(pa, no), "parser+heuristic").when(ca.isNull() & pa.isNull(), "heuristic_only").otherwise("disputed")
     out = df.withColumn("_c", F.when(F.coalesce(F.col("is_erosion"), no), worn).otherwise(calm)).withColumn("agreement", agreed)
     return out.select("mutation_id", F.col("_c.score").alias("score"), F.col("_c.source").alias("score_source"), "agreement")
+
+
+def neighbour_facts(words: DataFrame) -> DataFrame:
+    """Candidate facts of the layers that look at the next word or the word alone: (video_url, segment_start, i, rule, trigger_word, following_word, expected, surface, status).
+
+    In order, the first that gives a fact: a numeral or a feminine noun before what it
+    changes, and an object of a verb. Words that are triggers belong to the trigger layer.
+    """
+    by = Window.partitionBy("video_url", "segment_start").orderBy("i")
+    me = F.struct("w", "confidence", "cysill_pos", "spacy_pos", "spacy_dep", "spacy_mutation", "gender")
+    rows = words.withColumn("me", me).withColumn("to", F.lead("me").over(by)).where((F.col("confidence") >= GATE) & ~F.col("w").isin(list(T.TRIGGERS)))
+    fem = lambda p: F.coalesce(F.col(f"{p}.gender").startswith("fem"), F.lit(False))
+    noun = lambda p: F.coalesce(F.col(f"{p}.spacy_pos").isin("NOUN", "PROPN") | F.col(f"{p}.cysill_pos").startswith("N"), F.lit(False))
+    sure = F.coalesce(F.col("to.confidence") >= GATE, F.lit(False))
+    hard_s = F.col("w").endswith("s") & (text.initial_cluster(F.col("to.w")) == "d")
+    exempt = text.initial_cluster(F.col("to.w")).isin("ll", "rh")
+    option = lambda when, rule, kind, trigger, target: F.when(when & skip_reason(node(target)).isNull(), F.struct(F.lit(rule).alias("rule"), F.lit(kind).alias("expected"), trigger.alias("trigger_word"), F.col(target).alias("target")))
+    hit = F.coalesce(
+        option(sure & (F.col("w") == "un") & fem("to") & noun("to") & ~exempt, "numeral+fem_noun", "soft_limited", F.col("w"), "to"),
+        option(sure & fem("me") & noun("me") & (F.col("to.spacy_pos") == "ADJ") & ~hard_s, "fem_noun+adjective", "soft", F.col("w"), "to"),
+        option(F.coalesce(F.col("spacy_dep").isin("obj", "iobj"), F.lit(False)), "spacy_obj_soft", "soft", F.lit("[SHORT_FORM_VERB]"), "me"),
+    )
+    rows = rows.withColumn("hit", hit).where("hit is not null").select("video_url", "segment_start", "i", "hit.*")
+    x = node("target")
+    surface, expected = text.surface_type(x["w"]), F.array("expected")
+    status = F.when(text.is_english(x["w"]), "code_switch").otherwise(outcome(expected, x, surface))
+    return rows.select("video_url", "segment_start", "i", "rule", "trigger_word", x["w"].alias("following_word"), "expected", surface.alias("surface"), status.alias("status"))

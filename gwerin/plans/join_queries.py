@@ -294,3 +294,33 @@ def windowed_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gwerin.streaming.incremental import windowed_counts
 
     return windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type")
+
+
+def _skip_sql(t: str) -> str:
+    coll = f"regexp_replace({t}n, '" + "|".join(sorted(T.SINGLE_CLUSTERS, key=len, reverse=True)) + "', 'V', 'g')"
+    return f"""(len(list_filter(regexp_extract_all({t}n, '.'), lambda x: unicode(x) BETWEEN 192 AND 591 AND NOT contains('{T.LEGAL_MARKED}', x))) > 0 OR regexp_matches({t}n, '\\p{{M}}') OR regexp_matches({t}n, '{"|".join(T.IMPOSSIBLE_PAIRS)}') OR regexp_matches({coll}, '[^{T.VOWELS}V]{{4,}}')
+OR {t}n IN ({listed(T.BOD_FORMS)}) OR (coalesce({t}cysill_pos, '') IN ('', '?', 'none', 'n/a') AND {t}spacy_pos IS NULL) OR regexp_matches({t}n, '^[{T.VOWELS}]'))"""
+
+
+def _noun_sql(t: str) -> str:
+    return f"coalesce({t}spacy_pos IN ('NOUN', 'PROPN') OR starts_with({t}cysill_pos, 'N'), false)"
+
+
+_NEXT = [c for c in ("n", "confidence", "cysill_pos", "spacy_pos", "gender")]
+
+
+@query(f"""WITH k AS (SELECT min(word_id) AS id FROM words WHERE video_url IS NOT NULL AND segment_start IS NOT NULL GROUP BY video_url, segment_start, word_start, word_end),
+w AS (SELECT * FROM (SELECT x.* EXCLUDE (word), {sql_norm('word')} AS n FROM words x JOIN k ON x.word_id = k.id) WHERE length(n) >= 2),
+i AS (SELECT *, row_number() OVER o - 1 AS i, {", ".join(f"lead({c}) OVER o AS t_{c}" for c in _NEXT)} FROM w WINDOW o AS (PARTITION BY video_url, segment_start ORDER BY word_start, word_id)),
+r AS (SELECT *, CASE WHEN coalesce(t_confidence >= 0.65, false) AND n = 'un' AND coalesce(starts_with(t_gender, 'fem'), false) AND {_noun_sql('t_')} AND {CLUSTER.format(w='t_n')} NOT IN ('ll', 'rh') AND NOT {_skip_sql('t_')} THEN 'numeral+fem_noun'
+WHEN coalesce(t_confidence >= 0.65, false) AND coalesce(starts_with(gender, 'fem'), false) AND {_noun_sql('')} AND coalesce(t_spacy_pos = 'ADJ', false) AND NOT (ends_with(n, 's') AND {CLUSTER.format(w='t_n')} = 'd') AND NOT {_skip_sql('t_')} THEN 'fem_noun+adjective'
+WHEN coalesce(spacy_dep IN ('obj', 'iobj'), false) AND NOT {_skip_sql('')} THEN 'spacy_obj_soft' END AS rule FROM i WHERE confidence >= 0.65 AND n NOT IN ({listed(list(T.TRIGGERS))})),
+x AS (SELECT video_url, segment_start, i, rule, CASE WHEN rule = 'spacy_obj_soft' THEN '[SHORT_FORM_VERB]' ELSE n END AS trigger_word, CASE WHEN rule = 'numeral+fem_noun' THEN 'soft_limited' ELSE 'soft' END AS expected,
+CASE WHEN rule = 'spacy_obj_soft' THEN n ELSE t_n END AS f, CASE WHEN rule = 'spacy_obj_soft' THEN cysill_pos ELSE t_cysill_pos END AS cp, CASE WHEN rule = 'spacy_obj_soft' THEN spacy_pos ELSE t_spacy_pos END AS sp FROM r WHERE rule IS NOT NULL),
+y AS (SELECT *, {case(T.SURFACE_TYPE, CLUSTER.format(w='f'))} AS surface, CASE WHEN coalesce(cp, '') IN ('', '?', 'none', 'n/a') OR sp IS NULL THEN true ELSE list_contains({SQL_COARSE.format(p='cp')}, CASE sp WHEN 'PROPN' THEN 'NOUN' WHEN 'AUX' THEN 'VERB' ELSE sp END) END AS agree FROM x)
+SELECT video_url, segment_start, i, rule, trigger_word, f AS following_word, expected, surface, CASE WHEN f IN ({listed(ENGLISH)}) THEN 'code_switch' WHEN surface = 'soft' THEN 'correct_mutation' WHEN surface IS NULL AND f[1] IN ({listed(T.INVARIANT['soft'])}) THEN 'selective_invariancy'
+WHEN surface IS NOT NULL THEN CASE WHEN agree THEN 'wrong_mutation_type' ELSE 'erosion_unverified' END ELSE 'mutation_mismatch' END AS status FROM y""")
+def neighbour_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of the numeral, feminine-noun and object layers."""
+    out = rules.neighbour_facts(rules.enrich(table(spark, sf_dir, "words")))
+    return out.withColumn("i", F.col("i").cast("bigint"))
