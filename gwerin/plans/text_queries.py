@@ -192,6 +192,13 @@ def highlight_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.select("utterance_id", F.regexp_replace("text", r"(?i)\b(y|yn|the)\b", "[$1]").alias("marked"))
 
 
+@query()
+def highlight_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As highlight_words, over every text: a word ends where no letter, digit or mark of any script follows. DuckDB's \\b knows ASCII only, so there is no SQL."""
+    texts = table(spark, sf_dir, "chat_utterances").where("text is not null")
+    return texts.select("utterance_id", F.regexp_replace("text", r"(?iU)\b(y|yn|the)\b", "[$1]").alias("marked"))
+
+
 @query("""WITH c AS (SELECT mutation_id, following_word AS a, lemma AS b FROM mutations WHERE lemma IS NOT NULL AND following_word IS NOT NULL)
 SELECT mutation_id, a <> b AND a[length(""" + CLUSTER.format(w="a") + ") + 1:] = b[length(" + CLUSTER.format(w="b") + ") + 1:] AS initial_only FROM c")
 def differs_in_initial(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,3 +64,24 @@ def test_slug(spark):
 def test_highlight(spark):
     assert run(spark, text.highlight, "Mae y tŷ yma", "TŶ") == "Mae y [tŷ] yma"
     assert run(spark, text.highlight, "Mae y tŷ", None) == "Mae y tŷ"
+
+
+def test_highlight_texts_marks_every_text(spark, sf, tmp_path):
+    import re
+    import unicodedata
+
+    import __spark_entry__ as entry
+
+    part = lambda c: c.isalnum() or c == "_" or unicodedata.category(c)[0] == "M"
+
+    def want(s):
+        free = lambda k: not 0 <= k < len(s) or not part(s[k])
+        return re.sub(r"(?i)yn|y|the", lambda m: f"[{m[0]}]" if free(m.start() - 1) and free(m.end()) else m[0], s)
+
+    texts = ["Mae y tŷ yn ŵyn", "ŷ y â", "‘y’ • YN, y\u0302 yŷ ŷyn", "\x15y\x15 the-y ynâ âyn", "y y yn", "", None]
+    made = spark.createDataFrame(list(enumerate(texts)), "utterance_id long, text string")
+    given = spark.read.parquet(f"{sf}/chat_utterances.parquet").where("text is not null").select(F.col("utterance_id") + 100, "text")
+    made.union(given).write.parquet(str(tmp_path / "chat_utterances.parquet"))
+    rows = {r[0]: r[1] for r in spark.read.parquet(str(tmp_path / "chat_utterances.parquet")).where("text is not null").collect()}
+    got = {r["utterance_id"]: r["marked"] for r in entry.queries()["highlight_texts"](spark, str(tmp_path)).collect()}
+    assert got == {k: want(v) for k, v in rows.items()}
