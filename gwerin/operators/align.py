@@ -6,48 +6,100 @@ import difflib
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gwerin.functions import text
+from gwerin.session import checkpoint
 
-BLOCK = 120.0  # seconds of a video that are aligned at a time
-EVIDENCE = "video_url string, block bigint, w_idx bigint, word string, caption_word string, tag string, timing_ok boolean, run_len bigint"
+BLOCK = 480.0  # seconds of a video that are aligned at a time
+MARGIN = 120.0  # seconds on either side that are aligned along with them, and left to the neighbours
+PIECES = "video_url string, block bigint, w_idx bigint, word_id bigint, word string, caption_word string, tag string, timing_ok boolean, run_len bigint, c_idx bigint, run bigint"
 
 
-def stream(df: DataFrame, key: str, time: str, col: str, order: list[str]) -> DataFrame:
-    """(video_url, block, o, t, word): normalised tokens of a text column, those of a row at the row's time."""
-    cut = df.where(F.col(key).isNotNull() & F.col(time).isNotNull() & F.col(col).isNotNull()).select(F.col(key).alias("video_url"), F.col(time).cast("double").alias("t"), F.struct(*order).alias("o"), F.posexplode(F.split(F.col(col), r"[ \n\t\r]+")).alias("p", "raw"))
-    return cut.select("video_url", F.floor(F.col("t") / BLOCK).alias("block"), F.struct("t", "o", "p").alias("o"), "t", text.normalize_word(F.col("raw")).alias("word")).where("word <> ''")
+def stream(df: DataFrame, key: str, time: str, col: str, order: list[str], at: str | None = None) -> DataFrame:
+    """(video_url, home, o, t, at, id, word): normalised tokens of a text column, those of a row at the row's time; ``at`` is the time to compare, if another."""
+    when = F.coalesce(F.col(at or time), F.col(time)).cast("double")
+    cut = df.where(F.col(key).isNotNull() & F.col(time).isNotNull() & F.col(col).isNotNull()).select(F.col(key).alias("video_url"), F.col(time).cast("double").alias("t"), when.alias("at"), F.col(order[0]).alias("id"), F.struct(*order).alias("o"), F.posexplode(F.split(F.col(col), r"[ \n\t\r]+")).alias("p", "raw"))
+    return cut.select("video_url", F.floor(F.col("t") / BLOCK).alias("home"), F.struct("t", "o", "p").alias("o"), "t", "at", "id", text.normalize_word(F.col("raw")).alias("word")).where("word <> ''")
+
+
+def _numbered(s: DataFrame) -> DataFrame:
+    """The stream with each token's number in its video, from 0: blocks are counted, then added up, one row a block."""
+    before = Window.partitionBy("video_url").orderBy("home").rowsBetween(Window.unboundedPreceding, -1)
+    base = s.groupBy("video_url", "home").agg(F.count("*").alias("n")).select("video_url", "home", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    here = F.row_number().over(Window.partitionBy("video_url", "home").orderBy("o"))
+    return s.withColumn("here", here).join(base, ["video_url", "home"]).withColumn("rank", F.col("base") + F.col("here") - 1)
+
+
+def _windows(s: DataFrame) -> DataFrame:
+    """Each token once for every block within ``MARGIN`` of it; ``core`` in its own."""
+    reach = F.sequence(F.floor((F.col("t") - MARGIN) / BLOCK), F.floor((F.col("t") + MARGIN) / BLOCK))
+    return s.select("video_url", F.explode(reach).alias("block"), "home", "rank", "id", "word", F.col("at").alias("t")).withColumn("core", F.col("block") == F.col("home"))
 
 
 def _one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Evidence for the core tokens of a block; ``run`` and ``run_len`` number and measure the runs within it."""
     left = left.sort_values("rank")
     right = right.sort_values("rank")
+    cols = [x.split()[0] for x in PIECES.split(", ")]
+    core = left["core"].tolist() if "core" in left else [True] * len(left)
+    if not any(core):
+        return pd.DataFrame(columns=cols)
     a, b, ta, tb = left["word"].tolist(), right["word"].tolist(), left["t"].tolist(), right["t"].tolist()
-    rows = []
+    no = left["rank"].tolist() if "core" in left else list(range(len(left)))
+    ids = left["id"].tolist() if "id" in left else [None] * len(left)
+    nos = right["rank"].tolist() if "core" in right else list(range(len(right)))
+    rows, sizes, last = [], [], None
     for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
         for i in range(i1, i2):
+            if not core[i]:
+                continue
             j = j1 + i - i1
+            if last != i1:
+                last = i1
+                sizes.append(0)
+            sizes[-1] += 1
             if tag == "delete" or j >= j2:
-                rows.append((i, a[i], None, tag if tag == "delete" else "replace_unmatched_length", None, i2 - i1))
+                rows.append((no[i], ids[i], a[i], None, tag if tag == "delete" else "replace_unmatched_length", None, None, len(sizes) - 1))
             else:
-                rows.append((i, a[i], b[j], tag, abs(ta[i] - tb[j]) <= 15.0, i2 - i1))
-    out = pd.DataFrame(rows, columns=["w_idx", "word", "caption_word", "tag", "timing_ok", "run_len"])
-    if len(left):
-        out.insert(0, "block", left["block"].iat[0])
-        out.insert(0, "video_url", left["video_url"].iat[0])
-    return out.reindex(columns=["video_url", "block", "w_idx", "word", "caption_word", "tag", "timing_ok", "run_len"])
+                rows.append((no[i], ids[i], a[i], b[j], tag, abs(ta[i] - tb[j]) <= 15.0, nos[j], len(sizes) - 1))
+    out = pd.DataFrame(rows, columns=["w_idx", "word_id", "word", "caption_word", "tag", "timing_ok", "c_idx", "run"])
+    out["c_idx"] = out["c_idx"].astype("Int64")
+    out["run_len"] = [sizes[r] for r in out["run"]]
+    out.insert(0, "block", left["block"].iat[0])
+    out.insert(0, "video_url", left["video_url"].iat[0])
+    return out[cols]
+
+
+def _whole_runs(pieces: DataFrame) -> DataFrame:
+    """Runs measured over the whole video: a block's first run goes on from the block before if both are unmatched or their counterparts adjoin."""
+    end = F.struct((F.col("tag") == "equal").alias("eq"), "c_idx", "run_len")
+    per = pieces.groupBy("video_url", "block").agg(F.min_by(end, "w_idx").alias("first"), F.max_by(end, "w_idx").alias("last"), F.max("run").alias("runs"))
+    prev = F.lag("last").over(Window.partitionBy("video_url").orderBy("block"))
+    joined = F.coalesce((~prev["eq"] & ~F.col("first.eq")) | (prev["eq"] & F.col("first.eq") & (F.col("first.c_idx") == prev["c_idx"] + 1)), F.lit(False))
+    head = F.struct(F.lit(0).alias("side"), (~joined).cast("long").alias("new"), F.col("first.run_len").alias("len"))
+    tail = F.struct(F.lit(1).alias("side"), F.lit(1).cast("long").alias("new"), F.col("last.run_len").alias("len"))
+    parts = per.withColumn("x", F.array(head, tail)).select("video_url", "block", "runs", F.explode(F.when(F.col("runs") > 0, F.col("x")).otherwise(F.slice("x", 1, 1))).alias("x"))
+    parts = parts.select("video_url", "block", "runs", "x.*").withColumn("g", F.sum("new").over(Window.partitionBy("video_url").orderBy("block", "side")))
+    parts = parts.withColumn("whole", F.sum("len").over(Window.partitionBy("video_url", "g")))
+    ends = parts.groupBy("video_url", "block").agg(F.max("runs").alias("runs"), F.max(F.when(F.col("side") == 0, F.col("whole"))).alias("head"), F.max(F.when(F.col("side") == 1, F.col("whole"))).alias("tail"))
+    size = F.when(F.col("run") == 0, F.col("head")).when(F.col("run") == F.col("runs"), F.col("tail")).otherwise(F.col("run_len"))
+    return pieces.join(ends, ["video_url", "block"]).withColumn("run_len", size)
 
 
 def align_streams(words: DataFrame, cues: DataFrame) -> DataFrame:
-    """Evidence for each spoken token: its counterpart in the other stream, if any.
+    """Evidence for each spoken token of a video: its counterpart in the other stream, if any.
 
     The longest-matching-block alignment is sequential, so it runs as a grouped map, over
-    blocks of ``BLOCK`` seconds of a video: a long video isn't one group.
+    blocks of ``BLOCK`` seconds of a video: a long video isn't one group. A block is aligned
+    with its surroundings, so that none of its words lies at an edge.
     """
-    ranked = lambda s: s.select("video_url", "block", "t", "word", F.concat(F.lpad(F.format_string("%.3f", "t"), 16, "0"), F.to_json("o")).alias("rank"))
-    return ranked(words).groupBy("video_url", "block").cogroup(ranked(cues).groupBy("video_url", "block")).applyInPandas(_one, EVIDENCE)
+    sides = [_windows(_numbered(s)) for s in (words, cues)]
+    left = sides[0].select("video_url", "block", "core", "rank", "id", "word", "t")
+    right = sides[1].select("video_url", "block", "core", "rank", "word", "t")
+    pieces = checkpoint(left.groupBy("video_url", "block").cogroup(right.groupBy("video_url", "block")).applyInPandas(_one, PIECES))  # read twice
+    return _whole_runs(pieces).select("video_url", "block", "w_idx", "word_id", "word", "caption_word", "tag", "timing_ok", "run_len")
 
 
 def _forward(words: list[str], tokens: list[str]) -> list[int | None]:

@@ -121,8 +121,8 @@ def context_window_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def align_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "words").groupBy("video_url", "word_start", "word_end").agg(F.min_by(F.struct("word_id", "word"), "word_id").alias("w")).select("video_url", "word_start", "w.*")
-    return align.align_streams(align.stream(words, "video_url", "word_start", "word", ["word_id"]), align.stream(cues(spark, sf_dir), "video_url", "segment_start", "segment_text", ["caption_id"]))
+    words = table(spark, sf_dir, "words").groupBy("video_url", "word_start", "word_end").agg(F.min_by(F.struct("word_id", "word"), "word_id").alias("w")).select("video_url", "word_start", "word_end", "w.*")
+    return align.align_streams(align.stream(words, "video_url", "word_start", "word", ["word_id"], "word_end"), align.stream(cues(spark, sf_dir), "video_url", "segment_start", "segment_text", ["caption_id"]))
 
 
 @query()

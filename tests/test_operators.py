@@ -163,3 +163,34 @@ def test_align_marks_each_token_once(spark):
     b = pd.DataFrame({"word": list("axcde"), "t": [1.0, 2, 30, 4, 5], "rank": list("abcde"), "block": 0, "video_url": "v"})
     out = align._one(a, b)
     assert out["w_idx"].tolist() == [0, 1, 2, 3] and out["tag"].tolist() == ["equal", "replace", "equal", "equal"] and out["timing_ok"].tolist() == [True, True, False, True]
+
+
+def whole_video(words, cues):
+    """(w_idx: caption_word, tag, timing_ok, run_len) by one alignment of all tokens; words: (start, end, word), cues: (start, text)."""
+    import difflib
+
+    b = [(t, x) for t, s in cues for x in s.split()]
+    out = {}
+    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, [w for _, _, w in words], [x for _, x in b], autojunk=False).get_opcodes():
+        for i in range(i1, i2):
+            j = j1 + i - i1
+            out[i] = (None, tag if tag == "delete" else "replace_unmatched_length", None, i2 - i1) if tag == "delete" or j >= j2 else (b[j][1], tag, abs(words[i][1] - b[j][0]) <= 15, i2 - i1)
+    return out
+
+
+def test_align_streams_equals_the_whole_video(spark):
+    from gwerin.operators import align
+
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(rng.choice(list("bcdfgaeiou"), 5)) for _ in range(400)] + ["mae", "yn"]
+    said = [str(w) for w in rng.choice(vocabulary, 6000)]
+    words = [(i * 0.5, i * 0.5 + 0.4, w) for i, w in enumerate(said)]  # 3,000 s, cues of 14 words, clocks 9 s apart
+    heard = [(max(0, i * 0.5 + 9), "cath" if rng.random() < 0.05 else w) for i, w in enumerate(said) if not 1000 <= i < 1040 and (rng.random() > 0.04 or 1840 < i < 2000)]
+    cues = [(heard[k][0], " ".join(w for _, w in heard[k : k + 14])) for k in range(0, len(heard), 14)]
+    left = spark.createDataFrame([("v", k, *w) for k, w in enumerate(words)] + [("w", 9999, 1.0, 1.2, "unig")], "video_url string, word_id long, word_start double, word_end double, word string")
+    right = spark.createDataFrame([("v", k, *c) for k, c in enumerate(cues)], "video_url string, caption_id long, segment_start double, segment_text string")
+    out = align.align_streams(align.stream(left, "video_url", "word_start", "word", ["word_id"], "word_end"), align.stream(right, "video_url", "segment_start", "segment_text", ["caption_id"])).collect()
+    got = {r["w_idx"]: (r["caption_word"], r["tag"], r["timing_ok"], r["run_len"]) for r in out if r["video_url"] == "v"}
+    assert all(r["w_idx"] == r["word_id"] for r in out if r["video_url"] == "v")
+    assert [(r["w_idx"], r["tag"], r["run_len"]) for r in out if r["video_url"] == "w"] == [(0, "delete", 1)]
+    assert len(got) == 6000 and got == whole_video(words, cues)
