@@ -9,7 +9,8 @@ from gwerin import tables as T
 from gwerin.functions import text
 from gwerin.operators import align, joins, lexicon_lines, review, rules, segments, stats, tokens
 from gwerin.operators.carry import last_before
-from gwerin.plans.registry import query
+from gwerin.plans import files_queries  # noqa: F401 - it registers p7_found's SQL
+from gwerin.plans.registry import SQL, query
 from gwerin.plans.stats_queries import BASE, facts
 from gwerin.plans.text_queries import CLUSTER, ENGLISH, LINES, case, lines, listed, sql_norm
 from gwerin.session import table
@@ -73,6 +74,28 @@ def case_recovery_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.look_up(lex.select(F.lower("wordform").alias("w0")).distinct(), "w0", lex).select(F.col("w0").alias("w"), "form", "lemma", "tag")
 
 
+WHOLE_ENTRIES = SQL["p7_found"].partition("SELECT line_no, reason FROM r WHERE")[0].replace("r AS (SELECT line_no, CASE", "r AS (SELECT line_no, f, CASE") + """, x AS (SELECT f[1] AS wordform, lower(f[2]) AS l, f[3] AS tag FROM r WHERE reason IS NULL),
+g AS (SELECT wordform, count(*) AS n, CASE WHEN min(l) = max(l) THEN min(l) END AS lemma, CASE WHEN count(*) = 1 THEN min(tag) END AS tag FROM x GROUP BY wordform)
+"""
+
+
+def whole_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every valid line, quoted fields included."""
+    return joins.lexicon(lexicon_lines.parse_lines(table(spark, sf_dir, "lexicon_lines").select("line")).where("reason is null"))
+
+
+@query(WHOLE_ENTRIES + "SELECT wordform, n, lemma, tag FROM g")
+def whole_lexicon_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whole_entries(spark, sf_dir).select("wordform", "n", "lemma", "tag")
+
+
+@query(WHOLE_ENTRIES + """, w AS (SELECT DISTINCT lower(wordform) AS w FROM g)
+SELECT w, coalesce(a.wordform, b.wordform) AS form, CASE WHEN a.wordform IS NOT NULL THEN a.lemma ELSE b.lemma END AS lemma, CASE WHEN a.wordform IS NOT NULL THEN a.tag ELSE b.tag END AS tag FROM w LEFT JOIN g a ON a.wordform = w LEFT JOIN g b ON b.wordform = upper(w[1]) || w[2:]""")
+def whole_case_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lex = whole_entries(spark, sf_dir)
+    return joins.look_up(lex.select(F.lower("wordform").alias("w0")).distinct(), "w0", lex).select(F.col("w0").alias("w"), "form", "lemma", "tag")
+
+
 @query(f"""WITH w AS (SELECT DISTINCT {sql_norm('word')} AS n FROM words), c AS (SELECT lower(following_word) AS n, min(lemma) AS lemma FROM mutations WHERE lemma IS NOT NULL GROUP BY 1)
 SELECT n, CASE WHEN n IN ({listed(T.SUPPLETIVE)}) THEN n WHEN n IN ({listed(ENGLISH)}) THEN NULL ELSE coalesce(c.lemma, n) END AS lemma FROM w LEFT JOIN c USING (n) WHERE n <> ''""")
 def lemma_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

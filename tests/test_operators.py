@@ -194,3 +194,14 @@ def test_align_streams_equals_the_whole_video(spark):
     assert all(r["w_idx"] == r["word_id"] for r in out if r["video_url"] == "v")
     assert [(r["w_idx"], r["tag"], r["run_len"]) for r in out if r["video_url"] == "w"] == [(0, "delete", 1)]
     assert len(got) == 6000 and got == whole_video(words, cues)
+
+
+def test_whole_lexicon_has_quoted_lines(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    lines = ["clo\tclo\tNOUN", '"clo"\tcloi\tVERB', '"a ""b"""\tb\tNOUN\r', '"Cymru"\t"Cymru"\tPROPN', 'x"\tx\tX']
+    spark.createDataFrame([(i, s) for i, s in enumerate(lines)], "line_no long, line string").write.parquet(str(tmp_path / "lexicon_lines.parquet"))
+    got = {r["wordform"]: (r["n"], r["lemma"], r["tag"]) for r in entry.queries()["whole_lexicon_ambiguity"](spark, str(tmp_path)).collect()}
+    assert got == {"clo": (2, None, None), 'a "b"': (1, "b", "NOUN"), "Cymru": (1, "cymru", "PROPN")}
+    got = {r["w"]: (r["form"], r["lemma"]) for r in entry.queries()["whole_case_recovery"](spark, str(tmp_path)).collect()}
+    assert got == {"clo": ("clo", None), 'a "b"': ('a "b"', "b"), "cymru": ("Cymru", "cymru")}
