@@ -10,6 +10,7 @@ from gwerin.functions import text
 
 AHEAD = 3
 GATE = 0.65
+BUCKET = 300.0  # seconds of a video whose words are looked through at a time
 
 
 def node(prefix: str) -> dict[str, Column]:
@@ -27,6 +28,27 @@ def enrich(words: DataFrame) -> DataFrame:
     return w.withColumn("i", F.row_number().over(by) - 1)
 
 
+def with_next(words: DataFrame, steps: int, whole: bool) -> DataFrame:
+    """The words with those that follow as next1, next2, ...: within their segment or, if ``whole``, within their video.
+
+    Over a video, words lie in buckets of ``BUCKET`` seconds; a bucket gets the first words of those after it.
+    """
+    if not whole:
+        by = Window.partitionBy("video_url", "segment_start").orderBy("i")
+        return words.withColumns({f"next{k}": F.lead("me", k).over(by) for k in range(1, steps + 1)})
+    words = words.withColumn("_b", F.floor(F.col("segment_start") / BUCKET))
+    bucket = Window.partitionBy("video_url", "_b")
+    by = bucket.orderBy("segment_start", "i")
+    here = words.withColumns({f"_lead{k}": F.lead("me", k).over(by) for k in range(1, steps + 1)} | {"_at": F.row_number().over(by)}).withColumn("_left", F.count("*").over(bucket) - F.col("_at"))
+    first = here.where(F.col("_at") <= steps).groupBy("video_url", "_b").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "me"))), lambda x: x["me"]).alias("_first"))
+    later = Window.partitionBy("video_url").orderBy("_b")
+    none = F.slice("_first", 1, 0)
+    then = first.select("video_url", "_b", F.concat(*[F.coalesce(F.lead("_first", k).over(later), none) for k in range(1, steps + 1)]).alias("_then"))
+    here = here.join(then, ["video_url", "_b"])
+    after = lambda k: F.when(F.col("_left") >= k, F.col(f"_lead{k}")).otherwise(F.try_element_at("_then", F.greatest(F.lit(1), F.lit(k) - F.col("_left")).cast("int")))
+    return here.withColumns({f"next{k}": after(k) for k in range(1, steps + 1)}).drop("_b", "_at", "_left", "_then", *[f"_lead{k}" for k in range(1, steps + 1)])
+
+
 def expected_types(t: dict[str, Column], target: dict[str, Column]) -> Column:
     """Array of the types that a trigger asks for, given its own tags and, for mixed triggers, the target's beginning."""
     listed = F.split(F.try_element_at(text.literal_map(T.TRIGGERS), t["w"]), r"\|")
@@ -63,18 +85,17 @@ def outcome(expected: Column, x: dict[str, Column], surface: Column) -> Column:
     )
 
 
-def word_trigger_facts(words: DataFrame) -> DataFrame:
+def word_trigger_facts(words: DataFrame, whole: bool = False) -> DataFrame:
     """Candidate facts of the word-trigger layer: (video_url, segment_start, i, ahead, trigger_word, following_word, expected, surface, status).
 
     ``ahead`` says how many words a trigger consumes; the target is the first of the next
-    three that is neither a filler nor the trigger again.
+    three that is neither a filler nor the trigger again; if ``whole``, also in a later segment.
     """
-    by = Window.partitionBy("video_url", "segment_start").orderBy("i")
     me = F.struct("w", "confidence", "cysill_pos", "spacy_pos", "spacy_dep", "spacy_mutation", "gender", "word_end")
-    rows = words.withColumn("me", me)
+    rows = with_next(words.withColumn("me", me), AHEAD, whole)
     target, ahead = F.lit(None), F.lit(AHEAD + 1)
     for k in range(AHEAD, 0, -1):
-        nxt = F.lead("me", k).over(by)
+        nxt = F.col(f"next{k}")
         fits = nxt.isNotNull() & ~nxt["w"].isin(T.FILLERS) & (nxt["w"] != F.col("w"))
         target, ahead = F.when(fits, nxt).otherwise(target), F.when(fits, k).otherwise(ahead)
     rows = rows.withColumns({"to": target, "ahead": ahead}).where(F.col("w").isin(list(T.TRIGGERS)) & (F.col("confidence") >= GATE) & F.col("to").isNotNull()).where(F.col("to.confidence") >= GATE)
@@ -113,15 +134,15 @@ def confidence(df: DataFrame) -> DataFrame:
     return out.select("mutation_id", F.col("_c.score").alias("score"), F.col("_c.source").alias("score_source"), "agreement")
 
 
-def neighbour_facts(words: DataFrame) -> DataFrame:
+def neighbour_facts(words: DataFrame, whole: bool = False) -> DataFrame:
     """Candidate facts of the layers that look at the next word or the word alone: (video_url, segment_start, i, rule, trigger_word, following_word, expected, surface, status).
 
     In order, the first that gives a fact: a numeral or a feminine noun before what it
-    changes, and an object of a verb. Words that are triggers belong to the trigger layer.
+    changes, and an object of a verb. Words that are triggers belong to the trigger layer. If
+    ``whole``, the next word may be in the next segment.
     """
-    by = Window.partitionBy("video_url", "segment_start").orderBy("i")
     me = F.struct("w", "confidence", "cysill_pos", "spacy_pos", "spacy_dep", "spacy_mutation", "gender")
-    rows = words.withColumn("me", me).withColumn("to", F.lead("me").over(by)).where((F.col("confidence") >= GATE) & ~F.col("w").isin(list(T.TRIGGERS)))
+    rows = with_next(words.withColumn("me", me), 1, whole).withColumnRenamed("next1", "to").where((F.col("confidence") >= GATE) & ~F.col("w").isin(list(T.TRIGGERS)))
     fem = lambda p: F.coalesce(F.col(f"{p}.gender").startswith("fem"), F.lit(False))
     noun = lambda p: F.coalesce(F.col(f"{p}.spacy_pos").isin("NOUN", "PROPN") | F.col(f"{p}.cysill_pos").startswith("N"), F.lit(False))
     sure = F.coalesce(F.col("to.confidence") >= GATE, F.lit(False))

@@ -347,3 +347,21 @@ def neighbour_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of the numeral, feminine-noun and object layers."""
     out = rules.neighbour_facts(rules.enrich(table(spark, sf_dir, "words")))
     return out.withColumn("i", F.col("i").cast("bigint"))
+
+
+def _whole_video(sql: str) -> str:
+    """The SQL with its look at the next words over the whole video; i stays the number within the segment."""
+    return sql.replace("row_number() OVER o - 1 AS i", "row_number() OVER (PARTITION BY video_url, segment_start ORDER BY word_start, word_id) - 1 AS i").replace("WINDOW o AS (PARTITION BY video_url, segment_start ORDER BY", "WINDOW o AS (PARTITION BY video_url ORDER BY segment_start,")
+
+
+@query(_whole_video(SQL["rule_decision_list"]))
+def whole_rule_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As rule_decision_list, with targets in later segments too."""
+    out = rules.word_trigger_facts(rules.enrich(table(spark, sf_dir, "words")), whole=True)
+    return out.select("video_url", "segment_start", F.col("i").cast("bigint").alias("i"), "trigger_word", "following_word", "expected", "surface", "status")
+
+
+@query(_whole_video(SQL["neighbour_rules"]))
+def whole_neighbour_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As neighbour_rules, with the next word in the next segment too."""
+    return rules.neighbour_facts(rules.enrich(table(spark, sf_dir, "words")), whole=True).withColumn("i", F.col("i").cast("bigint"))

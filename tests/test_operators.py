@@ -205,3 +205,16 @@ def test_whole_lexicon_has_quoted_lines(spark, tmp_path):
     assert got == {"clo": (2, None, None), 'a "b"': (1, "b", "NOUN"), "Cymru": (1, "cymru", "PROPN")}
     got = {r["w"]: (r["form"], r["lemma"]) for r in entry.queries()["whole_case_recovery"](spark, str(tmp_path)).collect()}
     assert got == {"clo": ("clo", None), 'a "b"': ('a "b"', "b"), "cymru": ("Cymru", "cymru")}
+
+
+def test_next_words_lie_in_later_segments_and_buckets(spark):
+    from gwerin.operators import rules
+
+    rng = np.random.default_rng(6)
+    starts = sorted(float(x) for x in rng.choice(np.arange(0, 6000, 7), 60, replace=False))
+    rows = [("v", s, i, f"{s}/{i}") for s in starts for i in range(int(rng.integers(1, 4)))] + [("w", 1.0, 0, "x")]
+    words = spark.createDataFrame(rows, "video_url string, segment_start double, i int, w string").withColumn("me", F.struct("w"))
+    got = {r["w"]: [r[f"next{k}"] and r[f"next{k}"]["w"] for k in (1, 2, 3)] for r in rules.with_next(words, 3, True).collect()}
+    v = [r[3] for r in rows if r[0] == "v"]
+    want = {x: ([*v[k + 1 : k + 4], None, None, None])[:3] for k, x in enumerate(v)} | {"x": [None] * 3}
+    assert got == want
