@@ -1,170 +1,303 @@
 """Schemas that drift between files (problem 6).
 
-Each file of a series is profiled by field: JSON type, a small sketch of its values and
-its name. Between neighbouring files, fields that went and fields that came are paired by
-bipartite matching: two match if their values agree in every fact that holds both, and
-among several possible partners the one with more agreement, the more similar sketch and
-the more similar name wins. Chains of renames lead to one name per field, and all facts
-are read into one table under those names.
+Each file of a series is profiled by field: JSON type, kinds of values and, for fields that
+went or came, a sketch of their values. Between neighbouring files, fields that went and
+fields that came are paired by bipartite matching: two match if their values agree in every
+fact that holds both, and among several possible partners the one with more agreement, the
+more similar sketch and the more similar name wins. Renames are followed through each
+series, so that a field keeps one identity under changing names, and all facts are read
+into one table with one typed column per field.
 """
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gwerin.operators.assignment import assign
-from gwerin.operators.carry import last_before
+from gwerin.operators.carry import last_before, sum_before
 from gwerin.session import checkpoint
 
-SKETCH = 16  # smallest value hashes kept of a field in a file
+SKETCH = 6  # log2 of the entries of a sketch of a field's values: bounded, and merged in the map
 KINDS = ["boolean", "whole number", "decimal number", "string", "nested"]
+# what a value can be read as, however it is written
+CLASSES = ["flag", "bit", "whole", "decimal", "text"]
+TRUE, FALSE = ["true", "yes"], ["false", "no"]
+OWN = ["rec_id", "series", "file_name", "row_no", "broken", "rest"]
 
 
-def fields(records: DataFrame) -> DataFrame:
-    """Long form: (series, file_name, stamp, day, fact, field, kind, value) of every field of every delivered row.
+def _stamp(name: Column | str) -> list[Column]:
+    """stamp and day of a file name: the order of files, and a number that rises with it."""
+    return [F.regexp_extract(name, r"(\d{8}_\d{6})", 1).alias("stamp"), F.coalesce(F.regexp_extract(name, r"(\d{8})_\d{6}", 1).try_cast("bigint"), F.lit(0)).alias("day")]
 
-    Rows that agree in (file_name, row_no) count once, under the lowest rec_id. A record that
-    is null, broken or no JSON object holds no field. A field that is null has a null kind.
-    Whole and decimal numbers compare by value.
+
+def delivered(records: DataFrame) -> DataFrame:
+    """(rec_id, series, file_name, row_no, record): rows that agree in (file_name, row_no) once, under the lowest rec_id; without a file name none."""
+    once = records.where("file_name is not null").groupBy("file_name", "row_no").agg(F.min_by(F.struct("rec_id", "series", "record"), "rec_id").alias("r"))
+    return once.select(F.col("r.rec_id").alias("rec_id"), F.coalesce("r.series", F.lit("")).alias("series"), "file_name", "row_no", F.col("r.record").alias("record"))
+
+
+def _object(record: str) -> Column:
+    """The record as a variant; null unless it is one JSON object that names no key twice."""
+    v = F.try_parse_json(record)
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+
+
+def fields(once: DataFrame) -> DataFrame:
+    """Long form: (series, file_name, fact, field, kind, value) of every field of delivered rows.
+
+    A record that is null, broken, no JSON object or names a key twice holds no field. A
+    field that is null has a null kind. Whole and decimal numbers compare by value. ``fact``
+    is a 128-bit hash of the fact's identity.
     """
-    once = records.where("file_name is not null").groupBy("file_name", "row_no").agg(F.min_by(F.struct("series", "record"), "rec_id").alias("r"))
-    rows = once.select(F.coalesce("r.series", F.lit("")).alias("series"), "file_name", F.try_parse_json("r.record").alias("v")).where("v is not null and schema_of_variant(v) like 'OBJECT%'")
-    fact = F.struct(F.try_variant_get("v", "$.video_url", "string").alias("url"), F.try_variant_get("v", "$.timestamp", "string").alias("ts"))
-    spark = records.sparkSession
-    long = rows.withColumn("fact", fact).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("field"), F.col("value").alias("x")))
+    rows = once.select("series", "file_name", _object("record").alias("v")).where("v is not null")
+    fact = F.struct(*[F.xxhash64(F.try_variant_get("v", "$.video_url", "string"), F.try_variant_get("v", "$.timestamp", "string"), F.lit(seed)).alias(f"f{seed}") for seed in (1, 2)])
+    long = rows.withColumn("fact", fact).lateralJoin(once.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("field"), F.col("value").alias("x")))
     kind = F.schema_of_variant("x")
     text = F.try_variant_get("x", "$", "string")
     number = F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
     of = F.when(kind == "BIGINT", "whole number").when(kind.startswith("DECIMAL") | (kind == "DOUBLE") | (kind == "FLOAT"), "decimal number").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind != "VOID", "nested")
     value = F.when(of.isin("whole number", "decimal number"), F.concat(F.lit("n"), number)).when(of.isNotNull(), F.concat(F.substring(of, 1, 1), F.coalesce(text, F.to_json("x"))))
-    stamp = F.regexp_extract("file_name", r"(\d{8}_\d{6})", 1)
-    return long.select("series", "file_name", stamp.alias("stamp"), F.coalesce(F.regexp_extract("file_name", r"(\d{8})_\d{6}", 1).try_cast("bigint"), F.lit(0)).alias("day"), "fact", "field", of.alias("kind"), value.alias("value"))
+    return long.select("series", "file_name", "fact", "field", of.alias("kind"), value.alias("value"))
+
+
+def _class() -> Column:
+    """One of CLASSES for a value of ``fields``."""
+    kind, said = F.col("kind"), F.expr("substring(value, 2)")
+    number = kind.isin("whole number", "decimal number", "string")
+    return (
+        F.when(kind.isNull(), None).when((kind == "boolean") | (kind == "string") & F.lower(said).isin(TRUE + FALSE), "flag").when(number & said.isin("0", "1"), "bit")
+        .when(number & said.rlike(r"^-?\d{1,18}(\.0+)?$"), "whole").when((kind == "decimal number") | (kind == "string") & said.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), "decimal").otherwise("text")
+    )
 
 
 def profile(long: DataFrame) -> DataFrame:
-    """(series, file_name, stamp, day, field, kind, sketch): one row per field of a file.
+    """(series, file_name, stamp, day, field, kind, and a count of each of CLASSES): one row per field of a file, counted in the map.
 
     Of several kinds decimal covers whole; else the most frequent counts.
     """
-    per = long.groupBy("series", "file_name", "stamp", "day", "field", "kind", "value").agg(F.count("*").alias("n"))
-    counts = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in KINDS]
-    out = per.groupBy("series", "file_name", "stamp", "day", "field").agg(*counts, F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("value"), F.lit(4)) == 0, F.xxhash64("value")))), 1, SKETCH).alias("sketch"))
+    count = lambda of, names: [F.sum(F.when(of == k, 1).otherwise(0)).alias(k) for k in names]
+    out = long.withColumn("class", _class()).groupBy("series", "file_name", "field").agg(*count(F.col("kind"), KINDS), *count(F.col("class"), CLASSES))
     whole = F.when(F.col("decimal number") > 0, 0).otherwise(F.col("whole number"))
     both = F.when(F.col("decimal number") > 0, F.col("decimal number") + F.col("whole number")).otherwise(0)
     top = F.array_max(F.array(*[F.struct(c.alias("n"), F.lit(k).alias("k")) for k, c in (("boolean", F.col("boolean")), ("decimal number", both), ("nested", F.col("nested")), ("string", F.col("string")), ("whole number", whole))]))
-    return out.select("series", "file_name", "stamp", "day", "field", F.when(top["n"] > 0, top["k"]).alias("kind"), "sketch")
+    return out.select("series", "file_name", *_stamp("file_name"), "field", F.when(top["n"] > 0, top["k"]).alias("kind"), *CLASSES)
 
 
-def _words(name: str) -> set[str]:
-    return set(re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name).lower().replace("-", "_").split("_")) - {""}
+def name_similarity(a: Column, b: Column) -> Column:
+    """Between 0 and 1: shared words of two field names, equal when only their spelling differs."""
+    words = lambda c: F.array_distinct(F.array_remove(F.split(F.lower(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1_$2")), "[-_]"), ""))
+    x, y = words(a), words(b)
+    return F.size(F.array_intersect(x, y)) / F.greatest(F.lit(1), F.least(F.size(x), F.size(y)))
 
 
-def name_similarity(a: str, b: str) -> float:
-    """Between 0 and 1: shared words of two field names, equal when only their spelling differs."""
-    x, y = _words(a), _words(b)
-    return len(x & y) / max(1, min(len(x), len(y)))
-
-
-def _match(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Optimal pairs of gone and new fields of one file; those not paired are removed and added."""
-    old, new = sorted(pairs["old_name"].dropna().unique()), sorted(pairs["new_name"].dropna().unique())
-    file = pairs["file_name"].iat[0]
-    rows = []
-    left, right = set(old), set(new)
-    if old and new:
-        score = np.zeros((len(old), len(new)))
-        for r in pairs.dropna(subset=["old_name", "new_name"]).itertuples():
-            alike = name_similarity(r.old_name, r.new_name)
-            if r.both > 0 and r.equal == r.both or r.both == 0 and alike >= 0.5:
-                a, b = set(r.old_sketch if r.old_sketch is not None else ()), set(r.new_sketch if r.new_sketch is not None else ())
-                score[old.index(r.old_name), new.index(r.new_name)] = 1 + min(r.both, 1000) + alike + len(a & b) / max(1, len(a | b))
-        for i, j in enumerate(assign(-score)):
-            if j >= 0 and score[i, j] > 0:
-                rows.append((file, "renamed", old[i], new[j]))
-                left.discard(old[i])
-                right.discard(new[j])
-    rows += [(file, "removed", x, "") for x in sorted(left)] + [(file, "added", "", x) for x in sorted(right)]
-    return pd.DataFrame(rows, columns=["file_name", "change", "old_name", "new_name"])
+def _pairs(candidates: Column) -> Column:
+    """Best one-to-one pairs among an array of (old_name, new_name, score): an assignment per row of the batch."""
 
+    @F.arrow_udf("array<struct<old_name:string,new_name:string>>")
+    def best(batch: pa.Array) -> pa.Array:
+        out = []
+        for some in batch.to_pylist():
+            old, new = sorted({x["old_name"] for x in some}), sorted({x["new_name"] for x in some})
+            at, to = {n: i for i, n in enumerate(old)}, {n: i for i, n in enumerate(new)}
+            score = np.zeros((len(old), len(new)))
+            for x in some:
+                score[at[x["old_name"]], to[x["new_name"]]] = x["score"]
+            out.append([{"old_name": old[i], "new_name": new[j]} for i, j in enumerate(assign(-score)) if j >= 0 and score[i, j] > 0])
+        return pa.array(out, pa.list_(pa.struct([("old_name", pa.string()), ("new_name", pa.string())])))
 
-def changes(records: DataFrame) -> DataFrame:
-    """(file_name, change, old_name, new_name) against the file before in the same series.
+    return best(candidates)
 
-    Files are ordered by the stamp in their name, then by name. Tasks hold one file's
-    profile, or the candidates of one pair of files; values are compared only for fields
-    that went or came.
-    """
-    long = checkpoint(fields(records))  # read for the profiles and twice for values
-    prof = checkpoint(profile(long))
+
+def _moved(long: DataFrame, diff: DataFrame) -> DataFrame:
+    """(file_name, change, old_name, new_name) of fields that went or came; ``diff`` has series, file_name, before, old_name, new_name, one name of a row being null."""
+    gone, new = diff.where("old_name is not null").drop("new_name"), diff.where("new_name is not null").drop("old_name")
+    # values of those fields by fact, brought together by one exchange; a fact with two values in a file equals only itself
+    asked = gone.select("series", F.col("before").alias("file_name"), F.col("file_name").alias("now"), F.col("old_name").alias("field"), F.lit(True).alias("old")).unionByName(
+        new.select("series", "file_name", F.col("file_name").alias("now"), F.col("new_name").alias("field"), F.lit(False).alias("old"))
+    )
+    values = long.where("value is not null").join(asked, ["series", "file_name", "field"])
+    h = [F.xxhash64("value", F.lit(seed)) for seed in (1, 2)]
+    cells = values.select("now", "old", "field", "fact", h[0].alias("a"), h[1].alias("b")).repartition("now", "fact").groupBy("now", "fact", "old", "field").agg(*[f(c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in "ab"])
+    marks = ["lo_a", "lo_b", "hi_a", "hi_b"]
+    side = lambda is_old, name, tail: cells.where(F.col("old") == is_old).select("now", "fact", F.col("field").alias(name), *[F.col(c).alias(c + tail) for c in marks])
+    same = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"{c}2") for c in marks])
+    agree = side(True, "old_name", "").join(side(False, "new_name", "2"), ["now", "fact"]).groupBy(F.col("now").alias("file_name"), "old_name", "new_name").agg(F.count("*").alias("both"), F.sum(same.cast("long")).alias("equal"))
+
+    sketch = values.groupBy("now", "old", "field").agg(F.theta_sketch_agg("value", SKETCH).alias("k"))
+    old_k, new_k = (sketch.where(F.col("old") == o).select(F.col("now").alias("file_name"), F.col("field").alias(name), F.col("k").alias(out)) for o, name, out in ((True, "old_name", "k1"), (False, "new_name", "k2")))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    pairs = gone.select("file_name", "old_name").join(new.select("file_name", "new_name"), "file_name").join(agree, ["file_name", "old_name", "new_name"], "left")
+    pairs = pairs.withColumn("alike", name_similarity(F.col("old_name"), F.col("new_name"))).where(((zero("both") > 0) & (zero("equal") == zero("both"))) | ((zero("both") == 0) & (F.col("alike") >= 0.5)))
+    pairs = pairs.join(old_k, ["file_name", "old_name"], "left").join(new_k, ["file_name", "new_name"], "left")
+    shared = F.coalesce(F.theta_sketch_estimate(F.theta_intersection("k1", "k2")) / F.greatest(F.lit(1), F.theta_sketch_estimate(F.theta_union("k1", "k2"))), F.lit(0.0))
+    scored = pairs.select("file_name", F.struct("old_name", "new_name", (1 + zero("both") + F.col("alike") + shared).cast("double").alias("score")).alias("p"))
+    renamed = checkpoint(scored.groupBy("file_name").agg(F.collect_list("p").alias("c")).select("file_name", F.explode(_pairs(F.col("c"))).alias("p")).select("file_name", "p.*"))  # read three times
+    left = gone.join(renamed, ["file_name", "old_name"], "left_anti").select("file_name", F.lit("removed").alias("change"), "old_name", F.lit("").alias("new_name"))
+    came = new.join(renamed, ["file_name", "new_name"], "left_anti").select("file_name", F.lit("added").alias("change"), F.lit("").alias("old_name"), "new_name")
+    return renamed.select("file_name", F.lit("renamed").alias("change"), "old_name", "new_name").unionByName(left).unionByName(came)
+
+
+def _changes(long: DataFrame, prof: DataFrame) -> DataFrame:
     files = prof.select("series", "file_name", "stamp", "day").distinct().withColumn("me", F.struct("file_name"))
     files = last_before(files, ["series"], "day", ["stamp", "file_name"], "me", "before").select("series", "file_name", F.col("before.file_name").alias("before"))
     pairs = checkpoint(files.where("before is not null"))
 
-    then = prof.join(pairs.select("series", F.col("before").alias("file_name"), F.col("file_name").alias("now")), ["series", "file_name"]).select("series", "now", F.col("file_name").alias("before"), F.col("field").alias("f"), F.col("sketch").alias("old_sketch"))
-    now = prof.join(pairs.select("series", "file_name", "before"), ["series", "file_name"]).select(F.col("series").alias("s2"), F.col("file_name").alias("n2"), F.col("before").alias("b2"), F.col("field").alias("f2"), F.col("sketch").alias("new_sketch"))
+    then = prof.join(pairs.select("series", F.col("before").alias("file_name"), F.col("file_name").alias("now")), ["series", "file_name"]).select("series", "now", F.col("file_name").alias("before"), F.col("field").alias("f"))
+    now = prof.join(pairs, ["series", "file_name"]).select(F.col("series").alias("s2"), F.col("file_name").alias("n2"), F.col("before").alias("b2"), F.col("field").alias("f2"))
     both = then.join(now, (F.col("series") == F.col("s2")) & (F.col("now") == F.col("n2")) & (F.col("f") == F.col("f2")), "full_outer")
-    diff = both.where("f is null or f2 is null").select(F.coalesce("series", "s2").alias("series"), F.coalesce("now", "n2").alias("file_name"), F.coalesce("before", "b2").alias("before"), F.col("f").alias("old_name"), F.col("f2").alias("new_name"), "old_sketch", "new_sketch")
-    diff = checkpoint(diff)
-    gone, new = diff.where("old_name is not null").drop("new_name", "new_sketch"), diff.where("new_name is not null").drop("old_name", "old_sketch")
-
-    # values of the fields that went and came, by fact; a fact with two values in a file equals only itself
-    values = lambda names, file, field: long.where("value is not null").join(names.select("series", F.col(file).alias("file_name"), F.col("file_name").alias("now") if file != "file_name" else F.col("file_name").alias("_same"), F.col(field).alias("field")), ["series", "file_name", "field"])
-    old_values = values(gone, "before", "old_name").groupBy("series", "now", "fact", "field").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).select("series", F.col("now").alias("file_name"), "fact", F.col("field").alias("old_name"), "lo", "hi")
-    new_values = values(new, "file_name", "new_name").groupBy("series", "file_name", "fact", "field").agg(F.min("value").alias("lo2"), F.max("value").alias("hi2")).withColumnRenamed("field", "new_name")
-    agree = old_values.join(new_values, ["series", "file_name", "fact"]).groupBy("series", "file_name", "old_name", "new_name").agg(F.count("*").alias("both"), F.sum(((F.col("lo") == F.col("lo2")) & (F.col("hi") == F.col("hi2"))).cast("long")).alias("equal"))
-
-    candidates = gone.drop("before").join(new.drop("before"), ["series", "file_name"]).join(agree, ["series", "file_name", "old_name", "new_name"], "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    cols = ["file_name", "old_name", "new_name", "old_sketch", "new_sketch"]
-    every = candidates.select(*cols, zero("both"), zero("equal")).unionByName(diff.select(*cols, F.lit(0).cast("long").alias("both"), F.lit(0).cast("long").alias("equal")))
-    moved = every.groupBy("file_name").applyInPandas(_match, "file_name string, change string, old_name string, new_name string")
+    diff = checkpoint(both.where("f is null or f2 is null").select(F.coalesce("series", "s2").alias("series"), F.coalesce("now", "n2").alias("file_name"), F.coalesce("before", "b2").alias("before"), F.col("f").alias("old_name"), F.col("f2").alias("new_name")))
 
     kinds = last_before(prof.select("series", "field", "day", "stamp", "file_name", "kind"), ["series", "field"], "day", ["stamp", "file_name"], "kind", "had")
     stayed = kinds.where("kind <> had").join(pairs, ["series", "file_name"]).join(prof.select("series", F.col("file_name").alias("before"), "field"), ["series", "before", "field"], "left_semi")
-    return moved.unionByName(stayed.select("file_name", F.lit("type").alias("change"), F.col("field").alias("old_name"), F.col("field").alias("new_name")))
+    return _moved(long, diff).unionByName(stayed.select("file_name", F.lit("type").alias("change"), F.col("field").alias("old_name"), F.col("field").alias("new_name")))
 
 
-def first_names(report: DataFrame) -> DataFrame:
-    """(series, file_name, new_name, first_name) of each rename: the name at the start of its chain.
+def changes(records: DataFrame) -> DataFrame:
+    """(file_name, change, old_name, new_name) against the file before in the same series.
+
+    Files are ordered by the stamp in their name, then by name. A task of the matching
+    holds the candidate pairs of a file's fields; values are compared only for fields that
+    went or came.
+    """
+    once = checkpoint(delivered(records))  # read for the profiles and again for values
+    long = fields(once)
+    return _changes(long, checkpoint(profile(long)))
+
 
-    Each rename points to the last one before it that gave its old name; pointers are
-    doubled until all reach the start. ``report`` has series, day and stamp besides.
+def identities(usage: DataFrame, report: DataFrame) -> DataFrame:
+    """(series, file_name, field, label): which field of the series a name stands for in each file.
+
+    A field is labelled by the name at the start of its chain of renames. A name that comes
+    back though its field lives on under another one is a field of its own, name#2, name#3
+    and so on. ``usage`` and ``report`` have series, file_name, stamp and day.
     """
-    nodes = report.where("change = 'renamed'").select("series", "day", "stamp", "file_name", "old_name", "new_name")
-    given = nodes.select("series", "day", "stamp", "file_name", F.col("new_name").alias("name"), F.lit(1).alias("side"), F.struct("file_name", "old_name").alias("by"))
-    asked = nodes.select("series", "day", "stamp", "file_name", F.col("old_name").alias("name"), F.lit(0).alias("side"), F.lit(None).cast("struct<file_name:string,old_name:string>").alias("by"))
-    up = last_before(given.unionByName(asked), ["series", "name"], "day", ["stamp", "file_name", "side"], "by", "parent").where("side = 0")
-    links = nodes.join(up.select("series", "file_name", F.col("name").alias("old_name"), "parent"), ["series", "file_name", "old_name"], "left")
-    links = checkpoint(links.select("series", "file_name", "old_name", "new_name", "parent", F.col("old_name").alias("root")))
+    at = ["series", "day", "stamp", "file_name"]
+    none = F.lit(None).cast("struct<what:string,file_name:string,old_name:string>")
+    event = lambda rows, name, side, what, old: rows.select(*at, F.col(name).alias("name"), F.lit(side).alias("side"), F.struct(F.lit(what).alias("what"), "file_name", old.alias("old_name")).alias("e"))
+    renamed, added = report.where("change = 'renamed'"), report.where("change = 'added'")
+    null = F.lit(None).cast("string")
+    events = event(renamed, "old_name", 1, "out", null).unionByName(event(renamed, "new_name", 2, "in", F.col("old_name"))).unionByName(event(added, "new_name", 2, "added", null))
+    asks = renamed.select(*at, F.col("old_name").alias("name"), F.lit(0).alias("side"), none.alias("e")).unionByName(usage.select(*at, F.col("field").alias("name"), F.lit(3).alias("side"), none.alias("e")))
+    line = last_before(events.unionByName(asks), ["series", "name"], "day", ["stamp", "file_name", "side"], "e", "last")
+    line = line.withColumn("reborn", ((F.col("e.what") == "added") & F.coalesce(F.col("last.what") == "out", F.lit(False))).cast("long")).withColumn("came", F.when(F.col("e.what") != "out", F.col("e"))).drop("last")
+    line = last_before(line, ["series", "name"], "day", ["stamp", "file_name", "side"], "came", "from")
+    line = sum_before(line, ["series", "name"], "day", ["stamp", "file_name", "side"], "reborn", "births").where("side in (0, 3)")
+    label = F.when(F.col("births") > 0, F.concat("name", F.lit("#"), F.col("births") + 1)).otherwise(F.col("name"))
+    line = checkpoint(line.select("series", "file_name", "name", "side", label.alias("label"), F.when(F.col("from.what") == "in", F.struct(F.col("from.file_name").alias("file_name"), F.col("from.old_name").alias("name"))).alias("parent")))
+
+    # each rename points to the one that gave its old name; pointers are doubled until all reach the start
+    links = line.where("side = 0").drop("side")
     while links.where("parent is not null").limit(1).count():
-        above = links.select("series", F.struct("file_name", "old_name").alias("parent"), F.col("root").alias("root2"), F.col("parent").alias("parent2"))
-        links = checkpoint(links.join(above, ["series", "parent"], "left").select("series", "file_name", "old_name", "new_name", F.col("parent2").alias("parent"), F.coalesce("root2", "root").alias("root")))
-    return links.select("series", "file_name", "new_name", F.col("root").alias("first_name"))
+        above = links.select("series", F.struct("file_name", "name").alias("parent"), F.col("label").alias("label2"), F.col("parent").alias("parent2"))
+        links = checkpoint(links.join(above, ["series", "parent"], "left").select("series", "file_name", "name", F.coalesce("label2", "label").alias("label"), F.col("parent2").alias("parent")))
+    root = links.select("series", F.struct("file_name", "name").alias("parent"), F.col("label").alias("root"))
+    return line.where("side = 3").join(root, ["series", "parent"], "left").select("series", "file_name", F.col("name").alias("field"), F.coalesce("root", "label").alias("label"))
+
+
+def common_names(used: DataFrame) -> dict[str, str]:
+    """Label -> name of the field over all series, for labels that are not their own name.
+
+    A field that one series begins under a name which another series gave it by renaming
+    has the other's label, unless the two ever stand in one file. Only the vocabulary of
+    names reaches the driver: one row per pair of a name and a label.
+    """
+    pairs = {(r["field"], r["label"]) for r in used.select("field", "label").distinct().collect()}
+    labels = {label for _, label in pairs}
+    to: dict[str, str] = {}
+    for field, label in sorted(pairs):
+        if field != label and field in labels:
+            to.setdefault(field, label)
+    barred: set[str] = set()
+    while True:
+        out = {}
+        for label in sorted(set(to) - barred):
+            seen, end = [label], to[label]
+            while end in to and end not in barred and end not in seen:
+                seen.append(end)
+                end = to[end]
+            if end in seen:  # a circle of renames: its first name in order
+                end = min(seen[seen.index(end) :])
+            if end != label:
+                out[label] = end
+        if not out:
+            return out
+        table = used.sparkSession.createDataFrame(list(out.items()), "label string, common string")
+        clash = used.join(table, "label", "left").groupBy("series", "file_name", F.coalesce("common", "label").alias("common")).agg(F.collect_set("label").alias("l")).where(F.size("l") > 1)
+        hit = {x for r in clash.select(F.explode("l").alias("x")).distinct().collect() for x in [r["x"]] if x in out}
+        if not hit:
+            return out
+        barred |= hit
+
+
+def _type(n: dict[str, int]) -> str:
+    """Column type that most values of a field can be read as."""
+    if 2 * n["text"] >= sum(n.values()):
+        return "string"
+    if n["flag"] and n["flag"] >= n["whole"] + n["decimal"]:
+        return "boolean"
+    return "double" if n["decimal"] else "bigint"
+
+
+def _read(kind: str, said: Column) -> Column:
+    if kind == "boolean":
+        return F.when(F.lower(said).isin(*TRUE, "1", "1.0"), True).when(F.lower(said).isin(*FALSE, "0", "0.0"), False)
+    if kind == "bigint":
+        return F.regexp_extract(said, r"^(-?\d{1,19})(?:\.0*)?$", 1).try_cast("bigint")
+    return said.try_cast(kind) if kind == "double" else said
 
 
 def unify(records: DataFrame, report: DataFrame | None = None) -> DataFrame:
-    """All facts in one table: (rec_id, series, file_name, row_no, facts map<first name, value as text>).
+    """All facts in one table: rec_id, series, file_name, row_no, broken, one typed column per field, rest.
 
-    Re-delivered rows count once. Names are those a field had first in its series; a field
-    that is null or absent isn't in the map. Broken records keep their row with a null map.
+    Re-delivered rows count once. A field has one column, named as it was first, whatever
+    its names in the files, of the type that most of its values can be read as: boolean
+    (true, yes, 1, ...), bigint, double or string. Values that can't be read so stay as text
+    in ``rest`` (column -> text; null if there is none). A record that is null, broken, no
+    object or names a key twice keeps its row with ``broken`` true. A column that would
+    clash with another one, case ignored, gets underscores at its end. The list of
+    columns, as of any table, is on the driver.
     """
-    report = changes(records) if report is None else report
-    once = records.where("file_name is not null").groupBy("file_name", "row_no").agg(F.min_by(F.struct("rec_id", "series", "record"), "rec_id").alias("r")).select(F.col("r.rec_id").alias("rec_id"), F.coalesce("r.series", F.lit("")).alias("series"), "file_name", "row_no", F.col("r.record").alias("record"))
-    stamp = lambda c: [F.regexp_extract(c, r"(\d{8}_\d{6})", 1).alias("stamp"), F.coalesce(F.regexp_extract(c, r"(\d{8})_\d{6}", 1).try_cast("bigint"), F.lit(0)).alias("day")]
-    series_of = once.select("series", "file_name").distinct()
-    renames = first_names(report.join(series_of, "file_name").select("series", "file_name", "change", "old_name", "new_name", *stamp("file_name")))
-    # the name that holds in each file: the last rename of the field up to that file
-    long = fields(records).select("series", "file_name", "stamp", "day", "field").distinct()
-    known = renames.select("series", "file_name", *stamp("file_name"), F.col("new_name").alias("field"), F.struct("first_name").alias("to"), F.lit(0).alias("side"))
-    held = last_before(long.select("series", "file_name", "stamp", "day", "field", F.lit(None).cast("struct<first_name:string>").alias("to"), F.lit(1).alias("side")).unionByName(known), ["series", "field"], "day", ["stamp", "file_name", "side"], "to", "now").where("side = 1")
-    names = held.where("now is not null").groupBy("series", "file_name").agg(F.map_from_entries(F.collect_list(F.struct("field", F.col("now.first_name").alias("n")))).alias("names"))
-    rows = once.join(names, ["series", "file_name"], "left")
-    raw = F.from_json("record", "map<string,string>")
-    facts = F.map_filter(raw, lambda k, v: v.isNotNull())
-    named = F.map_from_entries(F.transform(F.map_entries(facts), lambda e: F.struct(F.coalesce(F.try_element_at("names", e["key"]), e["key"]).alias("key"), e["value"].alias("value"))))
-    return rows.select("rec_id", "series", "file_name", "row_no", named.alias("facts"))
+    once = checkpoint(delivered(records))
+    long = fields(once)
+    prof = checkpoint(profile(long))
+    report = _changes(long, prof) if report is None else report
+    files = prof.select("series", "file_name").distinct()
+    usage = prof.select("series", "file_name", "stamp", "day", "field")
+    used = checkpoint(identities(usage, report.join(files, "file_name").select("series", "file_name", *_stamp("file_name"), "change", "old_name", "new_name")))
+    common = common_names(used)
+
+    counts: dict[str, dict[str, int]] = {}
+    for r in used.join(prof, ["series", "file_name", "field"]).groupBy("label").agg(*[F.sum(c).alias(c) for c in CLASSES]).collect():  # one row per label
+        n = counts.setdefault(common.get(r["label"], r["label"]), dict.fromkeys(CLASSES, 0))
+        for c in CLASSES:
+            n[c] += r[c]
+    columns, taken = {}, {c.lower() for c in OWN}
+    for name in sorted(counts):
+        out = name
+        while out.lower() in taken:
+            out += "_"
+        taken.add(out.lower())
+        columns[name] = out
+
+    spark = records.sparkSession
+    table = spark.createDataFrame(list(common.items()), "label string, common string")
+    names = used.join(table, "label", "left").select("series", "file_name", "field", F.coalesce("common", "label").alias("name"))
+    twice = F.row_number().over(Window.partitionBy("series", "file_name", "name").orderBy("field")) > 1  # never by the above; if ever, the value goes to the rest
+    names = names.withColumn("name", F.when(twice, F.concat(F.lit("?"), "field")).otherwise(F.col("name"))).where("name <> field")
+    names = names.groupBy("series", "file_name").agg(F.map_from_entries(F.collect_list(F.struct("field", "name"))).alias("names"))
+    rows = once.withColumn("v", _object("record")).select("rec_id", "series", "file_name", "row_no", F.col("v").isNull().alias("broken"), F.try_variant_get("v", "$", "map<string,string>").alias("raw")).join(names, ["series", "file_name"], "left")
+    named = F.map_from_entries(F.transform(F.map_entries("raw"), lambda e: F.struct(F.coalesce(F.try_element_at("names", e["key"]), e["key"]).alias("key"), e["value"].alias("value"))))
+    rows = rows.select("rec_id", "series", "file_name", "row_no", "broken", named.alias("facts"))
+    typed = {out: _read(_type(counts[name]), F.try_element_at("facts", F.lit(name))) for name, out in columns.items()}
+    if not typed:
+        return rows.select("rec_id", "series", "file_name", "row_no", "broken", F.lit(None).cast("map<string,string>").alias("rest"))
+    said = {out: F.try_element_at("facts", F.lit(name)) for name, out in columns.items()}
+    odd = F.filter(F.array(*[F.struct(F.lit(out).alias("key"), F.when(typed[out].isNull(), said[out]).alias("value")) for name, out in columns.items() if _type(counts[name]) != "string"], *[F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"))]), lambda x: x["value"].isNotNull())
+    stray = F.filter(F.map_entries("facts"), lambda e: e["value"].isNotNull() & e["key"].startswith("?") & ~e["key"].isin(list(columns)))
+    rest = F.concat(odd, F.coalesce(stray, F.array().cast("array<struct<key:string,value:string>>")))
+    return rows.select("rec_id", "series", "file_name", "row_no", "broken", *[c.alias(out) for out, c in typed.items()], F.when(F.size(rest) > 0, F.map_from_entries(rest)).alias("rest"))

@@ -47,14 +47,70 @@ def test_broken_null_and_repeated_records(spark):
     again = df.withColumn("rec_id", df["rec_id"] + 100)
     got = sorted((r["change"], r["new_name"]) for r in drift.changes(df.unionByName(again)).collect())
     assert got == [("added", "n")]
-    rows = {r["rec_id"]: r["facts"] for r in drift.unify(df.unionByName(again)).collect()}
-    assert len(rows) == 5 and rows[1]["a"] == "1" and rows[2] is None
+    rows = {r["rec_id"]: r for r in drift.unify(df.unionByName(again)).collect()}
+    assert len(rows) == 5 and rows[1]["a"] == 1 and [rows[k]["broken"] for k in (1, 2, 3, 4, 5)] == [False, True, True, True, False]
 
 
 def test_rename_chains_reach_the_first_name(spark):
     files = [("s", f"2025010{k}_000000", [fact(i, **{name: i}) for i in range(3)]) for k, name in enumerate(("words", "wordCount", "n_words", "n_words"), 1)]
-    facts = drift.unify(table(spark, files)).collect()
-    assert len(facts) == 12 and all(set(r["facts"]) == {"video_url", "timestamp", "words"} for r in facts)
+    df = drift.unify(table(spark, files))
+    assert df.columns == ["rec_id", "series", "file_name", "row_no", "broken", "timestamp", "video_url", "words", "rest"]
+    assert sorted(r["words"] for r in df.collect()) == sorted([0, 1, 2] * 4)
+
+
+def test_a_name_that_comes_back_is_another_field(spark):
+    """a becomes b, then a new a appears, then that one becomes c."""
+    files = [
+        ("s", "20250101_000000", [fact(i, a=i) for i in range(3)]),
+        ("s", "20250102_000000", [fact(i, b=i) for i in range(3)]),
+        ("s", "20250103_000000", [fact(i, b=i, a=f"x{i}") for i in range(3)]),
+        ("s", "20250104_000000", [fact(i, b=i, c=f"x{i}") for i in range(3)]),
+    ]
+    rows = drift.unify(table(spark, files)).collect()
+    assert sorted(r["a"] for r in rows) == sorted([0, 1, 2] * 4)
+    assert [r["a#2"] for r in sorted(rows, key=lambda r: r["rec_id"])] == [None] * 6 + ["x0", "x1", "x2"] * 2
+
+
+def test_a_key_named_twice_breaks_its_record_only(spark):
+    df = drift.unify(table(spark, [("s", "20250101_000000", [fact(1, a=1), '{"video_url":"u","timestamp":"2s","a":1,"a":2}'])]))
+    assert sorted((r["rec_id"], r["broken"], r["a"]) for r in df.collect()) == [(1, False, 1), (2, True, None)]
+
+
+def test_columns_are_typed_and_misfits_kept(spark):
+    said = [True, 1, "yes", "False", 0, "no", "perhaps"]
+    counts = [12, 12.0, "12", 7, None, "about 3", -1]
+    rows = [fact(i, ok=a, n=b, share=i + 0.5, note=f"t{i}", Note=1) for i, (a, b) in enumerate(zip(said, counts))]
+    got = sorted(drift.unify(table(spark, [("s", "20250101_000000", rows)])).collect(), key=lambda r: r["rec_id"])
+    assert [r["ok"] for r in got] == [True, True, True, False, False, False, None]
+    assert [r["n"] for r in got] == [12, 12, 12, 7, None, None, -1]
+    assert got[0]["share"] == 0.5 and got[0]["note_"] == "t0" and got[0]["Note"] == 1
+    assert [r["rest"] for r in got] == [None] * 5 + [{"n": "about 3"}, {"ok": "perhaps"}]
+
+
+def test_series_that_begin_under_a_later_name_share_the_column(spark):
+    files = [
+        ("s", "20250101_000000", [fact(i, words=i) for i in range(3)]), ("s", "20250102_000000", [fact(i, word_count=i) for i in range(3)]),
+        ("t", "20250103_000000", [fact(i + 9, word_count=i) for i in range(3)]),
+    ]
+    df = drift.unify(table(spark, files))
+    assert "word_count" not in df.columns and sorted(r["words"] for r in df.collect()) == sorted([0, 1, 2] * 3)
+
+
+def test_fields_of_one_file_are_never_merged_over_series(spark):
+    files = [
+        ("s", "20250101_000000", [fact(i, words=i) for i in range(3)]), ("s", "20250102_000000", [fact(i, word_count=i) for i in range(3)]),
+        ("t", "20250103_000000", [fact(i + 9, word_count=i, words=7) for i in range(3)]),
+    ]
+    rows = [r for r in drift.unify(table(spark, files)).collect() if r["series"] == "t"]
+    assert sorted((r["words"], r["word_count"]) for r in rows) == [(7, 0), (7, 1), (7, 2)]
+
+
+def test_rivals_are_told_apart_by_evidence_however_many_facts_agree(spark):
+    """Both old fields may be x by their 1,001 or 1,003 equal facts; the one with more wins against its name."""
+    old = [fact(i, x_old=1 if i < 1001 else None, other=1 if i < 1003 else None) for i in range(1100)]
+    new = [fact(i, x=1 if i < 1003 else None) for i in range(1100)]
+    got = changes(spark, [("s", "20250101_000000", old), ("s", "20250102_000000", new)])
+    assert got == [("20250102", "removed", "x_old", ""), ("20250102", "renamed", "other", "x")]
 
 
 def test_empty(spark):
