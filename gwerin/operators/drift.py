@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from gwerin.operators.assignment import assign
 from gwerin.operators.carry import last_before, sum_before
-from gwerin.session import checkpoint
+from gwerin.session import checkpoint, sent
 
 SKETCH = 6  # log2 of the entries of a sketch of a field's values: bounded, and merged in the map
+FEW = 50_000  # fields that went or came up to which their list is sent to the values; beyond, values are shuffled to it
 KINDS = ["boolean", "whole number", "decimal number", "string", "nested"]
 # what a value can be read as, however it is written
 CLASSES = ["flag", "bit", "whole", "decimal", "text"]
@@ -120,15 +121,15 @@ def _moved(long: DataFrame, diff: DataFrame) -> DataFrame:
     asked = gone.select("series", F.col("before").alias("file_name"), F.col("file_name").alias("now"), F.col("old_name").alias("field"), F.lit(True).alias("old")).unionByName(
         new.select("series", "file_name", F.col("file_name").alias("now"), F.col("new_name").alias("field"), F.lit(False).alias("old"))
     )
-    values = long.where("value is not null").join(asked, ["series", "file_name", "field"])
-    h = [F.xxhash64("value", F.lit(seed)) for seed in (1, 2)]
-    cells = values.select("now", "old", "field", "fact", h[0].alias("a"), h[1].alias("b")).repartition("now", "fact").groupBy("now", "fact", "old", "field").agg(*[f(c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in "ab"])
+    h = [F.xxhash64("value", F.lit(seed)).alias(name) for seed, name in ((1, "a"), (2, "b"))]
+    values = checkpoint(long.where("value is not null").join(sent(asked, FEW), ["series", "file_name", "field"]).select("now", "old", "field", "fact", *h))  # read for facts and for sketches
+    cells = values.repartition("now", "fact").groupBy("now", "fact", "old", "field").agg(*[f(c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in "ab"])
     marks = ["lo_a", "lo_b", "hi_a", "hi_b"]
     side = lambda is_old, name, tail: cells.where(F.col("old") == is_old).select("now", "fact", F.col("field").alias(name), *[F.col(c).alias(c + tail) for c in marks])
     same = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"{c}2") for c in marks])
     agree = side(True, "old_name", "").join(side(False, "new_name", "2"), ["now", "fact"]).groupBy(F.col("now").alias("file_name"), "old_name", "new_name").agg(F.count("*").alias("both"), F.sum(same.cast("long")).alias("equal"))
 
-    sketch = values.groupBy("now", "old", "field").agg(F.theta_sketch_agg("value", SKETCH).alias("k"))
+    sketch = values.groupBy("now", "old", "field").agg(F.theta_sketch_agg("a", SKETCH).alias("k"))
     old_k, new_k = (sketch.where(F.col("old") == o).select(F.col("now").alias("file_name"), F.col("field").alias(name), F.col("k").alias(out)) for o, name, out in ((True, "old_name", "k1"), (False, "new_name", "k2")))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     pairs = gone.select("file_name", "old_name").join(new.select("file_name", "new_name"), "file_name").join(agree, ["file_name", "old_name", "new_name"], "left")

@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of spark.checkpoint.dir.
+    """Cut the lineage with a reliable checkpoint in the shared folder of spark.checkpoint.dir.
 
-    The cluster names that folder; only where nothing is set (local tests) a
-    temporary one is made.
+    On one machine, where nothing is set, the checkpoints lie below the warehouse folder; on
+    a cluster an unset folder is an error, as executors would not find one another's files.
+    What a session wrote is removed with the frames if spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gwerin-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = spark.conf.get("spark.sql.warehouse.dir") + "-checkpoints"
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
+def sent(df: DataFrame, most_rows: int) -> DataFrame:
+    """The frame marked for broadcast if it has at most ``most_rows`` rows, else as it is: the join then shuffles. The rows of the join are the same."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
