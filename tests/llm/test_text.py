@@ -196,13 +196,62 @@ def test_every_solid_character_is_in_one_sentence():
         assert all(i in inside for i, c in enumerate(text) if not c.isspace() and c not in "\x1c\x1d\x1e\x85")
 
 
-def test_corpus_teaches_abbreviations_either_way(spark, monkeypatch):
-    docs = [(i, f"Mae Cyfg. Huws yma.\nAeth pawb adref.\nRoedd Cyfg. Elen {i} yno.") for i in range(20)] + [(90, None), (91, "")]
+def cut(text, seg=None):
+    return [text[a:b] for a, b in (seg or sentences.Segmenter()).split(text)]
+
+
+def test_the_document_overrules_each_list_in_both_directions():
+    for word in ("st", "no", "etc"):  # on the lists of what never ends, of what stands before numbers, of what may end
+        shown = f"They were at the {word}.\nIt was a fine {word}.\n"
+        assert cut(shown + f"It was a {word}. Then he left.")[-1] == "Then he left."
+    assert cut("It was a no.\nIt was a bad no.\nHe said no. 5 people came.")[-1] == "5 people came."
+    assert cut("He said no. 5 people came.") == ["He said no. 5 people came."]
+    for word in ("dish", "etc", "constitutional"):  # ordinary, on a list of what may end, longer than any list has
+        assert cut(f"Then {word}. of the day and {word}. of the night.\nThey saw the {word}. Morfael there.") == [f"Then {word}. of the day and {word}. of the night.", f"They saw the {word}. Morfael there."]
+    assert cut("They saw the dish. Morfael was there.") == ["They saw the dish.", "Morfael was there."]
+
+
+def test_a_name_behind_an_abbreviation_does_not_begin_a_sentence():
+    seen = "Then Anderson came in.\nWe saw Anderson there.\n"
+    assert cut(seen + "He met Inc. Anderson.")[-1] == "He met Inc. Anderson."
+    assert cut("He met Inc. Anderson.") == ["He met Inc.", "Anderson."]
+    assert cut(seen + "Anderson left.\nThey sold milk, etc. Anderson came.")[-2:] == ["They sold milk, etc.", "Anderson came."]  # it also begins lines
+    assert cut(seen + "They sold milk, etc. Then we left.")[-1] == "Then we left."
+    starter, name = sentences.Segmenter(names={"anderson": sentences.STARTER}), sentences.Segmenter(names={"anderson": sentences.NAME})
+    assert cut(seen + "He met Inc. Anderson.", starter)[-1] == "Anderson."
+    assert cut("He met Inc. Anderson.", name) == ["He met Inc. Anderson."]
+
+
+def test_the_corpus_counts_before_the_lists_and_behind_the_document():
+    seg = sentences.Segmenter({"st": sentences.WORD, "dish": sentences.NEVER, "cym": sentences.NUMBER})
+    assert cut("It was a st. Then he left.", seg) == ["It was a st.", "Then he left."]
+    assert cut("It was a dish. Then he left.", seg) == ["It was a dish. Then he left."]
+    assert cut("A dish.\nThe dish.\nIt was a dish. Then he left.", seg)[-1] == "Then he left."
+    assert cut("Gweler cym. 7 yma. Yna cym. Aeth.", seg) == ["Gweler cym. 7 yma.", "Yna cym.", "Aeth."]
+
+
+def test_plain_lines_and_lines_walked_by_themselves_agree():
+    rng = random.Random(5)
+    parts = ["Mae", "dr", "e.g", "etc", "no", "Hi", "a", "5", "12", "IV", "st", "क", "。", "!", "?", "…", "...", ".", ". ", ". ", ". ", "; ", " ", "\n", ",", "-", "'", "’", "\"", "“", "”", "(", ")", "/", "@", "ไทย", "Ω", "να", "😀"]
+    seg = sentences.Segmenter({"hi": sentences.MAY}, {"mae": sentences.NAME})
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)] + list(CASES)
+    got, want = seg.split_all(texts), seg.split_all(texts, walk=True)
+    assert all((x == y).all() for x, y in zip(got, want))
+    one = [seg.split(t) for t in texts]
+    assert [p for some in one for p in some] == list(zip(got[0].tolist(), got[1].tolist())) and [len(x) for x in one] == got[2].tolist()
+
+
+def test_corpus_teaches_abbreviations_and_names(spark):
+    docs = [(i, f"Mae Cyfarwyddg. Huws yma.\nAeth pawb adref.\nRoedd Cyfarwyddg. Elen {i} yno. Cyfarwyddg. y dydd yno.") for i in range(20)] + [(90, None), (91, ""), (None, docs_end := "Aeth Cyfarwyddg. Huws. Do."), (None, docs_end)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert [r["word"] for r in sentences.abbreviations(df, "text").collect()] == ["cyfg"]
-    key = lambda out: sorted((r["doc_id"], r["sent_start"], r["sent_end"]) for r in out.collect())
-    sent = key(sentences.split_sentences(df, "doc_id", "text"))
-    assert len(sent) == 60
-    monkeypatch.setattr(sentences, "FEW", 0)
-    assert key(sentences.split_sentences(df, "doc_id", "text")) == sent
+    learned, names = sentences.learn(sentences.word_counts(df, "text"))
+    assert learned == {"cyfarwyddg": sentences.NEVER} and names == {"cyfarwyddg": sentences.NAME}
+    rows = sentences.split_sentences(df, "doc_id", "text").collect()
+    assert len(rows) == 20 * 4 + 2 * 2 and sum(r["doc_id"] is None for r in rows) == 4
     assert sentences.split_sentences(df.where("false"), "doc_id", "text").count() == 0
+
+
+def test_what_the_corpus_may_know_is_bounded_by_its_share(spark):
+    counts = spark.createDataFrame([("rare", 0, 0, 50, 0, 0, 0, 0, 0), ("often", 0, 0, 20_000_000, 0, 0, 0, 0, 0)], "word string, " + ", ".join(f"{c} bigint" for c in sentences.COUNTS))
+    assert sentences.learn(counts)[0] == {"often": sentences.NEVER}
+    assert sentences.learn(counts.where("word = 'rare'"))[0] == {"rare": sentences.NEVER}
