@@ -70,7 +70,7 @@ NEVER, NUMBER, MAY, WORD, NAMED = 1, 2, 3, 4, 5
 # what a capitalised word is: a name, or one that also begins lines
 NAME, STARTER = 1, 2
 COUNTS = ["plain", "ends", "small", "upper", "digit", "inside", "begins", "lower"]
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 (
     IS_LETTER, IS_WORD, IS_DIGIT, IS_UPPER, IS_LOWER, IS_SPACE, IS_BREAK, IS_SKIP, IS_PAIR, IS_TERM, IS_GREEK_TERM, IS_THAI, IS_GREEK, IS_DEVANAGARI, IS_OPENER, IS_SOLID,
 ) = (1 << i for i in range(16))
