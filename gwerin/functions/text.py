@@ -12,12 +12,18 @@ def literal_map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
-def normalize_word(word: Column) -> Column:
-    """Lower case, straight quotes, edges stripped, clitic 'r removed and 'n spelt yn; null and empty give the empty text.
+def compose(word: Column) -> Column:
+    """Letters with a combining mark behind them as one character, for the marks that the language's letters carry; word in lower case."""
+    out = word
+    for mark, letters in T.MARKED.items():
+        for plain, whole in zip(letters[::2], letters[1::2]):
+            out = F.replace(out, F.lit(plain + mark), F.lit(whole))
+    return F.when(word.rlike("[" + "".join(T.MARKED) + "]"), out).otherwise(word)
+
 
-    Marks are expected composed, as the sources write them.
-    """
-    s = F.lower(F.translate(F.coalesce(word, F.lit("")), "“”‘’", "\"\"''"))
+def normalize_word(word: Column) -> Column:
+    """Lower case, marks composed, straight quotes, edges stripped, clitic 'r removed and 'n spelt yn; null and empty give the empty text."""
+    s = compose(F.lower(F.translate(F.coalesce(word, F.lit("")), "“”‘’", "\"\"''")))
     s = F.btrim(s, F.lit(".,!?;:'\"()[]"))
     return F.replace(F.replace(s, F.lit("'r"), F.lit("")), F.lit("'n"), F.lit("yn"))
 
@@ -56,7 +62,7 @@ def forward_form(radical: Column, kind: str) -> Column:
     """The radical with its first matching source, longest first, changed as ``kind`` has it; null if none applies."""
     out = F.lit(None).cast("string")
     for source, target in sorted(T.FORWARD[kind].items(), key=lambda x: (len(x[0]), x[0])):
-        out = F.when(radical.startswith(source), F.concat(F.lit(target), F.substring(radical, len(source) + 1, 1000))).otherwise(out)
+        out = F.when(radical.startswith(source), F.concat(F.lit(target), F.substring(radical, len(source) + 1, 1 << 30))).otherwise(out)
     return F.nullif(out, F.lit(""))
 
 
@@ -66,16 +72,17 @@ def surface_forms(radical: Column, expected: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*forms)))
 
 
-def reverse_candidates(surface: Column) -> Column:
-    """Sorted array of radicals that some change turns into the surface form."""
+def reverse_candidates(surface: Column, expected: Column | None = None) -> Column:
+    """Sorted array of radicals that some change turns into the surface form; only the types of ``expected``, if given."""
     cluster, out = initial_cluster(surface), []
-    for kind in ("soft", "nasal", "aspirate", "colloquial_affricate"):
+    asked = (lambda kind: F.lit(True)) if expected is None else (lambda kind: F.array_contains(expected, kind))
+    for kind in ("soft", "soft_limited", "nasal", "aspirate", "colloquial_affricate"):
         for source, target in T.FORWARD[kind].items():
-            rest = F.substring(surface, len(target) + 1, 1000)
-            if target == "":
-                out.append(F.when(surface.rlike(f"^[{T.VOWELS}]"), F.concat(F.lit(source), surface)))
-            else:
-                out.append(F.when(cluster == target, F.concat(F.lit(source), rest)))
+            rest = F.substring(surface, len(target) + 1, 1 << 30)
+            shows = surface.rlike(f"^[{T.VOWELS}]") if target == "" else cluster == target
+            out.append(F.when(asked(kind) & shows, F.concat(F.lit(source), rest)))
+    if expected is not None:
+        out.append(F.when(asked("h-mutation") & surface.rlike(f"^h[{T.VOWELS}]"), F.substring(surface, 2, 1 << 30)))
     return F.array_sort(F.array_distinct(F.array_except(F.array_compact(F.array(*out)), F.array(surface))))
 
 
@@ -134,5 +141,5 @@ def highlight(text: Column, word: Column, left: str = "[", right: str = "]") ->
 
 
 def differs_only_in_initial(a: Column, b: Column) -> Column:
-    rest = lambda w: F.substring(w, F.length(initial_cluster(w)) + F.lit(1), F.lit(1000))
+    rest = lambda w: F.substring(w, F.length(initial_cluster(w)) + F.lit(1), F.lit(1 << 30))
     return (a != b) & (rest(a) == rest(b))

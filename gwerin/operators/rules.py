@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,32 +11,51 @@ from gwerin.functions import text
 
 AHEAD = 3
 GATE = 0.65
+HIGH = 0.85
 BUCKET = 300.0  # seconds of a video whose words are looked through at a time
+TAGS = ["word", "confidence", "cysill_pos", "spacy_pos", "spacy_dep", "spacy_mutation", "gender"]
+# what a parser or tagger may say besides; layers that need it are silent where a table lacks it
+MORE = ["head", "head_dep", "head_verbform", "cysill_mutation_type", "number"]
+# what the layers ask of a word, told once for each word rather than for each that looks at it
+TOLD = ["sure", "english", "seen", "lead", "noun", "feminine", "adjective", "pause", "tagged", "shown", "own", "trigger"]
+NODE = ["w", *TAGS[1:], *MORE, "lemma", "word_end", *TOLD]
 
 
 def node(prefix: str) -> dict[str, Column]:
-    return {c: F.col(f"{prefix}.{c}") for c in ("w", "confidence", "cysill_pos", "spacy_pos", "spacy_dep", "spacy_mutation", "gender")}
+    return {c: F.col(f"{prefix}.{c}") for c in NODE}
 
 
-def enrich(words: DataFrame) -> DataFrame:
-    """(video_url, segment_start, i, node): delivered words once, in order within their segment, with what the taggers said.
+def lemma_table(facts: DataFrame) -> DataFrame:
+    """(n, lemma, genuine) of the words that earlier facts hold: the first lemma in order, and whether a tagger gave it rather than the lexicon."""
+    known = facts.where("lemma is not null and following_word is not null")
+    return known.groupBy(text.normalize_word(F.col("following_word")).alias("n")).agg(F.min("lemma").alias("lemma"), F.max(~F.coalesce(F.col("locally_resolved"), F.lit(False))).alias("genuine"))
 
-    The order is by segment, so no video, however long, is sorted in one task.
+
+def enrich(words: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
+    """(video_url, segment_start, i, node): delivered words once, in order within their segment, with what the taggers said and the lemma.
+
+    The order is by segment, so no video, however long, is sorted in one task. Suppletive
+    forms are their own lemma, words of the other language have none. Columns of MORE that
+    the table lacks are null.
     """
-    w = words.where("video_url is not null and segment_start is not null").groupBy("video_url", "segment_start", "word_start", "word_end").agg(F.min_by(F.struct("word_id", "word", "confidence", "cysill_pos", "spacy_pos", "spacy_dep", "spacy_mutation", "gender"), "word_id").alias("r")).select("video_url", "segment_start", "word_start", "word_end", "r.*")
+    kept = [c for c in MORE if c in words.columns]
+    w = words.where("video_url is not null and segment_start is not null").groupBy("video_url", "segment_start", "word_start", "word_end").agg(F.min_by(F.struct("word_id", *TAGS, *kept), "word_id").alias("r")).select("video_url", "segment_start", "word_start", "word_end", "r.*")
     w = w.withColumn("w", text.normalize_word(F.col("word"))).where(F.length("w") >= 2)
+    w = w.withColumns({c: F.lit(None).cast("string") for c in MORE if c not in kept})
+    if lemmas is None:
+        w = w.withColumns({"lemma": F.lit(None).cast("string"), "genuine": F.lit(None).cast("boolean")})
+    else:
+        w = w.join(lemmas, w["w"] == lemmas["n"], "left").drop("n")
+    w = w.withColumn("lemma", F.when(F.col("w").isin(T.SUPPLETIVE), F.col("w")).when(~text.is_english(F.col("w")), F.nullif(text.normalize_word(F.col("lemma")), F.lit(""))))
     by = Window.partitionBy("video_url", "segment_start").orderBy("word_start", "word_id")
     return w.withColumn("i", F.row_number().over(by) - 1)
 
 
-def with_next(words: DataFrame, steps: int, whole: bool) -> DataFrame:
-    """The words with those that follow as next1, next2, ...: within their segment or, if ``whole``, within their video.
+def with_next(words: DataFrame, steps: int) -> DataFrame:
+    """The words of each video with those that follow as next1, next2, ..., and their bucket ``_b`` and place ``_at`` in it.
 
-    Over a video, words lie in buckets of ``BUCKET`` seconds; a bucket gets the first words of those after it.
+    Words lie in buckets of ``BUCKET`` seconds; a bucket gets the first words of those after it.
     """
-    if not whole:
-        by = Window.partitionBy("video_url", "segment_start").orderBy("i")
-        return words.withColumns({f"next{k}": F.lead("me", k).over(by) for k in range(1, steps + 1)})
     words = words.withColumn("_b", F.floor(F.col("segment_start") / BUCKET))
     bucket = Window.partitionBy("video_url", "_b")
     by = bucket.orderBy("segment_start", "i")
@@ -46,7 +66,20 @@ def with_next(words: DataFrame, steps: int, whole: bool) -> DataFrame:
     then = first.select("video_url", "_b", F.concat(*[F.coalesce(F.lead("_first", k).over(later), none) for k in range(1, steps + 1)]).alias("_then"))
     here = here.join(then, ["video_url", "_b"])
     after = lambda k: F.when(F.col("_left") >= k, F.col(f"_lead{k}")).otherwise(F.try_element_at("_then", F.greatest(F.lit(1), F.lit(k) - F.col("_left")).cast("int")))
-    return here.withColumns({f"next{k}": after(k) for k in range(1, steps + 1)}).drop("_b", "_at", "_left", "_then", *[f"_lead{k}" for k in range(1, steps + 1)])
+    return here.withColumns({f"next{k}": after(k) for k in range(1, steps + 1)}).drop("_left", "_then", *[f"_lead{k}" for k in range(1, steps + 1)])
+
+
+def tell(words: DataFrame) -> DataFrame:
+    """The words with the columns of TOLD."""
+    x = {c: F.col(c) for c in ("w", "lemma", "genuine", *TAGS, *MORE)}
+    no = F.lit(False)
+    begins = lambda c, p: F.coalesce(x[c].startswith(p), no)
+    noun = F.coalesce(x["spacy_pos"].isin("NOUN", "PROPN"), no) | begins("cysill_pos", "N")
+    return words.withColumns({
+        "sure": F.coalesce(x["confidence"] >= GATE, no), "english": text.is_english(x["w"]), "seen": skip_reason(x).isNull(), "lead": text.initial_cluster(F.coalesce(x["lemma"], x["w"])),
+        "noun": noun, "feminine": begins("gender", "fem"), "adjective": F.coalesce(x["spacy_pos"] == "ADJ", no) | begins("cysill_pos", "ADJ"), "pause": F.coalesce(x["word"].rlike("[,;:.]$"), no),
+        "tagged": tagged(x), "shown": surface_change(x), "own": own_lemma(x), "trigger": x["w"].isin(list(T.TRIGGERS)),
+    })
 
 
 def expected_types(t: dict[str, Column], target: dict[str, Column]) -> Column:
@@ -64,49 +97,254 @@ def skip_reason(x: dict[str, Column]) -> Column:
     """Why a target isn't evaluated, the first that applies; null if it is."""
     return (
         F.when(~text.plausible_letters(x["w"]), "implausible_letters").when(~text.plausible_word(x["w"]), "impossible_word").when(x["w"].isin(T.BOD_FORMS), "bod_inflection")
-        .when(F.coalesce(x["cysill_pos"], F.lit("")).isin("", "?", "none", "n/a") & x["spacy_pos"].isNull(), "taggers_failed").when(x["w"].rlike(f"^[{T.VOWELS}]"), "vowel_initial")
+        .when(F.coalesce(x["cysill_pos"], F.lit("")).isin("", "?", "none", "n/a") & x["spacy_pos"].isNull(), "taggers_failed").when(F.coalesce(x["lemma"], x["w"]).rlike(f"^[{T.VOWELS}]"), "vowel_initial")
+    )
+
+
+def surface_change(x: dict[str, Column]) -> Column:
+    """Type of change that the word shows: by its beginning, or soft where it is its lemma without g."""
+    dropped = F.coalesce(x["lemma"].startswith("g") & ~x["w"].startswith("g") & (F.concat(F.lit("g"), x["w"]) == x["lemma"]), F.lit(False))
+    return F.when(dropped, "soft").otherwise(text.surface_type(x["w"]))
+
+
+def own_lemma(x: dict[str, Column]) -> Column:
+    """A tagger's own lemma is the word or begins like it."""
+    same = (x["lemma"] == x["w"]) | (text.initial_cluster(x["lemma"]) == text.initial_cluster(x["w"]))
+    return F.coalesce(x["cysill_pos"].isNotNull() & (F.coalesce(x["genuine"], F.lit(False)) | x["w"].isin(T.SUPPLETIVE)) & same, F.lit(False))
+
+
+def _asks(expected: Column) -> Column:
+    return F.arrays_overlap(expected, F.array(*[F.lit(k) for k in ("soft", "soft_limited", "nasal", "aspirate")]))
+
+
+def radical_candidates(expected: Column, x: dict[str, Column]) -> Column:
+    """Array of what the word may be a changed form of: the lemma, if the expected types make the word of it, what they reverse to, in order, and the word."""
+    fits = F.coalesce((x["lemma"] == x["w"]) | F.array_contains(text.surface_forms(x["lemma"], expected), x["w"]), F.lit(False))
+    lemma = F.when(fits, F.array(x["lemma"])).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(lemma, text.reverse_candidates(x["w"], expected), F.array(x["w"])))
+
+
+def tagged(x: dict[str, Column]) -> Column:
+    """At least one tagger gave a real class, without which a lost change can't be told."""
+    real = lambda c, *no: x[c].isNotNull() & ~x[c].isin("", "unknown", *no)
+    return real("cysill_pos", "?", "none", "n/a") | real("spacy_pos", "PUNCT", "SPACE", "X")
+
+
+def register(expected: Column, surface: Column) -> Column:
+    """Nasal and aspirate change recede in the colloquial register, where shown or missing."""
+    receding = F.array(F.lit("nasal"), F.lit("aspirate"))
+    return F.when(surface.isin("nasal", "aspirate") | (surface.isNull() & F.arrays_overlap(expected, receding)), "colloquial_variant").otherwise("standard")
+
+
+def outcome(rows: DataFrame) -> DataFrame:
+    """Rows with expected and target, and status, found, is_erosion, register_class and matched_radical of the target, step by step.
+
+    The word is unchanged if a tagger's own lemma begins alike, or if it begins with h,
+    which none but h-mutation makes. In order: a candidate that the expected types turn
+    into the word, or a fitting beginning, is correct; an unchanged word is invariant,
+    eroded or needs no change; any other change is of the wrong type; the rest doesn't match.
+    """
+    x, expected, no = node("target"), F.col("expected"), F.lit(False)
+    h = x["w"].startswith("h") & ~F.array_contains(expected, "h-mutation") & _asks(expected)
+    rows = rows.withColumns({"_unchanged": x["own"] | h, "_candidates": radical_candidates(expected, x)})
+    match = F.try_element_at(F.filter("_candidates", lambda c: F.array_contains(text.surface_forms(c, expected), x["w"])), F.lit(1))
+    invariant = F.exists("_candidates", lambda c: _any([F.array_contains(expected, k) & F.substring(c, 1, 1).isin([v for v in vs if len(v) == 1]) for k, vs in T.INVARIANT.items()]))
+    rows = rows.withColumns({
+        "matched_radical": F.when(~F.col("_unchanged"), match), "_invariant": invariant, "_surface": F.when(~F.col("_unchanged"), x["shown"]),
+        "_casual": F.when(x["w"].startswith("j") & (F.length(x["w"]) > 1), F.lit("colloquial_affricate")),
+    })
+    fits = F.coalesce(F.array_contains(expected, F.col("_surface")), no) | F.coalesce(F.array_contains(expected, F.col("_casual")), no)
+    status = (
+        F.when(F.col("matched_radical").isNotNull() | fits, "correct_mutation").when(F.col("_invariant") & F.col("_unchanged"), "selective_invariancy")
+        .when(F.col("_unchanged") & _asks(expected), F.when(x["tagged"], "erosion").otherwise("erosion_unverified")).when(F.col("_unchanged"), "mutation_absent_expected_none")
+        .when(F.col("_surface").isNotNull(), F.when(x["tagged"], "wrong_mutation_type").otherwise("erosion_unverified")).otherwise("mutation_mismatch")
     )
+    found = F.coalesce("_surface", F.when(F.col("matched_radical").isNotNull(), F.try_element_at(expected, F.lit(1))), "_casual")
+    return rows.withColumns({"status": status, "found": found, "register_class": register(expected, x["shown"])})
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
 
 
-def agree(x: dict[str, Column]) -> Column:
-    """Both coarse classes known and equal, or one of them unknown."""
-    a = text.coarse_pos(x["cysill_pos"])
-    b = F.coalesce(F.when(x["spacy_pos"] == "PROPN", "NOUN").when(x["spacy_pos"] == "AUX", "VERB").otherwise(x["spacy_pos"]), F.lit("unknown"))
-    return (a == "unknown") | (b == "unknown") | F.array_contains(F.split(a, r"\|"), b)
+def _fact(rule: str, trigger: Column, expected: Column, target: str, step: int | Column, status: str | None = None) -> Column:
+    """A fact to come; ``status`` if it is settled without looking at the target's change."""
+    step = F.lit(step) if isinstance(step, int) else step
+    return F.struct(F.lit(rule).alias("rule"), trigger.alias("trigger_word"), expected.alias("expected"), F.col(target).alias("target"), step.cast("int").alias("step"), F.lit(status).cast("string").alias("settled"))
 
 
-def outcome(expected: Column, x: dict[str, Column], surface: Column) -> Column:
-    """Status of an evaluated target."""
-    soft = F.transform(expected, lambda k: F.when(k == "soft_limited", "soft").otherwise(k))
-    forms = F.array_distinct(F.flatten(F.array(*[F.when(F.array_contains(expected, k), F.array(*[F.lit(v) for v in vs])).otherwise(F.array().cast("array<string>")) for k, vs in T.INVARIANT.items()])))
+def _exempt(label: Column, x: dict[str, Column], expected: Column) -> Column:
+    """Words in ll and rh keep them behind some triggers where only soft change is asked for."""
+    asked = F.array_contains(expected, "soft") | F.array_contains(expected, "soft_limited")
+    behind = label.isin(T.LL_RH_EXEMPT) | (label.isin(T.LL_RH_EXEMPT_NOUNS) & (F.coalesce(x["spacy_pos"], F.lit("")) != "ADJ"))
+    return asked & x["lead"].isin("ll", "rh") & behind
+
+
+def _word_trigger() -> Column:
+    """Fact of a trigger word and its target ``to``; null if the gates let none through."""
+    t, x = node("me"), node("to")
+    expected = expected_types(t, x)
+    expected_or_none = F.coalesce(expected, F.array().cast("array<string>"))
+    bod = t["w"].isin(T.BOD_TRIGGERS) & (x["trigger"] | (F.coalesce(x["spacy_dep"], F.lit("")) == "nsubj"))
+    verb = (t["w"] == "yn") & ((F.coalesce(x["spacy_pos"], F.lit("")) == "VERB") | F.coalesce(x["cysill_pos"], F.lit("")).startswith("VB"))
+    base = F.coalesce(x["lemma"], F.regexp_replace(x["w"], "^h", ""))
+    applied = x["w"].startswith("h") & ~F.coalesce(x["lemma"].startswith("h"), F.lit(False))
+    mutable = ~_asks(expected) | _any([F.array_contains(expected, k) & x["lead"].isin(list(v)) for k, v in T.FORWARD.items() if k != "colloquial_affricate"])
+    ei, mixed, h = (t["w"] == "ei") & t["feminine"], t["w"].isin(T.MIXED), t["w"].isin(T.H_TRIGGERS)
+    seen = x["seen"]
+    make = lambda rule, status=None: _fact(rule, t["w"], expected, "to", F.col("ahead"), status)
     return (
-        F.when(F.array_contains(soft, surface), "correct_mutation").when(surface.isNull() & F.array_contains(forms, F.substring(x["w"], 1, 1)), "selective_invariancy")
-        .when(surface.isNotNull(), F.when(agree(x), "wrong_mutation_type").otherwise("erosion_unverified")).otherwise("mutation_mismatch")
+        F.when(x["w"].isNull() | ~x["sure"], None).when(x["english"], make("word_trigger", "code_switch")).when(bod | verb | _exempt(t["w"], x, expected_or_none), None)
+        .when(ei, F.when(seen & expected.isNotNull(), make("feminine_ei"))).when(mixed, F.when(seen, make("mixed_mutation")))
+        .when(h, F.when(base.rlike(f"^[{T.VOWELS}]"), F.when(applied, make("h_mutation", "correct_mutation")).otherwise(make("h_mutation", "erosion"))))
+        .when(seen & mutable, make("word_trigger"))
     )
 
 
-def word_trigger_facts(words: DataFrame, whole: bool = False) -> DataFrame:
-    """Candidate facts of the word-trigger layer: (video_url, segment_start, i, ahead, trigger_word, following_word, expected, surface, status).
+def _neighbours() -> Column:
+    """Fact of the first layer that gives one, of a word that is no trigger: what it does to the next word, or shows itself."""
+    me, x = node("me"), node("next1")
+    no = F.lit(False)
+    is_ = lambda c, *values: F.coalesce(c.isin(*values), no)
+    close = x["w"].isNotNull() & x["sure"] & ~me["pause"]
+
+    def option(when: Column, rule: str, kind: str, gate: Column = F.lit(True)) -> Column:
+        expected = F.array(F.lit(kind))
+        fact = lambda status=None: _fact(rule, me["w"], expected, "next1", 2, status)
+        return F.when(when & close, F.when(x["english"], fact("code_switch")).when(gate & ~_exempt(me["w"], x, expected) & x["seen"], fact()))
+
+    noun, fem_noun = x["noun"], me["feminine"] & me["noun"] & (F.coalesce(me["number"], F.lit("")) != "plural")
+    adjective, hard_s = x["adjective"], me["w"].endswith("s") & (x["lead"] == "d")
+    ordinal = F.coalesce(me["cysill_pos"].startswith("ORDF"), no) | (is_(me["spacy_pos"], "ADJ") & me["feminine"])
+    second = F.try_element_at(text.literal_map(T.COMPOUND_SECOND), me["w"])
+    years = F.coalesce(x["lemma"], x["w"]).isin(T.NASAL_NUMERAL_TARGETS)
+    itself = lambda when, rule, label: F.when(F.coalesce(when, no) & ~me["english"] & me["seen"], _fact(rule, F.lit(label), F.array(F.lit("soft")), "me", 1))
+    governed = is_(me["spacy_dep"], *T.OBJ_DEPS)
+    # a table without the parser's heads can't tell finite verbs from verb-nouns: such facts have a rule of their own
+    headed = is_(me["head_dep"], "ROOT", "ccomp", "xcomp") & (F.coalesce(me["head_verbform"], F.lit("")) != "Vnoun")
+    phantom = (me["confidence"] > HIGH) & (me["shown"] == "soft") & me["cysill_mutation_type"].isNotNull() & me["cysill_pos"].rlike("^(" + "|".join(k.replace("+", r"\+") for k in T.PHANTOM_TAGS) + ")") & me["seen"] & ~me["english"]
+    return F.coalesce(
+        option(me["w"].isin(T.ARTICLES), "definite_article+fem_noun", "soft_limited", x["feminine"] & (F.coalesce(x["number"], F.lit("")) != "plural") & noun),
+        option(fem_noun & adjective, "fem_noun+adjective", "soft", ~hard_s),
+        option(fem_noun & noun & is_(x["spacy_dep"], "nmod"), "fem_noun+genitive_noun", "soft"),
+        option(me["w"] == "un", "numeral+fem_noun", "soft_limited", x["feminine"] & noun),
+        option(me["w"].isin("dau", "dwy") & noun, "numeral_general+noun", "soft"),
+        option(me["w"].isin(T.NASAL_NUMERALS), "restricted_nasal_numeral", "nasal", years),
+        option(ordinal, "feminine_ordinal+noun", "soft", noun),
+        option(me["w"].isin(T.PREPOSED_ADJECTIVES) & is_(me["spacy_pos"], "ADJ") & is_(me["spacy_dep"], "amod") & F.coalesce(text.normalize_word(me["head"]) == x["w"], no), "preposed_adjective+noun", "soft", noun),
+        option(F.coalesce((second == x["w"]) | (second == x["lemma"]), no), "decompounded_noun", "soft"),
+        itself(governed & headed, "spacy_obj_soft", "[SHORT_FORM_VERB]"),
+        itself(governed & me["head_dep"].isNull(), "spacy_obj_soft_unheaded", "[SHORT_FORM_VERB]"),
+        itself(is_(me["spacy_dep"], *T.VOCATIVE_DEPS), "spacy_vocative_soft", "[VOCATIVE]"),
+        F.when(F.coalesce(phantom, no), _fact("phantom_check", F.lit("[OMITTED]"), F.array(F.lit("soft")), "me", 1, "phantom_mutation")),
+    )
+
 
-    ``ahead`` says how many words a trigger consumes; the target is the first of the next
-    three that is neither a filler nor the trigger again; if ``whole``, also in a later segment.
+def candidates(words: DataFrame) -> DataFrame:
+    """Every word of ``enrich`` with the fact it would give if the scan stopped there (``hit``, null if none) and how many words it would go on (``step``).
+
+    A trigger word consumes all words up to its target, fact or none: the target is the
+    first of the next three that is neither a filler nor the trigger again.
     """
-    me = F.struct("w", "confidence", "cysill_pos", "spacy_pos", "spacy_dep", "spacy_mutation", "gender", "word_end")
-    rows = with_next(words.withColumn("me", me), AHEAD, whole)
+    rows = with_next(tell(words).withColumn("me", F.struct(*NODE)), AHEAD)
     target, ahead = F.lit(None), F.lit(AHEAD + 1)
     for k in range(AHEAD, 0, -1):
         nxt = F.col(f"next{k}")
         fits = nxt.isNotNull() & ~nxt["w"].isin(T.FILLERS) & (nxt["w"] != F.col("w"))
         target, ahead = F.when(fits, nxt).otherwise(target), F.when(fits, k).otherwise(ahead)
-    rows = rows.withColumns({"to": target, "ahead": ahead}).where(F.col("w").isin(list(T.TRIGGERS)) & (F.col("confidence") >= GATE) & F.col("to").isNotNull()).where(F.col("to.confidence") >= GATE)
-    t, x = node("me"), node("to")
-    rows = rows.withColumns({"expected": expected_types(t, x), "surface": text.surface_type(x["w"]), "switched": text.is_english(x["w"])})
-    bod = F.col("w").isin("mae", "ydy", "oes") & (x["w"].isin(list(T.TRIGGERS)) | (F.coalesce(x["spacy_dep"], F.lit("")) == "nsubj"))
-    verb = (F.col("w") == "yn") & ((F.coalesce(x["spacy_pos"], F.lit("")) == "VERB") | F.coalesce(x["cysill_pos"], F.lit("")).startswith("VB"))
-    limited = (F.array_contains("expected", "soft") | F.array_contains("expected", "soft_limited")) & text.initial_cluster(x["w"]).isin("ll", "rh") & F.col("w").isin("yn", "cyn", "mor", "pur")
-    rows = rows.where(F.col("switched") | (F.col("expected").isNotNull() & ~bod & ~verb & ~limited & skip_reason(x).isNull()))
-    status = F.when(F.col("switched"), "code_switch").otherwise(outcome(F.col("expected"), x, F.col("surface")))
-    return rows.select("video_url", "segment_start", "i", "ahead", F.col("w").alias("trigger_word"), F.col("to.w").alias("following_word"), F.array_join("expected", "|").alias("expected"), "surface", status.alias("status"), "word_start", F.col("to.word_end").alias("target_end"))
+    left = sum((F.col(f"next{k}").isNotNull().cast("int") for k in range(1, AHEAD + 1)), F.lit(1))  # a scan stops looking at the video's end
+    rows = rows.withColumns({"to": target, "ahead": F.least(ahead, left)})
+    me = node("me")
+    guarded = me["sure"] & text.plausible_letters(me["w"]) & (~me["w"].isin(T.BOD_FORMS) | me["trigger"])
+    trigger = me["trigger"] & ~((me["w"] == "oes") & me["noun"])
+    hit = F.when(guarded, F.when(trigger, _word_trigger()).otherwise(_neighbours()))
+    rows = rows.withColumns({"hit": hit, "guarded": guarded, "fires": guarded & trigger})
+    return rows.select("video_url", "_b", "_at", "segment_start", "i", "word_start", "hit", F.when(F.col("fires"), F.col("ahead")).otherwise(F.coalesce("hit.step", F.lit(1))).alias("step"), "guarded", "fires")
+
+
+def evaluate(rows: DataFrame) -> DataFrame:
+    """The facts of rows with a ``hit``: (video_url, segment_start, i, rule, trigger_word, following_word, lemma, expected, surface, status, is_erosion, register_class, matched_radical, word_start, target_end)."""
+    rows = outcome(rows.where("hit is not null").select("video_url", "segment_start", "i", "word_start", "hit.*"))
+    settled, plain = F.col("settled"), F.col("settled").isNull()
+    status = F.coalesce(settled, F.col("status"))
+    found = F.when(plain, F.col("found")).when(settled == "correct_mutation", "h-mutation").when(settled == "phantom_mutation", "soft")
+    register_class = F.when(plain, F.col("register_class")).when(settled == "phantom_mutation", "colloquial_variant").otherwise("n/a")
+    return rows.select(
+        "video_url", "segment_start", "i", "rule", "trigger_word", F.col("target.w").alias("following_word"), F.col("target.lemma").alias("lemma"), F.array_join("expected", "|").alias("expected"), found.alias("surface"),
+        status.alias("status"), status.isin("erosion", "wrong_mutation_type").alias("is_erosion"), register_class.alias("register_class"), F.when(plain, F.col("matched_radical")).alias("matched_radical"), "word_start", F.col("target.word_end").alias("target_end"),
+    )
+
+
+def word_trigger_facts(words: DataFrame) -> DataFrame:
+    """Facts of every trigger word, wherever the scan stops."""
+    return evaluate(candidates(words).where("fires"))
+
+
+def neighbour_facts(words: DataFrame) -> DataFrame:
+    """Facts of the layers that look at the next word or the word alone, wherever the scan stops."""
+    return evaluate(candidates(words).where("guarded and not fires"))
+
+
+def _walk(steps: list[int], skip: int) -> tuple[list[bool], int]:
+    """Where a scan stops that first skips some words, and how many it still skips behind the last."""
+    out = []
+    for n in steps:
+        out.append(skip == 0)
+        skip = (skip or n) - 1
+    return out, skip
+
+
+def _ways(steps: Column) -> Column:
+    """Words that remain to be skipped behind a bucket, for each number of words skipped at its beginning."""
+
+    @F.arrow_udf("array<int>")
+    def ways(batch: pa.Array) -> pa.Array:
+        return pa.array([[_walk(s, k)[1] for k in range(AHEAD + 1)] for s in batch.to_pylist()], pa.list_(pa.int32()))
+
+    return ways(steps)
+
+
+def _stops(steps: Column, skip: Column) -> Column:
+    @F.arrow_udf("array<boolean>")
+    def stops(batch: pa.Array, skips: pa.Array) -> pa.Array:
+        return pa.array([_walk(s, k)[0] for s, k in zip(batch.to_pylist(), skips.to_pylist())], pa.list_(pa.bool_()))
+
+    return stops(steps, skip)
+
+
+def _entries(ways: DataFrame, fanout: int = 256) -> DataFrame:
+    """(video_url, _b, skip): words to skip at each bucket's beginning: the buckets' ways are composed, first within blocks of buckets, then over the blocks."""
+    follow = lambda col, start: F.aggregate(col, start, lambda at, x: F.element_at(x["way"], at + 1))
+    blocks = ways.withColumn("_c", F.floor(F.col("_b") / fanout)).groupBy("video_url", "_c").agg(F.array_sort(F.collect_list(F.struct("_b", "way"))).alias("l"))  # at most ``fanout`` small rows
+    blocks = blocks.withColumn("way", F.array(*[follow(F.col("l"), F.lit(k)) for k in range(AHEAD + 1)]))
+    before = Window.partitionBy("video_url").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    # one small row per block: with 300 s a bucket, 21 hours of a video
+    at = blocks.withColumn("skip", F.aggregate(F.coalesce(F.collect_list(F.struct("way")).over(before), F.array().cast("array<struct<way:array<int>>>")), F.lit(0), lambda a, x: F.element_at(x["way"], a + 1)))
+    grown = F.aggregate("l", F.struct(F.col("skip").alias("at"), F.array().cast("array<struct<b:bigint,skip:int>>").alias("out")), lambda a, x: F.struct(F.element_at(x["way"], a["at"] + 1).alias("at"), F.concat(a["out"], F.array(F.struct(x["_b"].alias("b"), a["at"].alias("skip")))).alias("out")), lambda a: a["out"])
+    return at.select("video_url", F.explode(grown).alias("e")).select("video_url", F.col("e.b").alias("_b"), F.col("e.skip").alias("skip"))
+
+
+def scan(words: DataFrame) -> DataFrame:
+    """The words at which the scan of each video stops, with their ``hit``.
+
+    The scan goes on by each word's ``step``. What a bucket of the video does to it is a map from
+    words to skip at its beginning to words to skip behind it; the maps are composed over
+    the buckets, so no video is walked in one task.
+    """
+    rows = candidates(words)
+    packed = rows.groupBy("video_url", "_b").agg(F.array_sort(F.collect_list(F.struct("_at", "step", "segment_start", "i", "word_start", "hit"))).alias("l"))
+    packed = packed.select("video_url", "_b", "l", F.transform("l", lambda x: x["step"]).alias("steps"))
+    entries = _entries(packed.select("video_url", "_b", _ways(F.col("steps")).alias("way")))
+    marked = packed.join(entries, ["video_url", "_b"]).select("video_url", F.explode(F.arrays_zip("l", _stops(F.col("steps"), F.col("skip")).alias("stop"))).alias("x"))
+    return marked.where("x.stop").select("video_url", "x.l.segment_start", "x.l.i", "x.l.word_start", "x.l.hit")
+
+
+def scan_facts(words: DataFrame) -> DataFrame:
+    """The facts of the whole engine: those of the words at which the scan stops."""
+    return evaluate(scan(words))
 
 
 def confidence(df: DataFrame) -> DataFrame:
@@ -132,30 +370,3 @@ def confidence(df: DataFrame) -> DataFrame:
     agreed = F.when(F.coalesce(ca, no) & F.coalesce(pa, no), "all_three").when(F.coalesce(ca, no), "cysill+heuristic").when(F.coalesce(pa, no), "parser+heuristic").when(ca.isNull() & pa.isNull(), "heuristic_only").otherwise("disputed")
     out = df.withColumn("_c", F.when(F.coalesce(F.col("is_erosion"), no), worn).otherwise(calm)).withColumn("agreement", agreed)
     return out.select("mutation_id", F.col("_c.score").alias("score"), F.col("_c.source").alias("score_source"), "agreement")
-
-
-def neighbour_facts(words: DataFrame, whole: bool = False) -> DataFrame:
-    """Candidate facts of the layers that look at the next word or the word alone: (video_url, segment_start, i, rule, trigger_word, following_word, expected, surface, status).
-
-    In order, the first that gives a fact: a numeral or a feminine noun before what it
-    changes, and an object of a verb. Words that are triggers belong to the trigger layer. If
-    ``whole``, the next word may be in the next segment.
-    """
-    me = F.struct("w", "confidence", "cysill_pos", "spacy_pos", "spacy_dep", "spacy_mutation", "gender")
-    rows = with_next(words.withColumn("me", me), 1, whole).withColumnRenamed("next1", "to").where((F.col("confidence") >= GATE) & ~F.col("w").isin(list(T.TRIGGERS)))
-    fem = lambda p: F.coalesce(F.col(f"{p}.gender").startswith("fem"), F.lit(False))
-    noun = lambda p: F.coalesce(F.col(f"{p}.spacy_pos").isin("NOUN", "PROPN") | F.col(f"{p}.cysill_pos").startswith("N"), F.lit(False))
-    sure = F.coalesce(F.col("to.confidence") >= GATE, F.lit(False))
-    hard_s = F.col("w").endswith("s") & (text.initial_cluster(F.col("to.w")) == "d")
-    exempt = text.initial_cluster(F.col("to.w")).isin("ll", "rh")
-    option = lambda when, rule, kind, trigger, target: F.when(when & skip_reason(node(target)).isNull(), F.struct(F.lit(rule).alias("rule"), F.lit(kind).alias("expected"), trigger.alias("trigger_word"), F.col(target).alias("target")))
-    hit = F.coalesce(
-        option(sure & (F.col("w") == "un") & fem("to") & noun("to") & ~exempt, "numeral+fem_noun", "soft_limited", F.col("w"), "to"),
-        option(sure & fem("me") & noun("me") & (F.col("to.spacy_pos") == "ADJ") & ~hard_s, "fem_noun+adjective", "soft", F.col("w"), "to"),
-        option(F.coalesce(F.col("spacy_dep").isin("obj", "iobj"), F.lit(False)), "spacy_obj_soft", "soft", F.lit("[SHORT_FORM_VERB]"), "me"),
-    )
-    rows = rows.withColumn("hit", hit).where("hit is not null").select("video_url", "segment_start", "i", "hit.*")
-    x = node("target")
-    surface, expected = text.surface_type(x["w"]), F.array("expected")
-    status = F.when(text.is_english(x["w"]), "code_switch").otherwise(outcome(expected, x, surface))
-    return rows.select("video_url", "segment_start", "i", "rule", "trigger_word", x["w"].alias("following_word"), "expected", surface.alias("surface"), status.alias("status"))

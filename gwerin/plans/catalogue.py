@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gwerin.plans import files_queries, join_queries, registry, stats_queries, text_queries  # noqa: F401 - they register
+from gwerin.plans import files_queries, join_queries, registry, rules_queries, stats_queries, text_queries  # noqa: F401 - they register
 
 
 def queries() -> dict:

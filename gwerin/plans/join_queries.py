@@ -255,53 +255,6 @@ def batch_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(F.count("*").alias("n"), F.count(F.when(~F.date_format("loaded_at", "yyyyMMdd").isin("20250101"), 1)).alias("kept"))
 
 
-# ---------------------------------------------------------------- rules
-
-TRIG = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in T.TRIGGERS.items()) + ") AS trig(tw, listed)"
-NODE = "n, confidence, cysill_pos, spacy_pos, spacy_dep, spacy_mutation, gender, word_end"
-LEADS = ", ".join(f"lead({c}, {k}) OVER o AS {c}_{k}" for k in (1, 2, 3) for c in NODE.split(", "))
-FITS = [f"(n_{k} IS NOT NULL AND n_{k} NOT IN ({listed(T.FILLERS)}) AND n_{k} <> n)" for k in (1, 2, 3)]
-PICK = ", ".join("CASE " + " ".join(f"WHEN {f} THEN {c}_{k}" for k, f in enumerate(FITS, 1)) + f" END AS t_{c}" for c in NODE.split(", "))
-SQL_COARSE = "list_transform(string_split_regex({p}, '[+|]'), lambda x: CASE WHEN starts_with(x, 'PREP') OR starts_with(x, 'CPREP') THEN 'ADP' WHEN starts_with(x, 'VB') OR starts_with(x, 'VERB') THEN 'VERB' WHEN starts_with(x, 'ADJ') OR starts_with(x, 'ORD') THEN 'ADJ' WHEN starts_with(x, 'ADV') THEN 'ADV' WHEN starts_with(x, 'PRON') THEN 'PRON' WHEN starts_with(x, 'N') OR starts_with(x, 'PLACE') OR starts_with(x, 'PERSON') THEN 'NOUN' WHEN starts_with(x, 'CARD') THEN 'NUM' WHEN starts_with(x, 'CONJ') THEN 'CONJ' ELSE 'other' END)"
-COLL = "regexp_replace(t_n, '" + "|".join(sorted(T.SINGLE_CLUSTERS, key=len, reverse=True)) + "', 'V', 'g')"
-RULES = f"""WITH k AS (SELECT min(word_id) AS id FROM words WHERE video_url IS NOT NULL AND segment_start IS NOT NULL GROUP BY video_url, segment_start, word_start, word_end),
-w AS (SELECT * FROM (SELECT x.* EXCLUDE (word), {sql_norm('word')} AS n FROM words x JOIN k ON x.word_id = k.id) WHERE length(n) >= 2),
-i AS (SELECT *, row_number() OVER o - 1 AS i, {LEADS} FROM w WINDOW o AS (PARTITION BY video_url, segment_start ORDER BY word_start, word_id)),
-p AS (SELECT *, {PICK}, CASE """ + " ".join(f"WHEN {f} THEN {k}" for k, f in enumerate(FITS, 1)) + f""" ELSE 4 END AS ahead FROM i),
-h AS (SELECT p.*, string_split(listed, '|') AS l FROM p JOIN {TRIG} ON tw = n WHERE confidence >= 0.65 AND t_n IS NOT NULL AND t_confidence >= 0.65),
-e AS (SELECT *, CASE WHEN n = 'yn' THEN CASE WHEN regexp_matches(coalesce(cysill_pos, ''), '^(PREP|CPREP)') OR coalesce(spacy_dep, '') = 'case' THEN ['nasal'] WHEN regexp_matches(coalesce(cysill_pos, ''), 'VERBADJ|PREDYN|VB|ADV') OR coalesce(spacy_dep, '') IN ('aux', 'mark') THEN ['soft_limited'] ELSE l END
-WHEN n = 'ei' THEN CASE WHEN starts_with(gender, 'fem') THEN CASE WHEN regexp_matches(t_n, '^[{T.VOWELS}]') THEN ['h-mutation'] WHEN regexp_matches(t_n, '^[ptc]') THEN ['aspirate'] END WHEN starts_with(gender, 'masc') THEN ['soft'] ELSE l END
-WHEN n IN ({listed(T.MIXED)}) THEN CASE WHEN regexp_matches(t_n, '^[ptc]') THEN ['aspirate'] ELSE ['soft'] END ELSE l END AS exp,
-{case(T.SURFACE_TYPE, CLUSTER.format(w='t_n'))} AS surface, t_n IN ({listed(ENGLISH)}) AS switched FROM h),
-g AS (SELECT *, len(list_filter(regexp_extract_all(t_n, '.'), lambda x: unicode(x) BETWEEN 192 AND 591 AND NOT contains('{T.LEGAL_MARKED}', x))) > 0 OR regexp_matches(t_n, '\\p{{M}}') OR regexp_matches(t_n, '{"|".join(T.IMPOSSIBLE_PAIRS)}') OR regexp_matches({COLL}, '[^{T.VOWELS}V]{{4,}}') OR t_n IN ({listed(T.BOD_FORMS)})
-OR (coalesce(t_cysill_pos, '') IN ('', '?', 'none', 'n/a') AND t_spacy_pos IS NULL) OR regexp_matches(t_n, '^[{T.VOWELS}]') AS skip,
-(n IN ('mae', 'ydy', 'oes') AND (t_n IN ({listed(list(T.TRIGGERS))}) OR coalesce(t_spacy_dep, '') = 'nsubj')) OR (n = 'yn' AND (coalesce(t_spacy_pos, '') = 'VERB' OR starts_with(coalesce(t_cysill_pos, ''), 'VB')))
-OR ((list_contains(exp, 'soft') OR list_contains(exp, 'soft_limited')) AND {CLUSTER.format(w='t_n')} IN ('ll', 'rh') AND n IN ('yn', 'cyn', 'mor', 'pur')) AS gate,
-CASE WHEN coalesce(t_cysill_pos, '') IN ('', '?', 'none', 'n/a') OR t_spacy_pos IS NULL THEN true ELSE list_contains({SQL_COARSE.format(p='t_cysill_pos')}, CASE t_spacy_pos WHEN 'PROPN' THEN 'NOUN' WHEN 'AUX' THEN 'VERB' ELSE t_spacy_pos END) END AS agree FROM e),
-r AS (SELECT *, CASE WHEN switched THEN 'code_switch' WHEN list_contains(list_transform(exp, lambda x: replace(x, 'soft_limited', 'soft')), surface) THEN 'correct_mutation'
-WHEN surface IS NULL AND (""" + " OR ".join(f"(list_contains(exp, '{k}') AND t_n[1] IN ({listed(v)}))" for k, v in T.INVARIANT.items()) + """) THEN 'selective_invariancy'
-WHEN surface IS NOT NULL THEN CASE WHEN agree THEN 'wrong_mutation_type' ELSE 'erosion_unverified' END ELSE 'mutation_mismatch' END AS status FROM g WHERE switched OR (exp IS NOT NULL AND NOT gate AND NOT skip))
-"""
-
-
-@query(RULES + "SELECT video_url, segment_start, i, n AS trigger_word, t_n AS following_word, array_to_string(exp, '|') AS expected, surface, status FROM r")
-def rule_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The facts that trigger words and their targets make, by the whole decision list."""
-    out = rules.word_trigger_facts(rules.enrich(table(spark, sf_dir, "words")))
-    return out.select("video_url", "segment_start", F.col("i").cast("bigint").alias("i"), "trigger_word", "following_word", "expected", "surface", "status")
-
-
-@query("WITH RECURSIVE " + RULES[5:] + f""", u AS (SELECT i.video_url, i.segment_start, i.i, CASE WHEN i.n IN ({listed(list(T.TRIGGERS))}) AND confidence >= 0.65 AND ahead <= 3 THEN i.i + ahead ELSE i.i + 1 END AS nxt FROM p AS i),
-v AS (SELECT video_url, segment_start, i, nxt FROM u WHERE i = 0 UNION ALL SELECT u.video_url, u.segment_start, u.i, u.nxt FROM v JOIN u ON u.video_url = v.video_url AND u.segment_start = v.segment_start AND u.i = v.nxt)
-SELECT video_url, segment_start, i FROM v""")
-def cursor_nonoverlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words at which the scan's cursor stops: a trigger with a target consumes all up to it."""
-    ahead = tokens.lookahead(rules.enrich(table(spark, sf_dir, "words")), ["video_url", "segment_start"], ["i"], "w")
-    fires = F.col("w").isin(list(T.TRIGGERS)) & (F.col("confidence") >= 0.65) & (F.col("ahead") <= 3)
-    rows = ahead.select(F.struct("video_url", "segment_start").alias("unit"), "i", (F.col("i") + F.when(fires, F.col("ahead")).otherwise(1)).alias("nxt"))
-    return segments.follow(rows, "unit", "i", "nxt").select("unit.video_url", "unit.segment_start", F.col("i").cast("bigint").alias("i"))
-
-
 @query(BASE + """, x AS (SELECT *, nullif(nullif(mutation_found, 'none'), 'n/a') AS surf, string_split(expected_mutation, '|') AS want, CASE spacy_mutation WHEN 'SM' THEN 'soft' WHEN 'NM' THEN 'nasal' WHEN 'AM' THEN 'aspirate' END AS b, nullif(nullif(cysill_mutation_type, 'n/a'), 'none') AS a, NOT coalesce(locally_resolved, false) AS gen FROM f),
 y AS (SELECT *, coalesce(b = surf OR list_contains(want, b), false) AS pc, gen AND coalesce(a = surf OR list_contains(want, a), false) AS cc, surf IS NOT NULL AS heard, coalesce(spacy_dep IN ('obj', 'iobj', 'nsubj', 'obl', 'vocative', 'amod', 'nmod', 'xcomp'), false) AS ctx, gen AND a IS NULL AS rad, surf IS NULL AND expected_mutation IS NOT NULL AS hf,
 CASE WHEN gen THEN a IS NOT DISTINCT FROM surf ELSE NULL END AS ca, CASE WHEN spacy_pos IS NOT NULL THEN b IS NOT DISTINCT FROM surf END AS pa FROM x)
@@ -317,51 +270,3 @@ def windowed_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gwerin.streaming.incremental import windowed_counts
 
     return windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type")
-
-
-def _skip_sql(t: str) -> str:
-    coll = f"regexp_replace({t}n, '" + "|".join(sorted(T.SINGLE_CLUSTERS, key=len, reverse=True)) + "', 'V', 'g')"
-    return f"""(len(list_filter(regexp_extract_all({t}n, '.'), lambda x: unicode(x) BETWEEN 192 AND 591 AND NOT contains('{T.LEGAL_MARKED}', x))) > 0 OR regexp_matches({t}n, '\\p{{M}}') OR regexp_matches({t}n, '{"|".join(T.IMPOSSIBLE_PAIRS)}') OR regexp_matches({coll}, '[^{T.VOWELS}V]{{4,}}')
-OR {t}n IN ({listed(T.BOD_FORMS)}) OR (coalesce({t}cysill_pos, '') IN ('', '?', 'none', 'n/a') AND {t}spacy_pos IS NULL) OR regexp_matches({t}n, '^[{T.VOWELS}]'))"""
-
-
-def _noun_sql(t: str) -> str:
-    return f"coalesce({t}spacy_pos IN ('NOUN', 'PROPN') OR starts_with({t}cysill_pos, 'N'), false)"
-
-
-_NEXT = [c for c in ("n", "confidence", "cysill_pos", "spacy_pos", "gender")]
-
-
-@query(f"""WITH k AS (SELECT min(word_id) AS id FROM words WHERE video_url IS NOT NULL AND segment_start IS NOT NULL GROUP BY video_url, segment_start, word_start, word_end),
-w AS (SELECT * FROM (SELECT x.* EXCLUDE (word), {sql_norm('word')} AS n FROM words x JOIN k ON x.word_id = k.id) WHERE length(n) >= 2),
-i AS (SELECT *, row_number() OVER o - 1 AS i, {", ".join(f"lead({c}) OVER o AS t_{c}" for c in _NEXT)} FROM w WINDOW o AS (PARTITION BY video_url, segment_start ORDER BY word_start, word_id)),
-r AS (SELECT *, CASE WHEN coalesce(t_confidence >= 0.65, false) AND n = 'un' AND coalesce(starts_with(t_gender, 'fem'), false) AND {_noun_sql('t_')} AND {CLUSTER.format(w='t_n')} NOT IN ('ll', 'rh') AND NOT {_skip_sql('t_')} THEN 'numeral+fem_noun'
-WHEN coalesce(t_confidence >= 0.65, false) AND coalesce(starts_with(gender, 'fem'), false) AND {_noun_sql('')} AND coalesce(t_spacy_pos = 'ADJ', false) AND NOT (ends_with(n, 's') AND {CLUSTER.format(w='t_n')} = 'd') AND NOT {_skip_sql('t_')} THEN 'fem_noun+adjective'
-WHEN coalesce(spacy_dep IN ('obj', 'iobj'), false) AND NOT {_skip_sql('')} THEN 'spacy_obj_soft' END AS rule FROM i WHERE confidence >= 0.65 AND n NOT IN ({listed(list(T.TRIGGERS))})),
-x AS (SELECT video_url, segment_start, i, rule, CASE WHEN rule = 'spacy_obj_soft' THEN '[SHORT_FORM_VERB]' ELSE n END AS trigger_word, CASE WHEN rule = 'numeral+fem_noun' THEN 'soft_limited' ELSE 'soft' END AS expected,
-CASE WHEN rule = 'spacy_obj_soft' THEN n ELSE t_n END AS f, CASE WHEN rule = 'spacy_obj_soft' THEN cysill_pos ELSE t_cysill_pos END AS cp, CASE WHEN rule = 'spacy_obj_soft' THEN spacy_pos ELSE t_spacy_pos END AS sp FROM r WHERE rule IS NOT NULL),
-y AS (SELECT *, {case(T.SURFACE_TYPE, CLUSTER.format(w='f'))} AS surface, CASE WHEN coalesce(cp, '') IN ('', '?', 'none', 'n/a') OR sp IS NULL THEN true ELSE list_contains({SQL_COARSE.format(p='cp')}, CASE sp WHEN 'PROPN' THEN 'NOUN' WHEN 'AUX' THEN 'VERB' ELSE sp END) END AS agree FROM x)
-SELECT video_url, segment_start, i, rule, trigger_word, f AS following_word, expected, surface, CASE WHEN f IN ({listed(ENGLISH)}) THEN 'code_switch' WHEN surface = 'soft' THEN 'correct_mutation' WHEN surface IS NULL AND f[1] IN ({listed(T.INVARIANT['soft'])}) THEN 'selective_invariancy'
-WHEN surface IS NOT NULL THEN CASE WHEN agree THEN 'wrong_mutation_type' ELSE 'erosion_unverified' END ELSE 'mutation_mismatch' END AS status FROM y""")
-def neighbour_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of the numeral, feminine-noun and object layers."""
-    out = rules.neighbour_facts(rules.enrich(table(spark, sf_dir, "words")))
-    return out.withColumn("i", F.col("i").cast("bigint"))
-
-
-def _whole_video(sql: str) -> str:
-    """The SQL with its look at the next words over the whole video; i stays the number within the segment."""
-    return sql.replace("row_number() OVER o - 1 AS i", "row_number() OVER (PARTITION BY video_url, segment_start ORDER BY word_start, word_id) - 1 AS i").replace("WINDOW o AS (PARTITION BY video_url, segment_start ORDER BY", "WINDOW o AS (PARTITION BY video_url ORDER BY segment_start,")
-
-
-@query(_whole_video(SQL["rule_decision_list"]))
-def whole_rule_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As rule_decision_list, with targets in later segments too."""
-    out = rules.word_trigger_facts(rules.enrich(table(spark, sf_dir, "words")), whole=True)
-    return out.select("video_url", "segment_start", F.col("i").cast("bigint").alias("i"), "trigger_word", "following_word", "expected", "surface", "status")
-
-
-@query(_whole_video(SQL["neighbour_rules"]))
-def whole_neighbour_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As neighbour_rules, with the next word in the next segment too."""
-    return rules.neighbour_facts(rules.enrich(table(spark, sf_dir, "words")), whole=True).withColumn("i", F.col("i").cast("bigint"))

@@ -21,7 +21,7 @@ def listed(values: list[str]) -> str:
 
 
 def sql_norm(col: str) -> str:
-    return f"""replace(replace(trim(lower(translate(coalesce({col}, ''), '“”‘’', '""''''')), '.,!?;:''"()[]'), '''r', ''), '''n', 'yn')"""
+    return f"""replace(replace(trim(nfc_normalize(lower(translate(coalesce({col}, ''), '“”‘’', '""'''''))), '.,!?;:''"()[]'), '''r', ''), '''n', 'yn')"""
 
 
 CLUSTER = "regexp_extract({w}, '^(" + "|".join(T.CLUSTERS) + "|.)', 1)"

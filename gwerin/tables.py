@@ -32,4 +32,18 @@ SINGLE_CLUSTERS = "ch ff ll mh ngh ng nh ph rh th".split()
 LEGAL_MARKED = "âêîôûŵŷáéíóúàèìòùïë"
 NULLS = ["", "n/a", "NA", "None", "nan", "null", "N/A", "NULL", "NaN", "#N/A", "<NA>"]
 AGREEING = ["all_three", "cysill+heuristic", "parser+heuristic"]
-STATUS_LABELS = {"correct_mutation": "Correct mutation", "erosion": "Erosion", "erosion_unverified": "Erosion (unverified)", "wrong_mutation_type": "Wrong type", "mutation_mismatch": "Mismatch", "selective_invariancy": "Invariant", "mutation_absent_expected_none": "None expected", "phantom_mutation": "Phantom", "code_switch": "Code-switch"}
+STATUS_LABELS = {"correct_mutation": "Correct", "selective_invariancy": "Selective Mutation (correct)", "erosion": "Erosion (radical)", "wrong_mutation_type": "Erosion (wrong type)", "mutation_mismatch": "Mismatch", "phantom_mutation": "Phantom", "code_switch": "Code-Switch", "mutation_absent_expected_none": "No mutation required", "colloquial_variant": "Colloquial Variant"}
+ARTICLES = ["r", "y", "yr"]
+LL_RH_EXEMPT = ["cyn", "mor", "pur", "yn"]
+LL_RH_EXEMPT_NOUNS = ["r", "un", "y", "yr"]
+BOD_TRIGGERS = ["mae", "oes", "ydy"]
+H_TRIGGERS = ["ein", "eu", "u"]
+NASAL_NUMERALS = ["100", "12", "15", "18", "20", "cant", "deng", "deuddeg", "deunaw", "naw", "pump", "pymtheg", "saith", "ugain", "wyth"]
+NASAL_NUMERAL_TARGETS = ["blwydd", "blynedd", "diwrnod"]
+PREPOSED_ADJECTIVES = ["ambell", "aml", "amryw", "annwyl", "gau", "hen", "holl", "rhyw", "unig", "unrhyw", "ychydig"]
+COMPOUND_SECOND = {"craig": "gardd", "haf": "dydd", "bar": "morwyn", "hwyl": "pren", "rhwyd": "gwaith", "modur": "tŷ"}
+OBJ_DEPS = ["iobj", "obj"]
+VOCATIVE_DEPS = ["vocative"]
+PHANTOM_TAGS = ["NF", "NM", "VBF", "VB", "VB+NM", "NM+VBF", "PLACE", "PERSON"]
+# letters and the combining marks that they are composed with
+MARKED = {"\u0300": "aàeèiìoòuù", "\u0301": "aáeéiíoóuú", "\u0302": "aâeêiîoôuûwŵyŷ", "\u0308": "aäeëiïoöuü", "\u0303": "aãnñoõ", "\u0327": "cç", "\u030a": "aå"}

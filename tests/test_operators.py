@@ -214,7 +214,111 @@ def test_next_words_lie_in_later_segments_and_buckets(spark):
     starts = sorted(float(x) for x in rng.choice(np.arange(0, 6000, 7), 60, replace=False))
     rows = [("v", s, i, f"{s}/{i}") for s in starts for i in range(int(rng.integers(1, 4)))] + [("w", 1.0, 0, "x")]
     words = spark.createDataFrame(rows, "video_url string, segment_start double, i int, w string").withColumn("me", F.struct("w"))
-    got = {r["w"]: [r[f"next{k}"] and r[f"next{k}"]["w"] for k in (1, 2, 3)] for r in rules.with_next(words, 3, True).collect()}
+    got = {r["w"]: [r[f"next{k}"] and r[f"next{k}"]["w"] for k in (1, 2, 3)] for r in rules.with_next(words, 3).collect()}
     v = [r[3] for r in rows if r[0] == "v"]
     want = {x: ([*v[k + 1 : k + 4], None, None, None])[:3] for k, x in enumerate(v)} | {"x": [None] * 3}
     assert got == want
+
+
+# ------------------------------------------------------------ rules, by hand
+
+
+NODE = dict(confidence=0.9, cysill_pos="NM", spacy_pos="NOUN", spacy_dep="root", spacy_mutation=None, gender=None)
+
+
+def facts_of(spark, spoken, scan=False):
+    """Facts of each list of words (text, lemma, changed tags) spoken one after the other: (trigger, following, rule, status, radical)."""
+    from gwerin.operators import rules
+
+    rows, lemmas = [], []
+    for v, said in enumerate(spoken):
+        for n, (w, lemma, tags) in enumerate(said):
+            lemmas += [(len(rows), lemma)]
+            rows.append(dict(NODE, **{k: x for k, x in tags.items() if k not in NODE}) | tags | dict(word=w, video_url=f"{v:03}", segment_start=float(n // 5), word_start=float(n), word_end=n + 0.5, word_id=len(rows)))
+    kinds = {"confidence": "double", "segment_start": "double", "word_start": "double", "word_end": "double", "word_id": "long"}
+    cols = sorted({k for r in rows for k in r})
+    words = spark.createDataFrame([[r.get(c) for c in cols] for r in rows], ", ".join(f"{c} {kinds.get(c, 'string')}" for c in cols))
+    own = spark.createDataFrame(lemmas, "word_id long, lemma string").withColumn("genuine", F.lit(True))
+    rich = rules.enrich(words).drop("lemma", "genuine").join(own, "word_id")
+    out = rules.scan_facts(rich) if scan else rules.evaluate(rules.candidates(rich))
+    got = [[] for _ in spoken]
+    for r in out.orderBy("video_url", "word_start").collect():
+        got[int(r["video_url"])].append((r["trigger_word"], r["following_word"], r["rule"], r["status"], r["matched_radical"]))
+    return got
+
+
+def test_outcomes_of_a_trigger(spark):
+    """dy asks for soft change, fy for nasal: each branch of the decision list."""
+    cases = [
+        ("dy", "gath", "cath", {}, "correct_mutation", "cath"),  # changed as asked, by its lemma
+        ("dy", "cath", "cath", {}, "erosion", None),  # the radical where soft change was due
+        ("dy", "pethau", "peth", {}, "erosion", None),  # an inflected radical, by its beginning
+        ("dy", "pethau", "peth", {"spacy_pos": "X", "cysill_pos": "?"}, "erosion_unverified", None),
+        ("dy", "cath", None, {}, "mutation_mismatch", None),  # nothing says what it is
+        ("dy", "bach", None, {}, "correct_mutation", "pach"), ("dy", "fach", None, {}, None, None),  # some change may have made it; f itself has no soft form
+        ("dy", "mhen", "pen", {}, "wrong_mutation_type", None),
+        ("fy", "mhen", "pen", {}, "correct_mutation", "pen"),
+        ("dy", "cath", "cath", {"confidence": 0.6}, None, None),  # not surely heard
+        ("dy", "siop", "siop", {}, None, None),  # its beginning has no soft form
+        ("dy", "the", None, {}, "code_switch", None),
+        ("eu", "hafal", "afal", {}, "correct_mutation", None), ("eu", "afal", "afal", {}, "erosion", None),
+        ("na", "chath", "cath", {}, "correct_mutation", "cath"), ("na", "ofn", "gofn", {}, "correct_mutation", "gofn"),
+        ("mor", "llawn", "llawn", {}, None, None),  # ll stays behind it
+    ]
+    found = facts_of(spark, [[(trigger, None, {}), (word, lemma, tags)] for trigger, word, lemma, tags, _, _ in cases])
+    for (trigger, word, _, _, status, radical), got in zip(cases, found):
+        mine = [g[3:] for g in got if g[0] == trigger]
+        assert mine == ([(status, radical)] if status else []), (trigger, word, got)
+
+
+def test_layers_and_the_scan(spark):
+    fem, adj = {"gender": "fem", "cysill_pos": "NF"}, {"spacy_pos": "ADJ", "cysill_pos": "ADJ"}
+    card, obj = {"cysill_pos": "CARD", "spacy_pos": "NUM"}, {"spacy_dep": "obj"}
+    amod = {"spacy_pos": "ADJ", "spacy_dep": "amod", "head": "gath"}
+    cases = [
+        ([("merch", None, fem), ("da", "da", adj)], ("merch", "da", "fem_noun+adjective", "erosion")),
+        ([("merch,", None, fem), ("da", "da", adj)], None),  # a clause ends between them
+        ([("nos", None, fem), ("da", "da", adj)], None),  # d stays behind s
+        ([("merch", None, fem), ("tref", "tref", {"spacy_dep": "nmod"})], ("merch", "tref", "fem_noun+genitive_noun", "erosion")),
+        ([("un", None, card), ("ferch", "merch", fem)], ("un", "ferch", "numeral+fem_noun", "correct_mutation")),
+        ([("saith", None, card), ("mlynedd", "blynedd", {})], ("saith", "mlynedd", "restricted_nasal_numeral", "correct_mutation")),
+        ([("saith", None, card), ("cath", "cath", {})], None),
+        ([("haf", None, {}), ("dydd", "dydd", {})], ("haf", "dydd", "decompounded_noun", "erosion")),
+        ([("ail", None, {"cysill_pos": "ORDF"}), ("ferch", "merch", {})], ("ail", "ferch", "word_trigger", "correct_mutation")),
+        ([("trydedd", None, {"cysill_pos": "ORDF"}), ("ferch", "merch", {})], ("trydedd", "ferch", "feminine_ordinal+noun", "correct_mutation")),
+        ([("gath", "cath", {"spacy_dep": "vocative"})], ("[VOCATIVE]", "gath", "spacy_vocative_soft", "correct_mutation")),
+        ([("cath", "cath", obj)], ("[SHORT_FORM_VERB]", "cath", "spacy_obj_soft_unheaded", "erosion")),
+        ([("cath", "cath", {**obj, "head_dep": "ROOT"})], ("[SHORT_FORM_VERB]", "cath", "spacy_obj_soft", "erosion")),
+        ([("cath", "cath", {**obj, "head_dep": "ROOT", "head_verbform": "Vnoun"})], None),
+        ([("gath", "cath", {"cysill_mutation_type": "soft"})], ("[OMITTED]", "gath", "phantom_check", "phantom_mutation")),
+        ([("unig", None, amod), ("gath", "cath", {})], ("unig", "gath", "preposed_adjective+noun", "correct_mutation")),
+        ([("unig", None, {**amod, "head": "other"}), ("gath", "cath", {})], None),
+    ]
+    for (said, want), got in zip(cases, facts_of(spark, [c[0] for c in cases])):
+        assert [g[:4] for g in got] == ([want] if want else []), (said, got)
+    # the fact of merch takes the next word along, so that it isn't looked at again
+    said = [[("merch", None, fem), ("fer", None, {**fem, **adj}), ("da", "da", {"spacy_pos": "NOUN"})]]
+    everywhere, visited = facts_of(spark, said)[0], facts_of(spark, said, scan=True)[0]
+    assert len(everywhere) == 2 and visited == everywhere[:1]
+
+
+def test_scan_equals_a_walk_over_the_video(spark):
+    """Stops of a long video by one walk, and by maps composed over its buckets."""
+    from gwerin.operators import rules
+
+    rng = np.random.default_rng(9)
+    pool = ["dy", "fy", "er", "ym", "cath", "merch", "da", "dan", "ar", "pen", "the"]
+    said = [(str(rng.choice(pool)), {"gender": "fem" if rng.random() < 0.3 else None, "spacy_pos": str(rng.choice(["NOUN", "ADJ"])), "confidence": float(rng.choice([0.5, 0.9, 0.9]))}) for _ in range(600)]
+    rows = [(w, t["gender"], t["spacy_pos"], t["confidence"], "v" if n % 9 else "u", float(n * 40), float(n), n + 0.5, n, "NM", "root", None) for n, (w, t) in enumerate(said)]
+    words = spark.createDataFrame(rows, "word string, gender string, spacy_pos string, confidence double, video_url string, segment_start double, word_start double, word_end double, word_id long, cysill_pos string, spacy_dep string, spacy_mutation string")
+    rich = rules.enrich(words)
+    steps = {(r["video_url"], r["segment_start"]): r["step"] for r in rules.candidates(rich).collect()}
+    want = set()
+    for v in ("u", "v"):
+        line = sorted(t for u, t in steps if u == v)
+        at = 0
+        while at < len(line):
+            want.add((v, line[at]))
+            at += steps[v, line[at]]
+    got = [(r["video_url"], r["segment_start"]) for r in rules.scan(rich).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and max(t for _, t in want) > 256 * rules.BUCKET / 4
