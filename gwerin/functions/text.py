@@ -143,3 +143,11 @@ def highlight(text: Column, word: Column, left: str = "[", right: str = "]") ->
 def differs_only_in_initial(a: Column, b: Column) -> Column:
     rest = lambda w: F.substring(w, F.length(initial_cluster(w)) + F.lit(1), F.lit(1 << 30))
     return (a != b) & (rest(a) == rest(b))
+
+
+def change_of(word: Column, lemma: Column) -> Column:
+    """How a word differs from a lemma: radical, soft, nasal or aspirate; null if no change of its beginning makes it. Of two types that give one form the later counts."""
+    cluster = initial_cluster(lemma)
+    rest = F.substring(lemma, F.length(cluster) + F.lit(1), F.lit(1 << 30))
+    made = lambda kind: F.concat(F.try_element_at(literal_map(T.FORWARD[kind]), cluster), rest) == word
+    return F.when(made("aspirate"), "aspirate").when(made("nasal"), "nasal").when(made("soft"), "soft").when(word == lemma, "radical")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gwerin.functions import text
+from gwerin.operators.carry import last_before
+from gwerin.operators.joins import tolerance_join
 from gwerin.session import checkpoint
 
 BLOCK = 480.0  # seconds of a video that are aligned at a time
@@ -133,13 +135,60 @@ def match_confidence(caption_word: Column, timing_ok: Column, run_len: Column) -
     return F.when(caption_word.isNull(), None).when(~F.coalesce(timing_ok, F.lit(True)), "rejected").when(run_len >= 3, "high").otherwise("low")
 
 
-def verdict(word: Column, caption_word: Column, radical: Column, tag: Column, timing_ok: Column) -> Column:
-    """What the other transcript says of a fact, the first that applies."""
-    mutated = lambda w: w != radical
-    near = (caption_word == radical) | text.differs_only_in_initial(caption_word, radical)
+def verdict(word: Column, caption_word: Column, change: Column, initial: Column, found: Column, tag: Column, timing_ok: Column) -> Column:
+    """What the other transcript says of a fact, the first that applies.
+
+    ``change`` says which change makes the caption's word of the fact's lemma, ``initial``
+    that the two words differ in their beginning only, ``found`` which change the fact's
+    word shows, none or null if none.
+    """
+    theirs, ours = change != "radical", F.coalesce(found, F.lit("none")) != "none"
     return (
         F.when(word.isNull(), "no_alignment").when(caption_word.isNull(), F.when(tag == "delete", "caption_omits_word").otherwise("no_alignment")).when(~F.coalesce(timing_ok, F.lit(True)), "alignment_timing_implausible")
-        .when(word == caption_word, "confirmed_match").when(~near, "caption_word_not_lemma_candidate")
-        .when(text.differs_only_in_initial(word, caption_word), F.when(mutated(caption_word) & ~mutated(word), "confirms_erosion").when(~mutated(caption_word) & mutated(word), "caption_disputes_mutation").when(mutated(caption_word), "confirms_mutation_present").otherwise("confirms_no_mutation"))
+        .when(word == caption_word, "confirmed_match").when(change.isNull(), "caption_word_not_lemma_candidate")
+        .when(initial, F.when(theirs & ~ours, "confirms_erosion").when(~theirs & ours, "caption_disputes_mutation").when(theirs, "confirms_mutation_present").otherwise("confirms_no_mutation"))
         .otherwise("caption_disagrees_non_initial")
     )
+
+
+FLAGGED = ["alignment_timing_implausible", "caption_disputes_mutation", "caption_disagrees_non_initial"]
+
+
+def corroborate(facts: DataFrame, words: DataFrame, evidence: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """The facts with caption_word, caption_tag, match_confidence, verdict and flagged, from the aligned transcripts.
+
+    ``facts`` has mutation_id, video_url, timestamp_span, following_word, lemma and
+    mutation_found; ``words`` video_url, word_id, word and word_end; ``evidence`` is that of
+    ``align_streams``. A fact is that of the first spoken word that reads the same and ends
+    within the tolerance of its end. Without a time there is no_timestamp, without a
+    word no_alignment.
+    """
+    end = text.parse_span(F.col("timestamp_span"))[1]
+    n = text.normalize_word(F.col("following_word"))
+    asked = facts.withColumns({"_end": end, "_n": n})
+    said = words.select("video_url", "word_id", text.normalize_word(F.col("word")).alias("_n"), "word_end")
+    hit = tolerance_join(asked, said, ["video_url", "_n"], "_end", "word_end", "word_id", tolerance)
+    first = evidence.where("word_id is not null").groupBy("video_url", "word_id").agg(F.min_by(F.struct(F.col("word").alias("w"), "caption_word", "tag", "timing_ok", "run_len"), "w_idx").alias("_e"))
+    out = hit.join(first, ["video_url", "word_id"], "left")
+    out = out.withColumns({"caption_word": F.col("_e.caption_word"), "_lemma": F.coalesce(F.nullif(text.normalize_word(F.col("lemma")), F.lit("")), F.col("_n"))})
+    out = out.withColumns({"_change": text.change_of(F.col("caption_word"), F.col("_lemma")), "_initial": text.differs_only_in_initial(F.col("_n"), F.col("caption_word"))})
+    e = lambda c: F.col(f"_e.{c}")
+    kind = verdict(F.when(F.col("_e").isNotNull(), F.col("_n")), F.col("caption_word"), F.col("_change"), F.col("_initial"), F.col("mutation_found"), e("tag"), e("timing_ok"))
+    out = out.withColumns({"verdict": F.when(F.col("_end").isNull(), "no_timestamp").otherwise(kind), "caption_tag": e("tag"), "match_confidence": match_confidence(F.col("caption_word"), e("timing_ok"), e("run_len"))})
+    return out.withColumn("flagged", F.col("verdict").isin(FLAGGED)).drop("_end", "_n", "_e", "_lemma", "_change", "_initial")
+
+
+def agreement(evidence: DataFrame, by: list[str]) -> DataFrame:
+    """(by, tokens, agreeing, share, and a count of each tag): word-level agreement of two aligned transcripts, equal and plausible in time."""
+    tags = ["equal", "replace", "delete", "replace_unmatched_length"]
+    agrees = (F.col("tag") == "equal") & F.coalesce(F.col("timing_ok"), F.lit(True))
+    out = evidence.groupBy(*by).agg(F.count("*").alias("tokens"), F.count_if(agrees).alias("agreeing"), *[F.count_if(F.col("tag") == t).alias(t) for t in tags])
+    return out.withColumn("share", F.round(F.col("agreeing") / F.col("tokens"), 6))
+
+
+def chat_stream(lines: DataFrame, key: str = "transcript_id") -> DataFrame:
+    """Tokens of CHAT lines as a stream to align; a line without a time has the last end before it, else 0. The order is that of the lines."""
+    rows = lines.where(F.col(key).isNotNull() & F.col("line_no").isNotNull()).select(F.col(key).cast("string").alias(key), F.col("line_no").cast("bigint").alias("line_no"), "text", F.col("utt_start").cast("double").alias("s"), F.col("utt_end").cast("double").alias("e"))
+    rows = last_before(rows.withColumn("_b", F.floor(F.col("line_no") / 2000)).withColumn("e2", F.coalesce("e", "s")), [key], "_b", ["line_no"], "e2", "before")
+    rows = rows.withColumn("t", F.coalesce("s", "before", F.lit(0.0)))
+    return stream(rows, key, "t", "text", ["line_no"])

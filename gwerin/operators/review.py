@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -76,3 +76,33 @@ def undiscovered(found: DataFrame, known: list[DataFrame], key: str, order: str,
     for k in known:
         out = out.join(k.select(key).distinct(), key, "left_anti")
     return out.orderBy(order, key).limit(limit) if limit else out
+
+
+def choose(facts: DataFrame, triggers: list[str] | None = None, rules: list[str] | None = None, video: str = "all") -> DataFrame:
+    """The facts that a rerun is about: by trigger or rule, of which one is needed, and videos whose address holds ``video``."""
+    if not triggers and not rules:
+        raise ValueError("a rerun needs a trigger or a rule")
+    out = facts.where(F.lower("trigger_word").isin([t.lower() for t in triggers])) if triggers else facts
+    out = out.where(F.col("rule").isin(rules)) if rules else out
+    return out if video == "all" else out.where(F.contains("video_url", F.lit(video)))
+
+
+def rerun(old: DataFrame, fresh: DataFrame, keys: list[str], cols: list[str], reviewed: str, triggers: list[str] | None = None, rules: list[str] | None = None, video: str = "all") -> tuple[DataFrame, DataFrame]:
+    """(classes, facts): facts derived anew against those there are, for the chosen triggers or rules.
+
+    The classes are those of ``diff_classes``; the facts are all old ones with the chosen
+    ones changed or added, reviewed ones as they are. ``fresh`` has the columns of ``old``.
+    """
+    mine, new = choose(old, triggers, rules, video), choose(fresh, triggers, rules, video)
+    meta = [c for c in old.columns if c not in keys and c not in cols and c != reviewed]
+    if reviewed not in new.columns:
+        new = new.withColumn(reviewed, F.lit(False))
+    rest = old.join(mine.select(*keys).distinct(), on=reduce(lambda a, b: a & b, [old[k].eqNullSafe(mine[k]) for k in keys]), how="left_anti")
+    put = upsert(mine, new, keys, cols, reviewed)
+    return diff_classes(mine, new, keys, cols, reviewed), rest.drop(*meta).select(*keys, *cols).unionByName(put.select(*keys, *cols))
+
+
+def positions(queue: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``place`` and ``of``: each row's number among the rows of its key, from 1, and how many there are."""
+    by = Window.partitionBy(key)
+    return queue.withColumns({"place": F.row_number().over(by.orderBy(*order)), "of": F.count("*").over(by)})

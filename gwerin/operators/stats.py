@@ -78,7 +78,7 @@ def status_shares(facts: DataFrame, statuses: tuple[str, ...] = ("correct_mutati
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """(value, n, share) of a column's non-null values."""
     out = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("value")).agg(F.count("*").alias("n"))
-    return out.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 6))  # few values by nature
+    return out.withColumn("share", F.round(F.col("n") / df.where(F.col(col).isNotNull()).agg(F.count("*")).scalar(), 6))
 
 
 def agreement_by_rule(facts: DataFrame) -> DataFrame:
@@ -137,3 +137,14 @@ def sensitivity(facts: DataFrame) -> DataFrame:
     ok = facts.where(not_switched() & evaluable())
     calm = ~F.coalesce(F.col("tagger_agreement") == "disputed", F.lit(False))
     return ok.groupBy("expected_mutation").agg(F.count("is_erosion").alias("contexts"), rate().alias("rate_all"), F.round(F.avg(F.when(calm, F.col("is_erosion").cast("int"))), 6).alias("rate_undisputed"))
+
+
+def erosion_plain(facts: DataFrame, by: str, least: int = 0) -> DataFrame:
+    """Rows, erosions and rate by one column, over evaluable facts of the home language; groups of at least ``least`` rows."""
+    out = facts.where(not_switched() & evaluable()).groupBy(by).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("is_erosion").cast("int"), F.lit(0))).cast("long").alias("erosion"))
+    return out.where(F.col("n") >= least).withColumn("erosion_rate", F.round(F.col("erosion") / F.col("n"), 6))
+
+
+def word_counters(words: DataFrame, key: str, word: Column, switched: Column) -> DataFrame:
+    """(key, words, switched): words of each video and those of the other language."""
+    return words.where(F.col(key).isNotNull() & (word != "")).groupBy(key).agg(F.count("*").alias("words"), F.sum(switched.cast("int")).cast("long").alias("switched"))

@@ -30,9 +30,15 @@ def expand_clitics(words: DataFrame, col: str = "word") -> DataFrame:
     return words.withColumn("_p", out.otherwise(F.array(part(F.col(col), False)))).select(*words.columns, F.posexplode("_p").alias("part_no", "_q")).select(*words.columns, "part_no", "_q.part", "_q.synthetic")
 
 
-def drop_reason(n: Column, most: Column, odd: Column) -> Column:
-    """Why a segment is taken for a hallucination: one word fills more than 0.4 of it, or more than 0.3 is implausible; null keeps it."""
-    return F.when(n < 3, None).when(most / n > 0.4, "repeats").when(odd / n > 0.3, "implausible")
+def drop_reason(n: Column, most: Column, odd: Column, no_speech: Column | None = None, logprob: Column | None = None) -> Column:
+    """Why a segment is taken for a hallucination, in order: likely no speech (over 0.6), improbable text (mean log probability under -1), no word,
+    one word that fills more than 0.4 of it, or more than 0.3 of it implausible; null keeps it. Unknown probabilities count as 0, and so few as two words are kept.
+    """
+    zero = F.lit(0.0)
+    return (
+        F.when(F.coalesce(no_speech if no_speech is not None else zero, zero) > 0.6, "no_speech").when(F.coalesce(logprob if logprob is not None else zero, zero) < -1.0, "improbable")
+        .when(n == 0, "no_words").when(n < 3, None).when(most / n > 0.4, "repeats").when(odd / n > 0.3, "implausible")
+    )
 
 
 def hallucinated(words: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,3 +80,12 @@ def lookahead(words: DataFrame, keys: list[str], order: list[str], norm: str, st
 def fingerprint(words: DataFrame, keys: list[str], order: str, col: str) -> DataFrame:
     """sha256 of a segment's words, each followed by a zero character."""
     return words.groupBy(*keys).agg(F.sha2(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(col).alias("w")))), lambda x: x["w"]), "\0"), F.lit("\0")), 256).alias("fingerprint"))
+
+
+def judge_segments(segments: DataFrame, keys: list[str], col: str, no_speech: str | None = None, logprob: str | None = None) -> DataFrame:
+    """The segments with ``drop``, why each is taken for a hallucination; null keeps it."""
+    counts = hallucinated(words_of(segments, keys, col), keys).drop("reason")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    out = segments.join(counts, keys, "left")
+    reason = drop_reason(n("n"), n("most"), n("odd"), F.col(no_speech) if no_speech else None, F.col(logprob) if logprob else None)
+    return out.withColumn("drop", reason).drop("n", "most", "odd")

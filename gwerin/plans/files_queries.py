@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gwerin.operators import drift, lexicon_lines
-from gwerin.plans.registry import query
+from gwerin.plans.registry import SQL, query
 from gwerin.session import table
 
 
@@ -34,6 +34,6 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon_lines.parse_lines(table(spark, sf_dir, "lexicon_lines")).where("reason is not null").select("line_no", "reason")
 
 
-@query()
+@query(SQL["p7_found"].partition("SELECT line_no, reason FROM r WHERE")[0].replace("r AS (SELECT line_no, CASE", "r AS (SELECT line_no, f, CASE") + "SELECT line_no, f[1] AS wordform, f[2] AS lemma, f[3] AS tag, f[4] AS morph FROM r WHERE reason IS NULL")
 def p7_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon_lines.parse_lines(table(spark, sf_dir, "lexicon_lines")).where("reason is null").select("line_no", "wordform", "lemma", "tag", "morph")

@@ -52,14 +52,14 @@ def gaps_islands_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("video_url", "island").agg(F.count("*").alias("cues"), F.round(F.max("segment_end") - F.min("segment_start"), 3).alias("seconds"))
 
 
-ENTRIES = """WITH e AS (SELECT string_split(regexp_replace(line, '\\r$', ''), chr(9)) AS f FROM lexicon_lines WHERE NOT contains(line, '"') AND regexp_matches(regexp_replace(line, '\\r$', ''), '^[\\p{L} ''’-]*[^ \\t][\\p{L} ''’-]*\\t[\\p{L} ''’-]*[^ \\t][\\p{L} ''’-]*\\t(ADJ|ADP|ADV|AUX|CCONJ|DET|INTJ|NOUN|NUM|PART|PRON|PROPN|PUNCT|SCONJ|SYM|VERB|X)(\\t([\\p{L}\\p{N}]+=[\\p{L}\\p{N}]+(,[\\p{L}\\p{N}]+)*(\\|[\\p{L}\\p{N}]+=[\\p{L}\\p{N}]+(,[\\p{L}\\p{N}]+)*)*)?)?$')),
-x AS (SELECT f[1] AS wordform, lower(f[2]) AS l, f[3] AS tag, f[4] AS morph FROM e WHERE regexp_matches(f[1], '^[\\p{L} ''’-]+$') AND regexp_matches(f[2], '^[\\p{L} ''’-]+$')),
+ENTRIES = SQL["p7_found"].partition("SELECT line_no, reason FROM r WHERE")[0].replace("r AS (SELECT line_no, CASE", "r AS (SELECT line_no, f, CASE") + """, x AS (SELECT f[1] AS wordform, lower(f[2]) AS l, f[3] AS tag FROM r WHERE reason IS NULL),
 g AS (SELECT wordform, count(*) AS n, CASE WHEN min(l) = max(l) THEN min(l) END AS lemma, CASE WHEN count(*) = 1 THEN min(tag) END AS tag FROM x GROUP BY wordform)
 """
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.lexicon(lexicon_lines.parse_lines(table(spark, sf_dir, "lexicon_lines").where("not contains(line, '\"')").select("line")).where("reason is null"))
+    """Of every valid line, quoted fields included."""
+    return joins.lexicon(lexicon_lines.parse_lines(table(spark, sf_dir, "lexicon_lines").select("line")).where("reason is null"))
 
 
 @query(ENTRIES + "SELECT wordform, n, lemma, tag FROM g")
@@ -74,28 +74,6 @@ def case_recovery_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.look_up(lex.select(F.lower("wordform").alias("w0")).distinct(), "w0", lex).select(F.col("w0").alias("w"), "form", "lemma", "tag")
 
 
-WHOLE_ENTRIES = SQL["p7_found"].partition("SELECT line_no, reason FROM r WHERE")[0].replace("r AS (SELECT line_no, CASE", "r AS (SELECT line_no, f, CASE") + """, x AS (SELECT f[1] AS wordform, lower(f[2]) AS l, f[3] AS tag FROM r WHERE reason IS NULL),
-g AS (SELECT wordform, count(*) AS n, CASE WHEN min(l) = max(l) THEN min(l) END AS lemma, CASE WHEN count(*) = 1 THEN min(tag) END AS tag FROM x GROUP BY wordform)
-"""
-
-
-def whole_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every valid line, quoted fields included."""
-    return joins.lexicon(lexicon_lines.parse_lines(table(spark, sf_dir, "lexicon_lines").select("line")).where("reason is null"))
-
-
-@query(WHOLE_ENTRIES + "SELECT wordform, n, lemma, tag FROM g")
-def whole_lexicon_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return whole_entries(spark, sf_dir).select("wordform", "n", "lemma", "tag")
-
-
-@query(WHOLE_ENTRIES + """, w AS (SELECT DISTINCT lower(wordform) AS w FROM g)
-SELECT w, coalesce(a.wordform, b.wordform) AS form, CASE WHEN a.wordform IS NOT NULL THEN a.lemma ELSE b.lemma END AS lemma, CASE WHEN a.wordform IS NOT NULL THEN a.tag ELSE b.tag END AS tag FROM w LEFT JOIN g a ON a.wordform = w LEFT JOIN g b ON b.wordform = upper(w[1]) || w[2:]""")
-def whole_case_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lex = whole_entries(spark, sf_dir)
-    return joins.look_up(lex.select(F.lower("wordform").alias("w0")).distinct(), "w0", lex).select(F.col("w0").alias("w"), "form", "lemma", "tag")
-
-
 @query(f"""WITH w AS (SELECT DISTINCT {sql_norm('word')} AS n FROM words), c AS (SELECT lower(following_word) AS n, min(lemma) AS lemma FROM mutations WHERE lemma IS NOT NULL GROUP BY 1)
 SELECT n, CASE WHEN n IN ({listed(T.SUPPLETIVE)}) THEN n WHEN n IN ({listed(ENGLISH)}) THEN NULL ELSE coalesce(c.lemma, n) END AS lemma FROM w LEFT JOIN c USING (n) WHERE n <> ''""")
 def lemma_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,10 +120,21 @@ def context_window_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("segment_id", "pos", F.array_join(F.collect_list("word").over(near), " ").alias("context"))
 
 
+def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Delivered words, and what the captions have for each of their tokens."""
+    words = table(spark, sf_dir, "words").groupBy("video_url", "word_start", "word_end").agg(F.min_by(F.struct("word_id", "word"), "word_id").alias("w")).select("video_url", "word_start", "word_end", "w.*")
+    return words, align.align_streams(align.stream(words, "video_url", "word_start", "word", ["word_id"], "word_end"), align.stream(cues(spark, sf_dir), "video_url", "segment_start", "segment_text", ["caption_id"]))
+
+
 @query()
 def align_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "words").groupBy("video_url", "word_start", "word_end").agg(F.min_by(F.struct("word_id", "word"), "word_id").alias("w")).select("video_url", "word_start", "word_end", "w.*")
-    return align.align_streams(align.stream(words, "video_url", "word_start", "word", ["word_id"], "word_end"), align.stream(cues(spark, sf_dir), "video_url", "segment_start", "segment_text", ["caption_id"]))
+    return _evidence(spark, sf_dir)[1]
+
+
+@query()
+def stream_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-level agreement of speech and captions, by video."""
+    return align.agreement(_evidence(spark, sf_dir)[1], ["video_url"])
 
 
 @query()
@@ -156,21 +145,18 @@ def gap_tolerant_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_with_gaps(words, toks)
 
 
-INITIAL = lambda a, b: f"({a} <> {b} AND {a}[length({CLUSTER.format(w=a)}) + 1:] = {b}[length({CLUSTER.format(w=b)}) + 1:])"
+@query()
+def corroborated_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fact with what the captions say of it."""
+    facts = stats.dedup_facts(table(spark, sf_dir, "mutations"), ["mutation_id", "lemma", "mutation_found"])
+    words, evidence = _evidence(spark, sf_dir)
+    return align.corroborate(facts, words, evidence).select("mutation_id", "word_id", "caption_word", "caption_tag", "match_confidence", "verdict", "flagged")
 
 
-@query(BASE + f""", e AS (SELECT lower(following_word) AS w, lower(matched_radical) AS c, lower(lemma) AS r, CASE WHEN is_erosion THEN 'replace' ELSE 'delete' END AS tag, NOT coalesce(pos_compatible, true) IS FALSE AS ok FROM f),
-v AS (SELECT CASE WHEN w IS NULL THEN 'no_alignment' WHEN c IS NULL THEN CASE WHEN tag = 'delete' THEN 'caption_omits_word' ELSE 'no_alignment' END WHEN NOT ok THEN 'alignment_timing_implausible' WHEN w = c THEN 'confirmed_match'
-WHEN NOT coalesce(c = r OR {INITIAL('c', 'r')}, true) THEN 'caption_word_not_lemma_candidate' WHEN {INITIAL('w', 'c')} THEN CASE WHEN c <> r AND NOT w <> r THEN 'confirms_erosion' WHEN NOT c <> r AND w <> r THEN 'caption_disputes_mutation' WHEN c <> r THEN 'confirms_mutation_present' ELSE 'confirms_no_mutation' END
-ELSE 'caption_disagrees_non_initial' END AS verdict, CASE WHEN c IS NULL THEN NULL WHEN NOT ok THEN 'rejected' WHEN length(w) >= 3 THEN 'high' ELSE 'low' END AS match_confidence FROM e)
-SELECT verdict, match_confidence, count(*) AS n FROM v GROUP BY ALL""")
+@query()
 def corroboration_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Histogram of verdicts and match confidence, the matched radical standing for the other transcript's word."""
-    raw = stats.dedup_facts(table(spark, sf_dir, "mutations"), ["mutation_id", "lemma", "matched_radical", "is_erosion", "pos_compatible"])
-    w, c, r = F.lower("following_word"), F.lower("matched_radical"), F.lower("lemma")
-    tag, ok = F.when(F.col("is_erosion"), "replace").otherwise("delete"), F.coalesce("pos_compatible", F.lit(True))
-    out = raw.select(align.verdict(w, c, r, tag, ok).alias("verdict"), align.match_confidence(c, ok, F.length(w)).alias("match_confidence"))
-    return out.groupBy("verdict", "match_confidence").agg(F.count("*").alias("n"))
+    """Histogram of verdicts and match confidence, over all facts."""
+    return corroborated_facts(spark, sf_dir).groupBy("verdict", "match_confidence").agg(F.count("*").alias("n"), F.count_if("flagged").alias("flagged"))
 
 
 COLS = ["status", "confidence_score"]
@@ -270,3 +256,40 @@ def windowed_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gwerin.streaming.incremental import windowed_counts
 
     return windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type")
+
+
+@query(f"WITH s AS (SELECT segment_id, video_url, segment_start, segment_text FROM segments WHERE video_url IS NOT NULL), l AS (SELECT *, lag(segment_text) OVER w IS DISTINCT FROM segment_text AS c, row_number() OVER w AS i FROM s WINDOW w AS (PARTITION BY video_url ORDER BY segment_start, segment_id)) SELECT segment_id, sum((c AND i > 1)::INT) OVER (PARTITION BY video_url ORDER BY segment_start, segment_id)::BIGINT AS run FROM l")
+def equal_text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments with the number of their group of adjacent equal texts."""
+    rows = table(spark, sf_dir, "segments").select("segment_id", "video_url", "segment_start", "segment_text")
+    return segments.equal_runs(rows, "video_url", ["segment_start", "segment_id"], "segment_text", F.floor(F.col("segment_start") / 300)).select("segment_id", "run")
+
+
+@query(BASE + """, a AS (SELECT mutation_id, video_url, try_cast(regexp_extract(timestamp_span, '([\\d.]+)s', 1) AS DOUBLE) AS t0, try_cast(regexp_extract(timestamp_span, '-\\s*([\\d.]+)s', 1) AS DOUBLE) AS t1 FROM f),
+h AS (SELECT mutation_id, arg_min(segment_id, (segment_start, segment_id)) AS segment_id FROM a JOIN segments s ON s.video_url = a.video_url AND s.segment_start <= a.t1 AND s.segment_end >= a.t0 GROUP BY mutation_id),
+o AS (SELECT segment_id, video_url, row_number() OVER (PARTITION BY video_url ORDER BY segment_start, segment_id) AS i FROM segments WHERE video_url IS NOT NULL)
+SELECT h.mutation_id, n.segment_id, (n.i - o.i)::INT AS "offset" FROM h JOIN o USING (segment_id) JOIN o n ON n.video_url = o.video_url AND n.i BETWEEN o.i - 2 AND o.i + 2""")
+def context_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segment of each fact with two before and two behind it."""
+    hits = interval_context(spark, sf_dir).select("mutation_id", F.col("first_span").alias("segment_id"))
+    rows = table(spark, sf_dir, "segments").select("video_url", "segment_id", "segment_start")
+    return segments.around(hits, rows, "video_url", "mutation_id", ["segment_start"], "segment_id", 2, F.floor(F.col("segment_start") / 300))
+
+
+@query(BASE + ", q AS (SELECT mutation_id, video_url FROM f WHERE status IN ('erosion', 'wrong_mutation_type') AND NOT coalesce(manual_reviewed, false)) SELECT mutation_id, row_number() OVER (PARTITION BY video_url ORDER BY mutation_id)::INT AS place, count(*) OVER (PARTITION BY video_url) AS \"of\" FROM q")
+def review_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of each fact in the review queue of its video."""
+    return review.positions(_review(spark, sf_dir).select("mutation_id", "video_url"), "video_url", ["mutation_id"]).select("mutation_id", "place", "of")
+
+
+@query(f"WITH w AS (SELECT video_url, {sql_norm('word')} AS n FROM words WHERE video_url IS NOT NULL) SELECT video_url, count(*) AS words, sum((n IN ({listed(ENGLISH)}))::INT)::BIGINT AS switched FROM w WHERE n <> '' GROUP BY video_url")
+def video_word_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = text.normalize_word(F.col("word"))
+    return stats.word_counters(table(spark, sf_dir, "words"), "video_url", n, text.is_english(n))
+
+
+@query(f"SELECT following_word, lemma, CASE WHEN w = {{0}} THEN 'aspirate' WHEN w = {{1}} THEN 'nasal' WHEN w = {{2}} THEN 'soft' WHEN w = l THEN 'radical' END AS change FROM (SELECT DISTINCT following_word, lemma, {sql_norm('following_word')} AS w, {sql_norm('lemma')} AS l FROM mutations WHERE lemma IS NOT NULL AND following_word IS NOT NULL)".format(*[case(T.FORWARD[k], CLUSTER.format(w="l")) + f" || l[length({CLUSTER.format(w='l')}) + 1:]" for k in ("aspirate", "nasal", "soft")]))
+def changes_of_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which change of its beginning makes each word of its lemma."""
+    pairs = table(spark, sf_dir, "mutations").where("lemma is not null and following_word is not null").select("following_word", "lemma").distinct()
+    return pairs.select("following_word", "lemma", text.change_of(text.normalize_word(F.col("following_word")), text.normalize_word(F.col("lemma"))).alias("change"))

@@ -168,3 +168,18 @@ def per_video_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(BASE + "SELECT expected_mutation, count(is_erosion) AS contexts, round(avg(is_erosion::INT), 6) AS rate_all, round(avg(is_erosion::INT) FILTER (NOT coalesce(tagger_agreement = 'disputed', false)), 6) AS rate_undisputed FROM f WHERE NOT cs AND ev GROUP BY expected_mutation")
 def disputed_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.sensitivity(facts(spark, sf_dir, "expected_mutation", "status", "is_erosion", "is_code_switch", "tagger_agreement"))
+
+
+@query(BASE + "SELECT expected_mutation, count(*) AS n, sum(coalesce(is_erosion, false)::INT)::BIGINT AS erosion, round(sum(coalesce(is_erosion, false)::INT) / count(*), 6) AS erosion_rate FROM f WHERE NOT cs AND ev GROUP BY 1 HAVING count(*) >= 5")
+def erosion_by_type_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.erosion_plain(facts(spark, sf_dir, "expected_mutation", "status", "is_erosion", "is_code_switch"), "expected_mutation", 5)
+
+
+@query(BASE + "SELECT source, count(*) AS n, sum(coalesce(is_erosion, false)::INT)::BIGINT AS erosion, round(sum(coalesce(is_erosion, false)::INT) / count(*), 6) AS erosion_rate FROM f WHERE NOT cs AND ev GROUP BY 1")
+def erosion_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.erosion_plain(facts(spark, sf_dir, "source", "status", "is_erosion", "is_code_switch"), "source")
+
+
+@query(BASE + "SELECT channel_register, count(*) AS n, sum(coalesce(is_erosion, false)::INT)::BIGINT AS erosion, round(sum(coalesce(is_erosion, false)::INT) / count(*), 6) AS erosion_rate FROM f WHERE NOT cs AND ev GROUP BY 1")
+def erosion_by_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.erosion_plain(facts(spark, sf_dir, "channel_register", "status", "is_erosion", "is_code_switch"), "channel_register")

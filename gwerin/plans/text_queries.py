@@ -9,6 +9,7 @@ from gwerin import tables as T
 from gwerin.functions import text
 from gwerin.operators import tokens
 from gwerin.plans.registry import query
+from gwerin.sources import readers
 from gwerin.session import table
 
 
@@ -159,23 +160,10 @@ def timestamp_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "mutations").select("mutation_id", a.alias("t0"), b.alias("t1"), text.mmss(a).alias("mmss"), text.hms(b).alias("hms")).where("t0 is not null and t1 is not null")
 
 
-MARKUP = [(r"\[[^\]]*\]", " "), (r"&=\S+", " "), (r"&-(\S+)", "$1"), (r"(\S+)@\S+", "$1"), (r"\+\.\.\.", " "), (r"\b(?:xxx|yyy|www)\b", " "), (r"\(\.+\)", " "), (r"[()]", "")]
-
-
-def _markup_sql() -> str:
-    out = "text"
-    for p, r in MARKUP:
-        out = f"regexp_replace({out}, '{p}', '{r.replace('$1', chr(92) + '1')}', 'g')"
-    return f"SELECT utterance_id, trim(regexp_replace({out}, '[ \\t]+', ' ', 'g'), ' ') AS clean FROM chat_utterances WHERE text IS NOT NULL"
-
-
-@query(_markup_sql())
+@query(f"SELECT utterance_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '{readers.CHAT_ASIDE}', ' ', 'g'), '{readers.CHAT_INSIDE}', '', 'g'), '\\s+', ' ', 'g'), ' ') AS clean FROM chat_utterances WHERE text IS NOT NULL")
 def parse_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transcript markup stripped by an ordered chain of patterns."""
-    s = F.col("text")
-    for p, r in MARKUP:
-        s = F.regexp_replace(s, p, r)
-    return table(spark, sf_dir, "chat_utterances").where("text is not null").select("utterance_id", F.btrim(F.regexp_replace(s, "[ \t]+", " "), F.lit(" ")).alias("clean"))
+    """Transcript lines without their markup."""
+    return table(spark, sf_dir, "chat_utterances").where("text is not null").select("utterance_id", readers.clean_chat(F.col("text")).alias("clean"))
 
 
 @query(WORDS + f"SELECT word_id, n IN ({listed(ENGLISH)}) OR (n IN (SELECT lower(word) FROM known_words WHERE lang = 'en') AND n NOT IN (SELECT lower(word) FROM known_words WHERE lang = 'cy') AND NOT starts_with(n, 'ts') AND NOT starts_with(n, 'j')) AS switched FROM w WHERE n <> ''")
@@ -186,17 +174,14 @@ def code_switch_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.join(known, "n", "left").select("word_id", text.is_english(F.col("n"), F.coalesce("en", no), F.coalesce("cy", no)).alias("switched"))
 
 
-@query("SELECT utterance_id, regexp_replace(text, '(?i)\\b(y|yn|the)\\b', '[\\1]', 'g') AS marked FROM chat_utterances WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^ -~]')")
-def highlight_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = table(spark, sf_dir, "chat_utterances").where("text is not null").where(~F.col("text").rlike("[^ -~]"))
-    return plain.select("utterance_id", F.regexp_replace("text", r"(?i)\b(y|yn|the)\b", "[$1]").alias("marked"))
-
-
 @query()
-def highlight_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As highlight_words, over every text: a word ends where no letter, digit or mark of any script follows. DuckDB's \\b knows ASCII only, so there is no SQL."""
+def highlight_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole words y, yn and the in every text, whatever its script: a word ends where no letter, digit or mark of any script follows. DuckDB's \\b knows ASCII only, so there is no SQL."""
     texts = table(spark, sf_dir, "chat_utterances").where("text is not null")
-    return texts.select("utterance_id", F.regexp_replace("text", r"(?iU)\b(y|yn|the)\b", "[$1]").alias("marked"))
+    marked = F.col("text")
+    for word in ("y", "yn", "the"):
+        marked = text.highlight(marked, F.lit(word))
+    return texts.select("utterance_id", marked.alias("marked"))
 
 
 @query("""WITH c AS (SELECT mutation_id, following_word AS a, lemma AS b FROM mutations WHERE lemma IS NOT NULL AND following_word IS NOT NULL)

@@ -31,11 +31,15 @@ def read_vtt(spark: SparkSession, path: str) -> DataFrame:
     return kept.select("file_name", F.row_number().over(by).alias("cue_no"), "segment_start", "segment_end", "segment_text")
 
 
+# What CHAT lines hold besides speech: annotations in square brackets, events, pauses, unclear words, and linkers and terminators that begin with a plus sign.
+CHAT_ASIDE = r"\[[^\]]*\]|&=\S+|\(\.+\)|\(\d*\.\d*\)|\b(?:xxx|yyy|www)\b|(?:^|\s)\+\S+"
+# What they add to words: scope and omission brackets, form markers behind a word, signs before fillers and fragments.
+CHAT_INSIDE = r"[()<>]|@[\w:+&]+|&[-~+]"
+
+
 def clean_chat(col: Column) -> Column:
-    """Transcript markup stripped, in order: annotations, events, fragments, suffixes, trailing off, unclear words, pauses, brackets."""
-    for pattern, to in ((r"\[[^\]]*\]", " "), (r"&=\S+", " "), (r"&-(\S+)", "$1"), (r"(\S+)@\S+", "$1"), (r"\+\.\.\.", " "), (r"\b(?:xxx|yyy|www)\b", " "), (r"\(\.+\)", " "), (r"[()]", "")):
-        col = F.regexp_replace(col, pattern, to)
-    return F.trim(F.regexp_replace(col, r"\s+", " "))
+    """The spoken words of a CHAT line: asides become a blank, what is added to words is cut off, blanks are single."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(col, CHAT_ASIDE, " "), CHAT_INSIDE, ""), r"\s+", " "))
 
 
 def read_chat(spark: SparkSession, path: str) -> DataFrame:

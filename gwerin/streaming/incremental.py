@@ -16,12 +16,26 @@ def new_words(spark: SparkSession, path: str, schema: str, files: int = 100) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def stream_facts(words: DataFrame, out: str, state: str, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Facts of each batch of words, written under its number: a batch that is run again replaces itself."""
+def stream_facts(words: DataFrame, out: str, state: str, then: Callable[[DataFrame, int], None] | None = None, parts: int = 256) -> StreamingQuery:
+    """Facts of all words delivered so far, kept right from batch to batch.
+
+    Words are stored below ``out``/words by batch and part, a part being the videos of one
+    hash value; the facts of the parts that a batch touches are derived anew from all their
+    words and replace those below ``out``/facts. So a video that comes in several batches
+    has the neighbours and deliveries of a single run, and a batch that is run again
+    replaces itself. ``parts`` must not change between runs.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        found = rules.word_trigger_facts(rules.enrich(df))
-        found.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        spark = df.sparkSession
+        part = F.pmod(F.xxhash64("video_url"), F.lit(parts)).alias("part")
+        df.select("*", part).write.mode("overwrite").partitionBy("part").parquet(f"{out}/words/batch={number}")
+        touched = [r["part"] for r in df.select(part).distinct().collect()]  # at most ``parts``
+        if not touched:
+            return
+        known = spark.read.parquet(f"{out}/words").where((F.col("batch") <= number) & F.col("part").isin(touched)).drop("batch", "part")
+        found = rules.scan_facts(rules.enrich(known)).select("*", part)
+        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{out}/facts")
         if then is not None:
             then(found, number)
 

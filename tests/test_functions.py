@@ -66,7 +66,7 @@ def test_highlight(spark):
     assert run(spark, text.highlight, "Mae y tŷ", None) == "Mae y tŷ"
 
 
-def test_highlight_texts_marks_every_text(spark, sf, tmp_path):
+def test_highlight_words_marks_every_text(spark, sf, tmp_path):
     import re
     import unicodedata
 
@@ -83,5 +83,5 @@ def test_highlight_texts_marks_every_text(spark, sf, tmp_path):
     given = spark.read.parquet(f"{sf}/chat_utterances.parquet").where("text is not null").select(F.col("utterance_id") + 100, "text")
     made.union(given).write.parquet(str(tmp_path / "chat_utterances.parquet"))
     rows = {r[0]: r[1] for r in spark.read.parquet(str(tmp_path / "chat_utterances.parquet")).where("text is not null").collect()}
-    got = {r["utterance_id"]: r["marked"] for r in entry.queries()["highlight_texts"](spark, str(tmp_path)).collect()}
+    got = {r["utterance_id"]: r["marked"] for r in entry.queries()["highlight_words"](spark, str(tmp_path)).collect()}
     assert got == {k: want(v) for k, v in rows.items()}

@@ -201,9 +201,9 @@ def test_whole_lexicon_has_quoted_lines(spark, tmp_path):
 
     lines = ["clo\tclo\tNOUN", '"clo"\tcloi\tVERB', '"a ""b"""\tb\tNOUN\r', '"Cymru"\t"Cymru"\tPROPN', 'x"\tx\tX']
     spark.createDataFrame([(i, s) for i, s in enumerate(lines)], "line_no long, line string").write.parquet(str(tmp_path / "lexicon_lines.parquet"))
-    got = {r["wordform"]: (r["n"], r["lemma"], r["tag"]) for r in entry.queries()["whole_lexicon_ambiguity"](spark, str(tmp_path)).collect()}
+    got = {r["wordform"]: (r["n"], r["lemma"], r["tag"]) for r in entry.queries()["lexicon_ambiguity"](spark, str(tmp_path)).collect()}
     assert got == {"clo": (2, None, None), 'a "b"': (1, "b", "NOUN"), "Cymru": (1, "cymru", "PROPN")}
-    got = {r["w"]: (r["form"], r["lemma"]) for r in entry.queries()["whole_case_recovery"](spark, str(tmp_path)).collect()}
+    got = {r["w"]: (r["form"], r["lemma"]) for r in entry.queries()["case_recovery_lookup"](spark, str(tmp_path)).collect()}
     assert got == {"clo": ("clo", None), 'a "b"': ('a "b"', "b"), "cymru": ("Cymru", "cymru")}
 
 
@@ -322,3 +322,76 @@ def test_scan_equals_a_walk_over_the_video(spark):
             at += steps[v, line[at]]
     got = [(r["video_url"], r["segment_start"]) for r in rules.scan(rich).collect()]
     assert len(got) == len(set(got)) and set(got) == want and max(t for _, t in want) > 256 * rules.BUCKET / 4
+
+
+# ------------------------------------------------------------ corroboration, rerun and the like
+
+
+def test_corroboration_by_the_aligned_transcript(spark):
+    from gwerin.operators import align
+
+    said = "aa bb gath cc dd cath ee ff pen gg hh ben ii jj ci kk ll mm nn oo".split()
+    shown = "aa bb gath cc dd gath ee ff ben gg hh pen ii jj xx kk mm nn oo".split()
+    words = spark.createDataFrame([("v", k, w, float(k), k + 0.5) for k, w in enumerate(said)], "video_url string, word_id long, word string, word_start double, word_end double")
+    cues = spark.createDataFrame([("v", k, float(k), w) for k, w in enumerate(shown)], "video_url string, caption_id long, segment_start double, segment_text string")
+    evidence = align.align_streams(align.stream(words, "video_url", "word_start", "word", ["word_id"], "word_end"), align.stream(cues, "video_url", "segment_start", "segment_text", ["caption_id"]))
+    facts = [(1, 2, "gath", "cath", "soft"), (2, 5, "cath", "cath", "none"), (3, 8, "pen", "pen", None), (4, 11, "ben", "pen", "soft"), (5, 14, "ci", "ci", "none"), (6, 16, "ll", None, "none"), (7, 30, "zz", None, "none")]
+    rows = [(m, "v", f"{k}.0s - {k}.5s", "dy", w, lemma, found) for m, k, w, lemma, found in facts] + [(8, "v", None, "dy", "gath", "cath", "soft")]
+    df = spark.createDataFrame(rows, "mutation_id long, video_url string, timestamp_span string, trigger_word string, following_word string, lemma string, mutation_found string")
+    got = {r["mutation_id"]: (r["verdict"], r["caption_word"], r["flagged"]) for r in align.corroborate(df, words, evidence).collect()}
+    assert got == {
+        1: ("confirmed_match", "gath", False), 2: ("confirms_erosion", "gath", False), 3: ("confirms_erosion", "ben", False), 4: ("caption_disputes_mutation", "pen", True), 5: ("caption_word_not_lemma_candidate", "xx", False),
+        6: ("caption_omits_word", None, False), 7: ("no_alignment", None, False), 8: ("no_timestamp", None, False),
+    }
+    a = align.agreement(evidence, ["video_url"]).first()
+    assert (a["tokens"], a["agreeing"], a["replace"], a["delete"]) == (20, 15, 4, 1)
+
+
+def test_chat_lines_as_a_stream(spark):
+    from gwerin.operators import align
+
+    lines = spark.createDataFrame([(1, 1, "mae ci", None, None), (1, 2, "dda iawn", 2.0, 5.0), (1, 3, "ie", None, None), (2, 1, None, 1.0, 2.0)], "transcript_id long, line_no int, text string, utt_start double, utt_end double")
+    got = [(r["word"], r["t"]) for r in align.chat_stream(lines).orderBy("o").collect()]
+    assert sorted(got) == sorted([("mae", 0.0), ("ci", 0.0), ("dda", 2.0), ("iawn", 2.0), ("ie", 5.0)])
+
+
+def test_rerun_changes_the_chosen_facts_only(spark):
+    old = spark.createDataFrame([("u", "dy", "r", "x", False), ("u", "fy", "r", "x", False), ("v", "dy", "r", "x", True), ("v", "dy", "q", "x", False)], "video_url string, trigger_word string, rule string, status string, rev boolean")
+    fresh = spark.createDataFrame([("u", "dy", "r", "y"), ("u", "fy", "r", "y"), ("v", "dy", "r", "y"), ("w", "dy", "r", "y")], "video_url string, trigger_word string, rule string, status string")
+    keys = ["video_url", "trigger_word", "rule"]
+    classes, facts = review.rerun(old, fresh, keys, ["status"], "rev", triggers=["DY"], rules=["r"])
+    assert {tuple(r)[:3]: r["class"] for r in classes.collect()} == {("u", "dy", "r"): "changed", ("v", "dy", "r"): "protected", ("w", "dy", "r"): "added"}
+    assert sorted(tuple(r) for r in facts.collect()) == [("u", "dy", "r", "y"), ("u", "fy", "r", "x"), ("v", "dy", "q", "x"), ("v", "dy", "r", "x"), ("w", "dy", "r", "y")]
+    with pytest.raises(ValueError):
+        review.choose(old)
+
+
+def test_drop_overlaps_equals_one_fold(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in ("a", "b"):
+        t = 0.0
+        for i in range(400):
+            t += float(rng.choice([0.0, 0.1, 0.5, 1.5, 3.0, 400.0], p=[0.2, 0.2, 0.2, 0.2, 0.19, 0.01]))
+            rows.append((k, len(rows), round(t, 3), round(t + float(rng.choice([0.0, 0.2, 1.0, 2.0, 6.0, 90.0], p=[0.05, 0.2, 0.3, 0.3, 0.14, 0.01])), 3), float(rng.integers(4))))
+    df = spark.createDataFrame(rows, "k string, i long, s double, e double, c double")
+    want = []
+    for k in ("a", "b"):
+        mine = sorted(({"s": s, "i": i, "e": e, "c": c} for q, i, s, e, c in rows if q == k), key=lambda x: (x["s"], x["i"]))
+        want += segments._kept(mine, 0.8)
+    assert sorted(r["i"] for r in segments.drop_overlaps(df, "k", "s", "e", "i", "c").collect()) == sorted(want)
+
+
+def test_segments_are_judged_in_order(spark):
+    rows = [(1, "mae hi yn braf", 0.7, -0.1), (2, "mae hi yn braf", 0.6, -1.1), (3, " ", None, None), (4, "ie ie", None, None), (5, "ie ie ie na", 0.0, 0.0), (6, "mae hi yn braf", 0.6, -1.0), (7, None, 0.1, None)]
+    df = spark.createDataFrame(rows, "i int, t string, ns double, lp double")
+    got = {r["i"]: r["drop"] for r in tokens.judge_segments(df, ["i"], "t", "ns", "lp").collect()}
+    assert got == {1: "no_speech", 2: "improbable", 3: "no_words", 4: None, 5: "repeats", 6: None, 7: "no_words"}
+
+
+def test_sum_before_equals_window(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(2)), int(t), int(rng.integers(5))) for t in rng.permutation(500)]
+    df = spark.createDataFrame(rows, "k int, t long, v long").withColumn("b", F.floor(F.col("t") / 1))
+    got = {(r["k"], r["t"]): r["o"] for r in carry.sum_before(df, ["k"], "b", ["t"], "v", "o").collect()}
+    assert got == {(k, t): sum(v2 for k2, t2, v2 in rows if k2 == k and t2 < t) for k, t, _ in rows}
