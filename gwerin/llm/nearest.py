@@ -2,10 +2,11 @@
 
 Each distinct (entity, time) of the left side probes the right side's time buckets: its
 own and both neighbours, at first in fine buckets. A match no farther than one bucket
-width is provably the nearest and is accepted; the rest go on with doubled widths up to
-the tolerance. Of the neighbours only the facing edge of a bucket can win, so the right
-side is pre-aggregated to one row per distinct time, and each ring is an equi-join on
-(entity, bucket): a hot entity spreads over its buckets.
+width is provably the nearest: it is accepted and the row leaves. The rest go on with
+doubled widths up to the tolerance. A doubled bucket is asked as the fine ones it is made
+of, those already asked left out, so the right side is cut into fine buckets and brought
+into place once for all rings. It is pre-aggregated to one row per distinct time, and each
+ring is an equi-join on (entity, bucket): a hot entity spreads over its buckets.
 """
 
 from __future__ import annotations
@@ -41,23 +42,25 @@ def nearest_match(left: DataFrame, right: DataFrame, entity: str, left_time: str
     near = right.select(F.col(entity).alias("_e"), micro(right_time).alias("_rt"), F.col(right_id).alias("_rid")).where("_e is not null and _rt is not null and _rid is not null")
     near = near.groupBy("_e", "_rt").agg(F.min("_rid").alias("_rid"))
 
-    # settled: distance, time and id of the best so far
-    probe = todo.withColumn("_best", F.lit(None).cast("struct<d:bigint,_rt:bigint,_rid:bigint>"))
-    settled = 0
-    top = round(tolerance * MICRO)
-    for width in rings(tolerance, first_ring or tolerance / 4):
-        open_ = F.col("_best").isNull() | (F.col("_best.d") > settled)
-        own = F.floor(F.col("_t") / width)
-        # what is settled takes no part: it gets a spread bucket far from any time
-        parked = F.array(F.lit(-(1 << 62)) - F.pmod(F.xxhash64("_e", "_t"), F.lit(1 << 40)))
-        asked = probe.select("_e", "_t", "_best", F.explode(F.when(open_, F.array(own - 1, own, own + 1)).otherwise(parked)).alias("_b"))
+    widths = rings(tolerance, first_ring or tolerance / 4)
+    fine, top = widths[0], round(tolerance * MICRO)
+    near = near.withColumn("_b", F.floor(F.col("_rt") / fine))
+    rest = todo.withColumn("_best", F.lit(None).cast("struct<d:bigint,_rt:bigint,_rid:bigint>"))
+    settled, reached = [], -1
+    for width in widths:
+        reach = -(-width // fine)
+        new = [o for o in range(-reach, reach + 1) if abs(o) > reached]
+        reached = reach
+        own = F.floor(F.col("_t") / fine)
+        asked = rest.select("_e", "_t", "_best", F.explode(F.array(*[own + o for o in new])).alias("_b"))
         distance = F.abs(F.col("_rt") - F.col("_t"))
-        new = F.when(distance <= top, F.struct(distance.alias("d"), "_rt", "_rid"))
-        probe = (
-            asked.join(near.withColumn("_b", F.floor(F.col("_rt") / width)), ["_e", "_b"], "left")
-            .groupBy("_e", "_t")
-            .agg(F.min(F.least("_best", new)).alias("_best"))
-        )
-        settled = width
-    best = probe.where("_best is not null").select(F.col("_e").alias("_me"), F.col("_t").alias("_mt"), F.col("_best._rid").alias(right_id), (F.col("_best.d") / MICRO).alias("distance"))
+        found = F.when(distance <= top, F.struct(distance.alias("d"), "_rt", "_rid"))
+        probe = asked.join(near, ["_e", "_b"], "left").groupBy("_e", "_t").agg(F.min(F.least("_best", found)).alias("_best"))
+        sure = F.coalesce(F.col("_best.d") <= width, F.lit(False))
+        settled.append(probe.where(sure))
+        rest = probe.where(~sure)
+    probe = settled[0]
+    for some in settled[1:]:
+        probe = probe.unionByName(some)
+    best = probe.select(F.col("_e").alias("_me"), F.col("_t").alias("_mt"), F.col("_best._rid").alias(right_id), (F.col("_best.d") / MICRO).alias("distance"))
     return left.join(best, (left[entity] == best["_me"]) & (left["_t"] == best["_mt"]), "left").drop("_t", "_me", "_mt")
