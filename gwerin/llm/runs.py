@@ -2,9 +2,10 @@
 
 Method: a lag window compares each event with its predecessor, changes are flagged,
 flags are summed up to run identifiers and the runs are aggregated. To keep a hot
-entity from ending in one task, the windows run over (entity, time bucket); what a
-bucket needs from the buckets before it is carried by ``carry_blocks`` over one small
-row per bucket, itself in blocks of buckets.
+entity from ending in one task, the windows run over (entity, time bucket) and give each
+bucket's own runs; what a bucket needs from those before it, the last event and the number
+of runs, is carried over one small row per bucket, itself in blocks of buckets. Only
+a bucket's first and last run can go on in another bucket.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gwerin.llm.textform import text_key
-from gwerin.operators.carry import carry_blocks
+from gwerin.operators.carry import carry_blocks, carry_sums
+from gwerin.session import written
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -38,24 +40,31 @@ def aggregate_runs(rows: DataFrame, entity: str, bucket: str, order: list[str],
     me, load = F.struct(*order), F.struct(*payload)
     rows = rows.withColumn("_prev", F.lag(load).over(by)).withColumn("_head", F.row_number().over(by) == 1)
     goes_on = F.coalesce(continues(load, F.col("_prev")), F.lit(False))
-    key = F.struct(me.alias("at"), first.alias("first"))
-    rows = rows.withColumn("_change", F.when(~F.col("_head") & ~goes_on, key))
+    rows = rows.withColumn("_change", (~F.col("_head") & ~goes_on).cast("long"))
+    rows = rows.withColumn("_run", F.sum("_change").over(by.rowsBetween(Window.unboundedPreceding, 0)))
 
-    # one row per bucket: its first and last row and its last change
-    edge = rows.groupBy(entity, bucket).agg(F.min_by(F.struct(load.alias("load"), key.alias("key")), me).alias("_top"), F.max_by(load, me).alias("_tail"), F.max_by("_change", F.when(F.col("_change").isNotNull(), me)).alias("_last"))
-    edge = carry_blocks(edge, [entity], bucket, "_tail", "_before")
-    opens = ~F.coalesce(continues(F.col("_top.load"), F.col("_before")), F.lit(False))
-    edge = edge.withColumn("_opens", F.when(opens, F.col("_top.key"))).withColumn("_last", F.coalesce("_last", "_opens"))
-    edge = carry_blocks(edge, [entity], bucket, "_last", "_carried").select(entity, bucket, F.coalesce("_opens", "_carried").alias("_enter"))
-
-    run = F.last("_change", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    # runs within each bucket, numbered from 0; the first and the last may go on in its neighbours
     fold = {"min": F.min, "max": F.max}
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["text"]), " ")
-    some = lambda name, c, how: F.struct(F.min(me).alias("at"), joined(F.struct(me.alias("at"), c.alias("text"))).alias("text")) if how == "join" else fold[how](c)
-    parts = rows.withColumn("_run", run).groupBy(entity, bucket, "_run").agg(F.count(F.lit(1)).alias("run_rows"), *[some(name, c, how).alias(name) for name, (c, how) in measures.items()])
-    runs = parts.join(edge, [entity, bucket]).withColumn("_run", F.coalesce("_run", "_enter"))
-    runs = runs.groupBy(entity, "_run").agg(F.sum("run_rows").alias("run_rows"), *[(joined(name) if how == "join" else fold[how](name)).alias(name) for name, (_, how) in measures.items()])
-    return runs.select(entity, F.col("_run.first").alias("first"), "run_rows", *measures)
+    some = lambda c, how: F.struct(F.min(me).alias("at"), joined(F.struct(me.alias("at"), c.alias("text"))).alias("text")) if how == "join" else fold[how](c)
+    parts = rows.groupBy(entity, bucket, "_run").agg(
+        F.count(F.lit(1)).alias("run_rows"), F.min(me).alias("_at"), F.min_by(F.struct(first.alias("first")), me).alias("_first"), F.min_by(load, me).alias("_top"), F.max_by(load, me).alias("_tail"), *[some(c, how).alias(name) for name, (c, how) in measures.items()]
+    )
+    last = F.max("_run").over(Window.partitionBy(entity, bucket))
+    parts = parts.withColumn("_last", last).withColumn("_top", F.when(F.col("_run") == 0, F.col("_top"))).withColumn("_tail", F.when(F.col("_run") == F.col("_last"), F.col("_tail")))
+    parts = written(parts)  # one row a run, read three times below
+
+    # one row per bucket: does it open a run, and how many runs are open before it
+    ends = parts.where("_run = 0 or _run = _last")
+    edge = ends.groupBy(entity, bucket).agg(F.max("_top").alias("_top"), F.max("_tail").alias("_tail"), F.max("_last").alias("_last"))
+    edge = carry_blocks(edge, [entity], bucket, "_tail", "_before")
+    edge = edge.withColumn("_opens", (~F.coalesce(continues(F.col("_top"), F.col("_before")), F.lit(False))).cast("long")).withColumn("_runs", F.col("_last") + F.col("_opens"))
+    edge = carry_sums(edge, [entity], bucket, "_runs", "_sum").select(entity, bucket, (F.col("_sum") + F.col("_opens")).alias("_base"))
+    ends = ends.join(edge, [entity, bucket]).withColumn("_run", F.col("_base") + F.col("_run"))
+    ends = ends.groupBy(entity, "_run").agg(F.min_by("_first", "_at").alias("_first"), F.sum("run_rows").alias("run_rows"), *[(joined(name) if how == "join" else fold[how](name)).alias(name) for name, (_, how) in measures.items()])
+    inner = parts.where("_run > 0 and _run < _last").withColumns({name: F.col(f"{name}.text") for name, (_, how) in measures.items() if how == "join"})
+    cols = [entity, "_first", "run_rows", *measures]
+    return inner.select(*cols).unionByName(ends.select(*cols)).withColumn("first", F.col("_first.first")).select(entity, "first", "run_rows", *measures)
 
 
 def collapse_runs(df: DataFrame, entity: list[str], start: str, end: str, text: str, row_id: str, max_gap: float = 30.0, bucket_seconds: float = 300.0) -> DataFrame:
@@ -71,19 +80,19 @@ def collapse_runs(df: DataFrame, entity: list[str], start: str, end: str, text:
     e, out_of = "_entity", F.struct(*[F.col(c) for c in entity])
     rows = df.select(
         out_of.alias(e), F.col(start).cast("double").alias("_s"), F.col(end).cast("double").alias("_e"), F.col(row_id).alias("_id"),
-        text_key(F.col(text)).alias("_k"), F.xxhash64(text).alias("_h"), F.col(text).isNull().alias("_null"),
+        text_key(F.col(text)).alias("_k"), F.xxhash64(text).alias("_h"), F.xxhash64(text, F.lit(2)).alias("_h2"), F.col(text).isNull().alias("_null"),
     )
     whole = F.lit(True)
     for c in entity:
         whole &= F.col(f"{e}.{c}").isNotNull()
     placed = whole & F.col("_s").isNotNull()
-    alone = rows.where(~placed).groupBy(e, "_s", "_e", "_k", "_h", "_null").agg(F.min("_id").alias("_id"))
+    alone = rows.where(~placed).groupBy(e, "_s", "_e", "_k", "_h", "_h2", "_null").agg(F.min("_id").alias("_id"))
     rows = rows.where(placed).withColumn("_b", F.floor(F.col("_s") / bucket_seconds))
 
     by = Window.partitionBy(e, "_b")
-    same = by.orderBy("_s", "_e", "_null", "_h", "_id")
-    before = F.lag(F.struct("_s", "_e", "_null", "_h")).over(same)
-    rows = rows.withColumn("_copy", before.eqNullSafe(F.struct("_s", "_e", "_null", "_h"))).where(~F.col("_copy")).drop("_copy")
+    same = by.orderBy("_s", "_e", "_null", "_h", "_h2", "_id")
+    before = F.lag(F.struct("_s", "_e", "_null", "_k", "_h", "_h2")).over(same)
+    rows = rows.withColumn("_copy", before.eqNullSafe(F.struct("_s", "_e", "_null", "_k", "_h", "_h2"))).where(~F.col("_copy")).drop("_copy")
 
     goes_on = lambda row, before: _same(row["_k"], before["_k"]) & (F.round(row["_s"] - before["_e"], 6) <= max_gap)
     runs = aggregate_runs(rows, e, "_b", ["_s", "_id"], ["_k", "_s", "_e"], goes_on, F.col("_id"), {"run_start": (F.col("_s"), "min"), "run_end": (F.col("_e"), "max")})
