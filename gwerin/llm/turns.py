@@ -19,7 +19,7 @@ from gwerin.llm.runs import aggregate_runs
 from gwerin.llm.textform import consistent_form
 from gwerin.operators.assignment import assign
 from gwerin.operators.carry import carry_blocks
-from gwerin.session import checkpoint
+from gwerin.session import written
 
 # What is not speech in angle brackets, and marks for what can't be understood.
 SOUNDS = ["music", "laughter", "laughs", "laugh", "laughing", "applause", "noise", "silence", "pause", "singing", "song", "cough", "coughs", "coughing", "sigh", "sighs", "breath", "inaudible", "unintelligible", "crosstalk", "beep", "cerddoriaeth", "chwerthin", "sŵn", "tawelwch", "canu", "cymeradwyaeth", "peswch", "saib"]
@@ -116,8 +116,8 @@ def roster(participants: DataFrame, transcript: str, code: str, name: str, role:
 
 def resolve_labels(labels: DataFrame, participants: DataFrame, transcript: str, code: str, name: str, role: str) -> DataFrame:
     """(t, key) -> (t, key, code) for all distinct labels that name a participant."""
-    own = roster(participants, transcript, code, name, role)
-    exact = labels.join(own, ["t", "key"], "left")
+    own = written(roster(participants, transcript, code, name, role))
+    exact = written(labels.join(own, ["t", "key"], "left"))
     rest = exact.where("code is null").select("t", "key")
     everywhere = own.groupBy("key").agg(F.min("code").alias("code"), F.max("code").alias("other")).where("code = other").select("key", "code")
     listed = participants.select(F.col(transcript).alias("t"), F.col(code).alias("code")).distinct()
@@ -147,9 +147,9 @@ def speaker_turns(lines: DataFrame, participants: DataFrame) -> DataFrame:
         .withColumn("at", F.coalesce(F.col("utt_start").cast("double"), mark_time(F.col("text")))).withColumn("body", drop_marks(F.col("text")))
     )
     head = F.coalesce(F.nullif(F.regexp_extract("body", HEAD, 1), F.lit("")), F.regexp_extract("body", HEAD, 2))
-    rows = rows.withColumn("head", label_key(head))
+    rows = written(rows.withColumn("head", label_key(head)).select("t", "n", "utterance_id", "utt_end", "label", "head", "at", "body"))  # put into form once, read three times
     asked = rows.select("t", F.explode(F.array("label", "head")).alias("key")).where("key <> ''").distinct()
-    codes = resolve_labels(asked, participants, "transcript_id", "speaker_code", "speaker_name", "speaker_role")
+    codes = written(resolve_labels(asked, participants, "transcript_id", "speaker_code", "speaker_name", "speaker_role"))
     rows = rows.join(codes.select("t", F.col("key").alias("label"), F.col("code").alias("by_label")), ["t", "label"], "left")
     rows = rows.join(codes.select("t", F.col("key").alias("head"), F.col("code").alias("by_head")), ["t", "head"], "left")
     body = F.when(F.col("by_head").isNotNull(), F.regexp_replace("body", HEAD, "")).otherwise(F.col("body"))
@@ -158,7 +158,7 @@ def speaker_turns(lines: DataFrame, participants: DataFrame) -> DataFrame:
     own = F.when(F.col("by_label").isNotNull() | F.col("by_head").isNotNull() | (F.col("label") != ""), F.struct(F.coalesce("by_label", "by_head").alias("c")))
     rows = rows.select("t", "n", "utterance_id", "at", F.col("utt_end").cast("double").alias("till"), "clean", "kept", own.alias("own"), F.when(F.col("kept") & F.col("at").isNotNull(), F.struct(F.col("at").alias("a"), F.col("n").alias("n"))).alias("anchor"))
 
-    rows = checkpoint(rows)  # compact, and read several times below
+    rows = written(rows)  # compact, and read several times below
 
     # carry speaker and time down the lines
     rows = rows.withColumn("b", F.floor(F.col("n") / LINES))
@@ -169,7 +169,7 @@ def speaker_turns(lines: DataFrame, participants: DataFrame) -> DataFrame:
     rows = here.join(ends, ["t", "b"]).where("kept").select(
         "t", "n", "utterance_id", "at", "till", "clean", F.coalesce("_own", "own_before")["c"].alias("code"), F.coalesce("_anchor", "anchor_before", F.struct(F.lit(float("-inf")).alias("a"), F.lit(-1).cast("bigint").alias("n"))).alias("anchor")
     )
-    rows = checkpoint(rows.select("*", F.col("anchor.a").alias("a"), F.col("anchor.n").alias("an")).withColumn("w", F.greatest(F.lit(-1.0), F.floor(F.col("a") / SECONDS))))
+    rows = rows.select("*", F.col("anchor.a").alias("a"), F.col("anchor.n").alias("an")).withColumn("w", F.greatest(F.lit(-1.0), F.floor(F.col("a") / SECONDS)))
     runs = aggregate_runs(
         rows, "t", "w", ["a", "an", "n"], ["code"], lambda row, before: before.isNotNull() & row["code"].eqNullSafe(before["code"]), F.struct("utterance_id", "code"),
         {"turn_start": (F.col("at"), "min"), "turn_end": (F.coalesce("till", "at"), "max"), "text": (F.col("clean"), "join")},
