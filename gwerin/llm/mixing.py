@@ -12,7 +12,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-VALUES = 200  # most frequent values of a margin that are raked on their own; the others are one class
+from gwerin.session import sent, written
+
+CELLS = 500_000  # cells up to which they are raked on the driver; more are raked as a table, with the same weights
 SOURCES = 20_000  # sources with targets; the table of targets is small by nature, and checked
 STEPS = 1 << 16  # steps of the sampling order
 
@@ -55,40 +57,72 @@ def _fill(tokens: np.ndarray, source: np.ndarray, goal: np.ndarray, cap: np.ndar
     return w
 
 
-def plan_mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> tuple[list[tuple], float]:
-    """Cells with weights [(source, lang, topic, weight)], and the total of tokens.
+def rake_table(cells: DataFrame, total: float, rounds: int = 50) -> DataFrame:
+    """As ``rake``, over a table of cells: (source, lang, topic, tokens, goal, cap) in, the same with the weight ``w`` out."""
+    all_tokens = cells.agg(F.sum("tokens")).first()[0]
+    cells = written(cells.withColumn("w", F.lit(1.0)))
+    margins = {m: written(cells.groupBy(m).agg((F.sum("tokens") / all_tokens * total).alias("due"))) for m in ("lang", "topic")}
+    moved = lambda df, old: df.agg(F.max(F.abs(F.col("w") - F.col(old)))).first()[0] or 0.0
+    for _ in range(rounds):
+        now = cells.withColumn("before", F.col("w"))
+        for m, goal in margins.items():
+            have = now.groupBy(m).agg(F.sum(F.col("w") * F.col("tokens")).alias("have")).join(goal, m)
+            now = written(now.join(have, m).withColumn("w", F.least("cap", F.col("w") * F.sqrt(F.col("due") / F.greatest("have", F.lit(1e-12))))).drop("due", "have"))
+        now = now.withColumn("w", F.least("cap", F.greatest("w", F.lit(1e-9))))
+        for _ in range(200):
+            free = F.col("w") < F.col("cap") * (1 - 1e-12)
+            sums = now.groupBy("source").agg(F.sum(F.col("w") * F.col("tokens")).alias("have"), F.sum(F.when(free, F.col("w") * F.col("tokens")).otherwise(0.0)).alias("loose"))
+            factor = F.when(F.col("loose") > 0, F.greatest(F.lit(0.0), (F.col("goal") - F.col("have") + F.col("loose")) / F.greatest("loose", F.lit(1e-12)))).otherwise(1.0)
+            new = F.when(free, F.least("cap", F.col("w") * factor)).otherwise(F.col("w"))
+            new = F.when((F.col("goal") < F.col("have") * (1 - 1e-12)) & (F.col("loose") == 0), F.col("w") * F.col("goal") / F.greatest("have", F.lit(1e-12))).otherwise(new)
+            now = written(now.join(F.broadcast(sums), "source").withColumn("old", F.col("w")).withColumn("w", new).drop("have", "loose"))  # one row a source with target
+            if moved(now, "old") < 1e-12:
+                break
+        cells = now.drop("old")
+        if moved(cells, "before") < 1e-9:
+            break
+        cells = cells.drop("before")
+    return cells.select("source", "lang", "topic", "w")
+
+
+def plan_mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> tuple[DataFrame, float]:
+    """Cells with weights (source, lang, topic, w), and the total of tokens.
 
     ``sizes`` has source, lang, topic and tokens of each document. Targets of sources without
     tokens can't be met; the others' shares are scaled to sum to 1. The default total is
-    the largest that all sources reach within their repeats.
+    the largest that all sources reach within their repeats. Every value of a margin is
+    raked on its own.
     """
+    spark, schema = sizes.sparkSession, "source string, lang string, topic string, w double"
     wanted = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.where("source is not null and target_share > 0 and max_repeats > 0").limit(SOURCES + 1).collect()}
     if len(wanted) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources have targets")
-    cells = sizes.where(F.col("tokens") > 0).groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).join(F.broadcast(targets.where("target_share > 0 and max_repeats > 0").select("source").distinct()), "source", "left_semi").collect()
-    if not cells:
-        return [], 0.0
-    source = sorted({r["source"] for r in cells})
-    codes = [np.array([source.index(r["source"]) for r in cells])]
-    for margin in ("lang", "topic"):
-        values = sorted({r[margin] for r in cells})
-        codes.append(np.array([values.index(r[margin]) for r in cells]))
-    tokens = np.array([float(r["tokens"]) for r in cells])
-    share = np.array([wanted[s][0] for s in source])
-    share = share / share.sum()
-    caps = np.array([wanted[s][1] for s in source])
-    reach = caps * np.bincount(codes[0], weights=tokens)
-    total = float(np.min(reach / share))
+    listed = spark.createDataFrame([(s, x, n) for s, (x, n) in wanted.items()], "source string, share double, cap int")
+    cells = written(sizes.where(F.col("tokens") > 0).groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).join(F.broadcast(listed), "source"))
+    have = {r["source"]: float(r["n"]) for r in cells.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}  # at most SOURCES
+    if not have:
+        return spark.createDataFrame([], schema), 0.0
+    whole = sum(wanted[s][0] for s in sorted(have))
+    share = {s: wanted[s][0] / whole for s in have}
+    total = min(wanted[s][1] * n / share[s] for s, n in have.items())
     if total_tokens is not None:
         total = min(total, float(total_tokens))
-    w = rake(tokens, codes, share, caps, total)
-    return [(r["source"], r["lang"], r["topic"], float(x)) for r, x in zip(cells, w)], total
+    some = cells.limit(CELLS + 1).collect()
+    if len(some) > CELLS:
+        goals = spark.createDataFrame([(s, x * total) for s, x in share.items()], "source string, goal double")
+        return rake_table(cells.join(F.broadcast(goals), "source").select("source", "lang", "topic", F.col("tokens").cast("double").alias("tokens"), "goal", F.col("cap").cast("double").alias("cap")), total), total
+    some.sort(key=lambda r: (r["source"], r["lang"], r["topic"]))
+    codes, values = [], {}
+    for margin in ("source", "lang", "topic"):
+        values[margin] = {v: i for i, v in enumerate(sorted({r[margin] for r in some}))}
+        codes.append(np.array([values[margin][r[margin]] for r in some]))
+    tokens = np.array([float(r["tokens"]) for r in some])
+    w = rake(tokens, codes, np.array([share[s] for s in values["source"]]), np.array([wanted[s][1] for s in values["source"]]), total)
+    return spark.createDataFrame([(r["source"], r["lang"], r["topic"], float(x)) for r, x in zip(some, w)], schema), total
 
 
-def _margin(df: DataFrame, name: str) -> DataFrame:
-    """The margin's values, all beyond the ``VALUES`` with most tokens being one class."""
-    top = df.groupBy(name).agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), name).limit(VALUES).select(F.col(name).alias("_v"))
-    return df.join(F.broadcast(top), df[name] == top["_v"], "left").withColumn(name, F.coalesce("_v", F.lit("other"))).drop("_v")
+def _labelled(sizes: DataFrame, key: str) -> DataFrame:
+    return sizes.select(key, "source", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("topic", F.lit("none")).alias("topic"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
 
 
 def mix(sizes: DataFrame, targets: DataFrame, key: str, total_tokens: int | None = None, seed: int = 0) -> DataFrame:
@@ -97,11 +131,9 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str, total_tokens: int | None
     ``sizes`` has key, source, lang, topic and tokens. Documents without tokens, with a null
     source or one without target are used 0 times. No document passes max_repeats.
     """
-    sizes = sizes.select(key, "source", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("topic", F.lit("none")).alias("topic"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
-    sizes = _margin(_margin(sizes, "lang"), "topic")
+    sizes = _labelled(sizes, key)
     cells, total = plan_mix(sizes, targets, total_tokens)
-    spark = sizes.sparkSession
-    weights = F.broadcast(spark.createDataFrame(cells, "source string, lang string, topic string, w double"))  # at most sources x VALUES x VALUES cells with tokens
+    weights = sent(cells, CELLS)
     rows = sizes.join(weights, ["source", "lang", "topic"], "left")
     base = F.when(F.col("tokens") > 0, F.floor(F.coalesce("w", F.lit(0.0)) + 1e-9)).otherwise(0)
     part = F.greatest(F.lit(0.0), F.coalesce("w", F.lit(0.0)) - base)
@@ -142,3 +174,14 @@ def actual_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
         F.coalesce("source", "s").alias("source"), "target_share", F.when(F.sum("tokens").over(whole) > 0, F.coalesce("tokens", F.lit(0)) / F.sum("tokens").over(whole)).otherwise(0.0).alias("actual_share"),
         zero("tokens"), zero("documents"), zero("copies"), zero("most_repeats"), "max_repeats",
     )
+
+
+def margin_shares(mixed: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """(margin, value, corpus_share, actual_share) of each language and topic: shares of tokens of all documents, and of the mix."""
+    copies = mixed.select(F.col(key).alias("_k"), "copies").groupBy("_k").agg(F.max("copies").alias("copies"))
+    both = _labelled(sizes, key).join(copies, F.col(key) == F.col("_k"), "left")
+    long = both.select(F.explode(F.array(*[F.struct(F.lit(m).alias("margin"), F.col(m).alias("value")) for m in ("lang", "topic")])).alias("m"), "tokens", (F.col("tokens") * F.coalesce("copies", F.lit(0))).alias("used"))
+    out = long.groupBy("m.margin", "m.value").agg(F.sum("tokens").alias("tokens"), F.sum("used").alias("used"))
+    sums = out.groupBy("margin").agg(F.sum("tokens").alias("t"), F.sum("used").alias("u"))
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+    return out.join(F.broadcast(sums), "margin").select("margin", "value", share("tokens", "t").alias("corpus_share"), share("used", "u").alias("actual_share"))  # two rows

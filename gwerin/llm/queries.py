@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gwerin.llm import bpe, langid, mixing, nearest, runs, sentences, textform, turns
-from gwerin.session import checkpoint, table
+from gwerin.session import table, written
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _document_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     sizes = documents.select("doc_id", "source", F.coalesce(langid.base_code(F.col("lang")), F.lit("und")).alias("lang"), F.col("doc_kind").alias("topic"), bpe.token_count(F.col("text")).alias("tokens"))
-    return checkpoint(sizes)  # five small columns, read several times
+    return written(sizes)  # five small columns, read several times
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +87,11 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.actual_shares(mixing.mix(_document_sizes(spark, sf_dir), targets, "doc_id"), targets)
 
 
+def p9_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = _document_sizes(spark, sf_dir)
+    return mixing.margin_shares(mixing.mix(sizes, table(spark, sf_dir, "mix_targets"), "doc_id"), sizes, "doc_id")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentences.split_sentences(documents, "doc_id", "text").select("doc_id", "sent_start", "sent_end")

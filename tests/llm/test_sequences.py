@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import pytest
 
 runs = pytest.importorskip("gwerin.llm.runs")
@@ -151,3 +153,31 @@ def test_smaller_totals_and_nothing(spark):
     assert sorted(r[1] for r in used) == [300, 300]
     assert mixing.mix(sizes(spark, []), targets, "id").count() == 0
     assert sum(r["copies"] for r in mixing.mix(sizes(spark, [(1, "q", "cy", "x", 5, 0)]), targets, "id").collect()) == 0
+
+
+def test_every_value_of_a_margin_is_raked_on_its_own(spark):
+    """300 languages, one of them named other: their shares of the mix follow the corpus."""
+    rows = [(i, "ab"[i % 2], "other" if i % 300 == 7 else f"l{i % 300}", "x", 10 + i % 300, 0) for i in range(6000)]
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    df = sizes(spark, rows)
+    assert mixing.plan_mix(df, targets)[0].count() == 300
+    out = mixing.margin_shares(mixing.mix(df, targets, "id"), df, "id").where("margin = 'lang'").collect()
+    assert len(out) == 300 and all(abs(r["corpus_share"] - r["actual_share"]) < 0.002 for r in out)
+
+
+def test_cells_are_raked_alike_on_the_driver_and_as_a_table(spark):
+    rng = np.random.default_rng(3)
+    cells = [(s, lang, t, float(rng.integers(10, 500)), g, c) for s, g, c in (("a", 900.0, 1.0), ("b", 1500.0, 3.0)) for lang in ("cy", "en", "fr") for t in ("x", "y") if rng.random() < 0.9]
+    codes = [np.array([sorted({r[k] for r in cells}).index(r[k]) for r in cells]) for k in range(3)]
+    want = mixing.rake(np.array([r[3] for r in cells]), codes, np.array([900.0, 1500.0]) / 2400, np.array([1, 3]), 2400.0, rounds=2)
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens double, goal double, cap double")
+    got = {(r["source"], r["lang"], r["topic"]): r["w"] for r in mixing.rake_table(df, 2400.0, rounds=2).collect()}
+    assert len(got) == len(cells) and all(abs(got[r[:3]] - x) < 1e-9 for r, x in zip(cells, want))
+
+
+def test_more_cells_than_the_driver_takes(spark, monkeypatch):
+    rows = [(i, "ab"[i % 2], "cy" if i % 3 else "en", "x", 10, 0) for i in range(60)]
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    want = sorted((r["id"], r["copies"]) for r in mixing.mix(sizes(spark, rows), targets, "id").collect())
+    monkeypatch.setattr(mixing, "CELLS", 2)
+    assert sorted((r["id"], r["copies"]) for r in mixing.mix(sizes(spark, rows), targets, "id").collect()) == want
