@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gwerin.llm.textform import consistent_form, normalize_array
@@ -150,9 +150,14 @@ def _fit(idx: np.ndarray, row: np.ndarray, y: np.ndarray, scale: np.ndarray, rou
     for i in range(len(y)):
         features, count = np.unique(idx[order[edges[i] : edges[i + 1]]], return_counts=True)
         rows.append((features, count * scale[i]))
+    return _descend(rows, y, 1 << BITS, rounds, cost).astype(np.float32)
+
+
+def _descend(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, rounds: int = 12, cost: float = 1.0) -> np.ndarray:
+    """Weights of the machine for sparse rows (features, values) and sides of 1 and -1, both sides counting alike; the same for the same rows."""
     norm = [max(1e-9, float(v @ v)) for _, v in rows]
     share = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * cost
-    w = np.zeros(1 << BITS)
+    w = np.zeros(size)
     alpha = np.zeros(len(y))
     rng = np.random.default_rng(7)
     for _ in range(rounds):
@@ -163,7 +168,7 @@ def _fit(idx: np.ndarray, row: np.ndarray, y: np.ndarray, scale: np.ndarray, rou
             if new != alpha[i]:
                 w[f] += (new - alpha[i]) * y[i] * v
                 alpha[i] = new
-    return w.astype(np.float32)
+    return w
 
 
 @dataclass
@@ -269,7 +274,7 @@ def fit(lines: list[tuple[str, str]]) -> Model:
 
 
 def sample_lines(df: DataFrame, text: str, label: str, key: str, per_language: int = LINES_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """A bounded sample of labelled lines, chosen by hash; (language, line in consistent form).
+    """A bounded sample of labelled lines, chosen by hash; (language, line in consistent form), in an order that depends on the rows only.
 
     At most ``per_language`` lines of each language in expectation and four times that in any case, ``LINE_CHARS`` of each.
     """
@@ -279,15 +284,17 @@ def sample_lines(df: DataFrame, text: str, label: str, key: str, per_language: i
         return []
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
     chance = F.pmod(F.xxhash64("k", "pos"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = lines.where(chance < share[F.col("lang")]).select("lang", consistent_form(F.substring("line", 1, LINE_CHARS)).alias("line")).limit(4 * per_language * len(LANGUAGES))
-    return [(r["lang"], r["line"]) for r in chosen.collect()]
+    order = [F.col("chance"), F.col("k"), F.col("pos"), F.col("line")]
+    chosen = lines.withColumn("chance", chance).where(F.col("chance") < share[F.col("lang")]).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("n") <= 4 * per_language)
+    rows = chosen.select("lang", "n", consistent_form(F.substring("line", 1, LINE_CHARS)).alias("line")).collect()  # at most 4 * per_language a language
+    return [(r["lang"], r["line"]) for r in sorted(rows, key=lambda r: (r["lang"], r["n"]))]
 
 
 def listed_words(known: DataFrame, per_language: int = LISTED_WORDS) -> list[tuple[str, str]]:
-    """Listed words of one language only, at most ``per_language`` times the languages of them, as lines to fit on."""
+    """Listed words of one language only, at most ``per_language`` times the languages of them, as lines to fit on, in order."""
     own = known.where("word is not null").groupBy(F.lower("word").alias("w")).agg(F.min("lang").alias("lang"), F.count_distinct("lang").alias("n")).where("n = 1")
-    chosen = own.select(base_code(F.col("lang")).alias("lang"), consistent_form(F.col("w")).alias("w")).orderBy(F.xxhash64("w")).limit(per_language * len(LANGUAGES))
-    return [(r["lang"], r["w"]) for r in chosen.collect() if r["lang"]]
+    chosen = own.select(base_code(F.col("lang")).alias("lang"), consistent_form(F.col("w")).alias("w")).orderBy(F.xxhash64("w"), "w").limit(per_language * len(LANGUAGES))
+    return sorted((r["lang"], r["w"]) for r in chosen.collect() if r["lang"])
 
 
 @functools.lru_cache(maxsize=2)
@@ -355,37 +362,86 @@ def label_segments(segments: DataFrame, words: DataFrame, model: Model, key: str
     return out.select(key, "label", F.col("p.lang").alias("lang"), F.col("p.confidence").alias("confidence"), "words")
 
 
-def label_words(df: DataFrame, model: Model, known: DataFrame, word: str, switched: str, home: str = "cy", other: str = "en") -> DataFrame:
+def _word_features(model: Model, names: tuple[str, str], other: str, words: list[str], yes: np.ndarray, no: np.ndarray, in_home: np.ndarray, in_other: np.ndarray) -> np.ndarray:
+    """Rows of a word's features, each towards ``other`` if positive: what the family machine says of its letters, its marks in all rows, the two lists, and one."""
+    score = model.scores(words)[0].get(names) if words else None
+    letters = np.zeros(len(words)) if score is None else np.clip(score if names[0] == FAMILY_OF[other] else -score, -2, 2)
+    marks = np.clip(np.log((yes + 0.5) / (no + 0.5)), -3, 3)
+    return np.stack([letters, marks, -3.0 * in_home, 3.0 * in_other, np.ones(len(words))], axis=1)
+
+
+def fit_words(features: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Weights of the machine between two languages of single words, fitted on listed words (side 1: the other language).
+
+    Each word counts with and without its lists, so that letters and marks are weighed for
+    words that no list has. Words that the first fit, without lists, puts elsewhere are
+    left out of the second, as a list may lack a word's other language.
+    """
+    plain = features.copy()
+    plain[:, 2:4] = 0
+    every = np.arange(features.shape[1])
+    rows = lambda x: [(every, v) for v in x]
+    if not (side > 0).any() or not (side < 0).any():
+        return np.array([1.0, 0.5, 1.0, 1.0, 0.0])  # nothing to fit on: letters, marks and lists as they stand
+    w = _descend(rows(plain), side, len(every), rounds=60)
+    good = np.sign(plain @ w) == side
+    if not (side[good] > 0).any() or not (side[good] < 0).any():
+        return w
+    both = np.concatenate([plain[good], features[good]])
+    return _descend(rows(both), np.concatenate([side[good], side[good]]), len(every), rounds=60)
+
+
+def label_words(df: DataFrame, model: Model, known: DataFrame, word: str, switched: str | None = None, home: str = "cy", other: str = "en") -> DataFrame:
     """One row per distinct word: (w, lang, confidence): ``home`` or ``other``.
 
-    Evidence is added up as log odds: the machine between the two families, the list of
-    known words (a word that ``home`` has is ``home``), and the word's own marks in all
-    rows, with error rates of the marks estimated from the known words.
+    A one-versus-one machine decides, on what the machine between the two families says of
+    the word's letters, on its own marks in all rows (if ``switched`` names them) and on the
+    list of known words; it is fitted on at most ``LISTED_WORDS`` listed words of each
+    language. A word that the list has in ``home`` is ``home`` in any case, as words of both
+    languages count as that.
     """
     w = F.lower(consistent_form(F.col(word)))
-    marks = df.where(F.col(word).isNotNull()).select(w.alias("w"), F.col(switched).cast("int").alias("m")).groupBy("w").agg(F.sum("m").alias("yes"), F.sum(1 - F.col("m")).alias("no"))
-    listed = known.where(F.col("lang").isin(home, other)).select(F.lower("word").alias("w"), (F.col("lang") == home).alias("h")).groupBy("w").agg(F.max("h").alias("in_home"), F.max(~F.col("h")).alias("in_other"))
-    marks = marks.join(listed, "w", "left").select("w", F.coalesce("yes", F.lit(0)).alias("yes"), F.coalesce("no", F.lit(0)).alias("no"), F.coalesce("in_home", F.lit(False)).alias("in_home"), F.coalesce("in_other", F.lit(False)).alias("in_other"))
-    sure_other = F.col("in_other") & ~F.col("in_home")
-    r = marks.agg(
-        F.sum(F.when(sure_other, F.col("yes"))).alias("oy"), F.sum(F.when(sure_other, F.col("no"))).alias("on"),
-        F.sum(F.when(F.col("in_home"), F.col("yes"))).alias("hy"), F.sum(F.when(F.col("in_home"), F.col("no"))).alias("hn"),
-    ).first()
-    oy, on, hy, hn = ((x or 0) + c for x, c in zip(r, (3.0, 2.0, 0.1, 4.9)))
-    p, q = oy / (oy + on), hy / (hy + hn)
-    prior = np.log((oy + on) / (oy + on + hy + hn)) - np.log((hy + hn) / (oy + on + hy + hn))
-    blob = pickle.dumps(model)
+    mark = F.col(switched).cast("int") if switched else F.lit(None).cast("int")
+    marks = df.where(F.col(word).isNotNull()).select(w.alias("w"), mark.alias("m")).groupBy("w").agg(F.sum("m").alias("yes"), F.sum(1 - F.col("m")).alias("no"))
+    listed = known.where(F.col("lang").isin(home, other)).select(F.lower("word").alias("w"), (F.col("lang") == home).alias("h")).where("w is not null").groupBy("w").agg(F.max("h").alias("in_home"), F.max(~F.col("h")).alias("in_other"))
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("double").alias(c)
+    marks = marks.join(listed, "w", "left").select("w", none("yes"), none("no"), flag("in_home"), flag("in_other"))
     a, b = FAMILY_OF[home], FAMILY_OF[other]
     names = (a, b) if (a, b) in model.machines else (b, a)
+    one = F.col("in_home") != F.col("in_other")
+    by = Window.partitionBy("in_home").orderBy(F.xxhash64("w"), "w")
+    taught = sorted(marks.where(one).withColumn("n", F.row_number().over(by)).where(F.col("n") <= LISTED_WORDS).collect(), key=lambda r: r["w"])  # at most LISTED_WORDS a language
+    column = lambda c: np.array([float(r[c]) for r in taught])
+    x = _word_features(model, names, other, [r["w"] for r in taught], column("yes"), column("no"), column("in_home"), column("in_other"))
+    weights = fit_words(x, np.where(column("in_other") > 0, 1, -1))
+    blob = pickle.dumps(model)
 
     @F.arrow_udf("double")
-    def lean(texts: pa.Array) -> pa.Array:
-        words = [t or "" for t in texts.to_pylist()]
-        score = _load(blob).scores(words)[0].get(names) if words else None
-        if score is None:
-            return pa.array(np.zeros(len(words)), pa.float64())
-        return pa.array(np.clip(score if names[0] == b else -score, -3, 3) * 1.5, pa.float64())
-
-    odds = F.lit(float(prior)) + F.col("yes") * float(np.log(p / q)) + F.col("no") * float(np.log((1 - p) / (1 - q))) + lean(F.col("w")) + F.when(sure_other, 4.0).otherwise(0.0)
-    scored = marks.withColumn("odds", F.when(F.col("in_home"), -20.0).otherwise(odds))
-    return scored.select("w", F.when(F.col("odds") > 0, other).otherwise(home).alias("lang"), (1 / (1 + F.exp(-F.abs("odds")))).alias("confidence"))
+    def margin(texts: pa.Array, yes: pa.Array, no: pa.Array, in_home: pa.Array, in_other: pa.Array) -> pa.Array:
+        n = lambda c: c.cast(pa.float64()).to_numpy(zero_copy_only=False)
+        return pa.array(_word_features(_load(blob), names, other, [t or "" for t in texts.to_pylist()], n(yes), n(no), n(in_home.cast(pa.int8())), n(in_other.cast(pa.int8()))) @ weights, pa.float64())
+
+    scored = marks.withColumn("_m", margin.asNondeterministic()("w", "yes", "no", "in_home", "in_other"))
+    lang = F.when(F.col("in_home") | (F.col("_m") <= 0), home).otherwise(other)
+    sure = F.when(F.col("in_home") & (F.col("_m") > 0), 0.5).otherwise(1 / (1 + F.exp(-2 * F.abs("_m"))))
+    return scored.select("w", lang.alias("lang"), sure.alias("confidence"))
+
+
+def label_spoken(words: DataFrame, segments: DataFrame, known: DataFrame, model: Model, word_model: Model, home: str = "cy", other: str = "en") -> DataFrame:
+    """(word_id, lang, confidence) of every row of ``words`` (word_id, video_url, segment_start, word, language).
+
+    A word has the language of the segment it is spoken in; in speech of ``home`` a word of
+    ``other`` has that. Where no segment says more, the word is judged by itself. The
+    segments are labelled once each, the words once each distinct one, their delivered
+    labels being the marks. A null word has no language (null, confidence 0).
+    """
+    mark = F.when(base_code(F.col("language")).isin(home, other), base_code(F.col("language")) == other)
+    own = label_words(words.select("word", mark.alias("m")), word_model, known, "word", "m", home, other).select("w", F.struct("lang", "confidence").alias("own"))
+    first = segments.where("video_url is not null and segment_start is not null").groupBy("video_url", "segment_start").agg(F.min_by("segment_text", "segment_id").alias("t"))
+    said = first.select("video_url", "segment_start", identify(F.col("t"), model).alias("seg"))
+    rows = words.select("word_id", "video_url", "segment_start", F.lower(consistent_form(F.col("word"))).alias("w"))
+    rows = rows.join(said, ["video_url", "segment_start"], "left").join(own, "w", "left")
+    seg, word = F.col("seg"), F.col("own")
+    best = F.when(rows["w"].isNull(), F.struct(F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"))).when(seg["lang"].isNull() | (seg["lang"] == home), F.when(seg["lang"].isNull() | (word["lang"] == other), word).otherwise(seg)).otherwise(seg)
+    return rows.select("word_id", best.alias("p")).select("word_id", "p.lang", "p.confidence")

@@ -40,14 +40,21 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("word_id is not null").select("caption_id", "word_id")
 
 
-def _language_model(spark: SparkSession, sf_dir: str) -> langid.Model:
-    """Machines fitted on a bounded sample of labelled document lines and the word list."""
+def _language_models(spark: SparkSession, sf_dir: str) -> tuple[langid.Model, langid.Model]:
+    """Machines fitted on a bounded sample of labelled document lines and the word list; and those for single words, which must not have seen the list that they are weighed by."""
     sample = langid.sample_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "text", "lang", "doc_id")
-    return langid.fit(sample + langid.listed_words(table(spark, sf_dir, "known_words")))
+    return langid.fit(sample + langid.listed_words(table(spark, sf_dir, "known_words"))), langid.fit([x for x in sample if x[0] in ("cy", "en")])
+
+
+def _context_words(spark: SparkSession, sf_dir: str, model: langid.Model) -> tuple[DataFrame, DataFrame]:
+    """Delivered facts with a following word, and the language of each of these words."""
+    key = ["video_url", "timestamp_span", "trigger_word", "following_word"]
+    facts = table(spark, sf_dir, "mutations").select("mutation_id", *key, "is_code_switch").where("following_word is not null").groupBy(*key).agg(F.min_by(F.struct("mutation_id", "is_code_switch"), "mutation_id").alias("f")).select("following_word", "f.*")
+    return facts, langid.label_words(facts, model, table(spark, sf_dir, "known_words"), "following_word", "is_code_switch")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = _language_model(spark, sf_dir)
+    model, word_model = _language_models(spark, sf_dir)
     unit = lambda name, key, part="0", lang="lang": [F.lit(name).alias("unit"), F.col(key).cast("long").alias("unit_id"), F.expr(part).cast("long").alias("part_no"), F.col(lang).alias("lang")]
 
     docs = langid.label_documents(table(spark, sf_dir, "documents"), model, "doc_id", "text", "lang").where("lang is not null")
@@ -60,14 +67,32 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = langid.label_segments(table(spark, sf_dir, "segments"), table(spark, sf_dir, "words"), model, "segment_id", "video_url", "segment_start", "segment_text", "language")
     segments = segments.where("lang is not null and not (label <=> lang)").select(*unit("segment", "segment_id"))
 
-    key = ["video_url", "timestamp_span", "trigger_word", "following_word"]
-    facts = table(spark, sf_dir, "mutations").select("mutation_id", *key, "is_code_switch").where("following_word is not null").groupBy(*key).agg(F.min_by(F.struct("mutation_id", "is_code_switch"), "mutation_id").alias("f")).select("following_word", "f.*")
-    words = langid.label_words(facts, model, table(spark, sf_dir, "known_words"), "following_word", "is_code_switch")
+    facts, words = _context_words(spark, sf_dir, word_model)
     contexts = facts.withColumn("w", F.lower(textform.consistent_form(F.col("following_word")))).join(words, "w")
     contexts = contexts.where("(lang = 'en' and not (is_code_switch <=> true)) or (lang = 'cy' and is_code_switch <=> true)").select(*unit("context", "mutation_id"))
     return documents.unionByName(segments).unionByName(contexts)
 
 
+def p5_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(unit, unit_id, part_no, lang, confidence) of every document with text, every non-blank line, every segment and every following word."""
+    model, word_model = _language_models(spark, sf_dir)
+    docs = langid.label_documents(table(spark, sf_dir, "documents"), model, "doc_id", "text", "lang")
+    parts = F.concat(F.array(F.struct(F.lit("document").alias("unit"), F.lit(0).cast("long").alias("part_no"), "lang", "confidence")), F.transform("lines", lambda x: F.struct(F.lit("line").alias("unit"), x["part_no"].alias("part_no"), x["lang"].alias("lang"), x["confidence"].alias("confidence"))))
+    documents = docs.select(F.col("doc_id").cast("long").alias("unit_id"), F.explode(parts).alias("p")).select("p.unit", "unit_id", "p.part_no", "p.lang", "p.confidence")
+    segments = table(spark, sf_dir, "segments").select(F.col("segment_id").alias("unit_id"), langid.identify(F.col("segment_text"), model).alias("p"))
+    facts, words = _context_words(spark, sf_dir, word_model)
+    contexts = facts.withColumn("w", F.lower(textform.consistent_form(F.col("following_word")))).join(words, "w").select(F.col("mutation_id").alias("unit_id"), F.struct("lang", "confidence").alias("p"))
+    flat = lambda df, name: df.select(F.lit(name).alias("unit"), F.col("unit_id").cast("long").alias("unit_id"), F.lit(0).cast("long").alias("part_no"), "p.lang", "p.confidence")
+    return documents.unionByName(flat(segments, "segment")).unionByName(flat(contexts, "context"))
+
+
+def p5_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word_id, lang, confidence) of every row of words: the language of its segment, or English for an English word in Welsh speech; null for a null word."""
+    model, word_model = _language_models(spark, sf_dir)
+    words = table(spark, sf_dir, "words").select("word_id", "video_url", "segment_start", "word", "language")
+    return langid.label_spoken(words, table(spark, sf_dir, "segments"), table(spark, sf_dir, "known_words"), model, word_model)
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", bpe.token_ids(F.col("text")).alias("ids"))
 

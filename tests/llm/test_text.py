@@ -255,3 +255,35 @@ def test_what_the_corpus_may_know_is_bounded_by_its_share(spark):
     counts = spark.createDataFrame([("rare", 0, 0, 50, 0, 0, 0, 0, 0), ("often", 0, 0, 20_000_000, 0, 0, 0, 0, 0)], "word string, " + ", ".join(f"{c} bigint" for c in sentences.COUNTS))
     assert sentences.learn(counts)[0] == {"often": sentences.NEVER}
     assert sentences.learn(counts.where("word = 'rare'"))[0] == {"rare": sentences.NEVER}
+
+
+# ------------------------------------------------------------ single words
+
+
+def test_the_sample_depends_on_the_rows_only(spark):
+    rows = [(i, "\n".join(LINES[lang]), lang) for i, lang in enumerate(list(LINES) * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = langid.sample_lines(df, "text", "lang", "doc_id", per_language=4)
+    assert want and langid.sample_lines(df.repartition(5).orderBy(F.rand(1)), "text", "lang", "doc_id", per_language=4) == want
+    some = langid.sample_lines(df, "text", "lang", "doc_id", per_language=1)
+    assert max(sum(x == lang for x, _ in some) for lang in LINES) <= 4
+
+
+def test_words_are_told_by_letters_marks_and_lists(spark, model):
+    known = spark.createDataFrame([("cy", x) for x in "cath ci dyn gwraig ysgol llyfr afon mynydd pêl gweld".split()] + [("en", x) for x in "house window garden street morning shout thing with look map".split()] + [("cy", "het"), ("en", "het"), ("en", None)], "lang string, word string")
+    said = [("cath", 0)] * 9 + [("house", 1)] * 6 + [("house", 0)] * 3 + [("garden", 1)] * 5 + [("map", 0)] * 9 + [("het", 1)] * 9 + [("laptop", 1)] * 4 + [("laptop", 0)] * 2 + [("cwmwl", 0)] * 4 + [(None, 1), ("cath", None)]
+    df = spark.createDataFrame(said, "word string, m int")
+    got = {r["w"]: r for r in langid.label_words(df, model, known, "word", "m").collect()}
+    assert {w: r["lang"] for w, r in got.items()} == {"cath": "cy", "house": "en", "garden": "en", "map": "cy", "het": "cy", "laptop": "en", "cwmwl": "cy"}  # map is marked Welsh throughout, het is both
+    assert all(0.5 <= r["confidence"] <= 1 for r in got.values())
+    assert langid.label_words(df.where("false"), model, known, "word", "m").count() == 0
+    assert langid.label_words(df, model, known.where("false"), "word").count() == 7
+
+
+def test_spoken_words_take_the_language_of_their_segment(spark, model):
+    known = spark.createDataFrame([("cy", "cath"), ("cy", "mae"), ("en", "the"), ("en", "window")], "lang string, word string")
+    segments = spark.createDataFrame([(1, "v", 0.0, LINES["cy"][0]), (2, "v", 5.0, LINES["fr"][0]), (3, "v", 5.0, LINES["en"][0])], "segment_id long, video_url string, segment_start double, segment_text string")
+    rows = [(1, "v", 0.0, "mae", "cy"), (2, "v", 0.0, "the", "en"), (3, "v", 5.0, "the", None), (4, "v", 9.0, "window", "nn"), (5, "v", 0.0, None, "cy"), (6, None, None, "cath", "cy")]
+    words = spark.createDataFrame(rows, "word_id long, video_url string, segment_start double, word string, language string")
+    got = {r["word_id"]: r["lang"] for r in langid.label_spoken(words, segments, known, model, model).collect()}
+    assert got == {1: "cy", 2: "en", 3: "fr", 4: "en", 5: None, 6: "cy"}
