@@ -43,7 +43,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _language_models(spark: SparkSession, sf_dir: str) -> tuple[langid.Model, langid.Model]:
     """Machines fitted on a bounded sample of labelled document lines and the word list; and those for single words, which must not have seen the list that they are weighed by."""
     sample = langid.sample_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "text", "lang", "doc_id")
-    return langid.fit(sample + langid.listed_words(table(spark, sf_dir, "known_words"))), langid.fit([x for x in sample if x[0] in ("cy", "en")])
+    return langid.fit(sample + langid.listed_words(table(spark, sf_dir, "known_words"))), langid.fit([x for x in sample if langid.FAMILY_OF[x[0]] in ("celtic", "germanic")])
 
 
 def _context_words(spark: SparkSession, sf_dir: str, model: langid.Model) -> tuple[DataFrame, DataFrame]:
