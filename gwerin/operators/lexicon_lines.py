@@ -18,11 +18,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gwerin.functions.batches import slices
+
 # The 17 universal tags.
 UD_TAGS = ["ADJ", "ADP", "ADV", "AUX", "CCONJ", "DET", "INTJ", "NOUN", "NUM", "PART", "PRON", "PROPN", "PUNCT", "SCONJ", "SYM", "VERB", "X"]
 MORPH = r"^(?:[\p{L}\p{N}]+=[\p{L}\p{N}]+(?:,[\p{L}\p{N}]+)*(?:\|[\p{L}\p{N}]+=[\p{L}\p{N}]+(?:,[\p{L}\p{N}]+)*)*)?$"
 FIELDS = 4
 CHUNK = 128
+SLICE_BYTES = 4 << 20
 # states: at a field's start, in a plain field, in a quoted one, behind a quote in a quoted one, wrong
 START, PLAIN, QUOTED, CLOSED, WRONG = range(5)
 # classes of characters
@@ -146,7 +149,8 @@ def parse_lines(df: DataFrame, line: str = "line") -> DataFrame:
 
     @F.arrow_udf("struct<wordform:string,lemma:string,tag:string,morph:string,reason:string,offset:bigint>")
     def parsed(lines: pa.Array) -> pa.Array:
-        return parse(lines)
+        parts = [parse(part) for part in slices(lines, SLICE_BYTES)]
+        return pa.concat_arrays(parts) if parts else parse(lines)
 
     return df.withColumn("_p", parsed.asNondeterministic()(F.col(line))).select(*df.columns, *[F.col(f"_p.{c}").alias(c) for c in names])
 
