@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gwerin import tables as T
+from gwerin.functions import text
+
 
 def lexicon(entries: DataFrame) -> DataFrame:
     """(wordform, n, lemma, tag, morph): one row per wordform; the lemma only if all entries agree on it, tag and morph only of a single entry."""
@@ -12,6 +15,12 @@ def lexicon(entries: DataFrame) -> DataFrame:
     return out.select("wordform", "n", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("lemma"), F.when(F.col("n") == 1, F.col("tag")).alias("tag"), F.when(F.col("n") == 1, F.col("morph")).alias("morph"))
 
 
+def resolved(lex: DataFrame) -> DataFrame:
+    """The lexicon with mutation_type, gender and number of wordforms of a single reading; a reading of both genders has none."""
+    of = lambda name, values: F.try_element_at(text.literal_map(values), F.regexp_extract(F.coalesce("morph", F.lit("")), rf"(?:^|\|){name}=([^|]*)", 1))
+    return lex.withColumns({"mutation_type": of("Mutation", T.LEXICON_TYPES), "gender": of("Gender", T.LEXICON_GENDERS), "number": of("Number", T.LEXICON_NUMBERS)})
+
+
 def look_up(words: DataFrame, col: str, lex: DataFrame) -> DataFrame:
     """The words with lemma and tag: by the word as it is, else with its first letter in upper case.
 

@@ -106,3 +106,36 @@ def positions(queue: DataFrame, key: str, order: list[str]) -> DataFrame:
     """``place`` and ``of``: each row's number among the rows of its key, from 1, and how many there are."""
     by = Window.partitionBy(key)
     return queue.withColumns({"place": F.row_number().over(by.orderBy(*order)), "of": F.count("*").over(by)})
+
+
+def numbers(spec: str) -> list[int]:
+    """Indices of '0 3 5-8': single ones and ranges, each once; what is neither is left out."""
+    out: set[int] = set()
+    for part in spec.replace(",", " ").split():
+        ends = part.split("-")
+        if all(x.isdigit() for x in ends) and len(ends) <= 2:
+            out.update(range(int(ends[0]), int(ends[-1]) + 1))
+    return sorted(out)
+
+
+def without_places(queue: DataFrame, spec: str, place: str = "place") -> DataFrame:
+    """The queue without the rows at the given places."""
+    return queue.where(~F.col(place).isin(numbers(spec))) if numbers(spec) else queue
+
+
+def of_sources(queue: DataFrame, sources: list[str], keep: bool) -> DataFrame:
+    """Only the rows of the sources (``keep``), or all but those; a null source is of none."""
+    mine = F.coalesce(F.col("source").isin(sources), F.lit(False))
+    return queue.where(mine if keep else ~mine)
+
+
+def add_absent(queue: DataFrame, more: DataFrame, key: str) -> DataFrame:
+    """The queue with those further rows whose key it lacks, one a key."""
+    new = more.dropDuplicates([key]).join(queue.select(key), key, "left_anti")
+    return queue.unionByName(new, allowMissingColumns=True)
+
+
+def breakdown(queue: DataFrame) -> DataFrame:
+    """(source, channel_register, n, level): counts by source and register, and by register."""
+    g = queue.groupingSets([["source", "channel_register"], ["channel_register"]], "source", "channel_register")
+    return g.agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level"))

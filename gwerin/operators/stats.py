@@ -148,3 +148,25 @@ def erosion_plain(facts: DataFrame, by: str, least: int = 0) -> DataFrame:
 def word_counters(words: DataFrame, key: str, word: Column, switched: Column) -> DataFrame:
     """(key, words, switched): words of each video and those of the other language."""
     return words.where(F.col(key).isNotNull() & (word != "")).groupBy(key).agg(F.count("*").alias("words"), F.sum(switched.cast("int")).cast("long").alias("switched"))
+
+
+def research_summary(facts: DataFrame) -> DataFrame:
+    """One row: contexts, evaluable contexts, erosions and rates, cases by status, and code switching over the words of all videos, or over contexts where no words are counted."""
+    v = videos(facts, ["video_word_count", "video_codeswitch_word_count"]).agg(F.coalesce(F.sum("video_word_count"), F.lit(0)).cast("long").alias("total_words"), F.coalesce(F.sum("video_codeswitch_word_count"), F.lit(0)).cast("long").alias("_switched"))
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    status = lambda s: n(F.col("status") == s)
+    out = facts.agg(
+        F.count("*").alias("total_analyzed_contexts"), n(F.col("is_code_switch")).alias("code_switch_cases_at_triggers"), n(evaluable()).alias("evaluable_non_code_switch_contexts"),
+        n(evaluable() & F.col("is_erosion")).alias("erosion_cases_all"), n(evaluable() & F.col("is_high_confidence_erosion")).alias("erosion_cases_high_confidence"),
+        status("correct_mutation").alias("correct_mutation_cases"), status("wrong_mutation_type").alias("wrong_mutation_type_cases"), status("phantom_mutation").alias("phantom_omission_cases"),
+        status("selective_invariancy").alias("selective_invariancy_cases"), F.count("collision_flag").alias("collision_flagged_cases"), status("erosion_unverified").alias("erosion_unverified_cases"),
+    )
+    out = out.withColumns({"total_words": v.select("total_words").scalar(), "_switched": v.select("_switched").scalar()})
+    rate = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6)).otherwise(0.0)
+    counted = F.col("total_words") > 0
+    return out.withColumns({
+        "code_switch_words_total": F.when(counted, F.col("_switched")).otherwise(F.col("code_switch_cases_at_triggers")),
+        "code_switch_rate": F.when(counted, rate("_switched", "total_words")).otherwise(rate("code_switch_cases_at_triggers", "total_analyzed_contexts")),
+        "code_switch_rate_denominator": F.when(counted, "total_words").otherwise("total_contexts (video_word_count unavailable)"),
+        "erosion_rate_all": rate("erosion_cases_all", "evaluable_non_code_switch_contexts"), "erosion_rate_high_confidence": rate("erosion_cases_high_confidence", "evaluable_non_code_switch_contexts"),
+    }).drop("_switched")

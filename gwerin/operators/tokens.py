@@ -89,3 +89,14 @@ def judge_segments(segments: DataFrame, keys: list[str], col: str, no_speech: st
     out = segments.join(counts, keys, "left")
     reason = drop_reason(n("n"), n("most"), n("odd"), F.col(no_speech) if no_speech else None, F.col(logprob) if logprob else None)
     return out.withColumn("drop", reason).drop("n", "most", "odd")
+
+
+def local_chunks(words: DataFrame, keys: list[str], word: str, single: DataFrame) -> DataFrame:
+    """(keys, chunk, words, resolved): whether the lexicon answers for a whole chunk, each word being of the other language or having a single reading.
+
+    ``words`` has keys and chunk, ``single`` the wordforms (n) of a single reading. A chunk
+    with one word more to ask goes to the tagger as a whole.
+    """
+    norm = text.normalize_word(F.col(word))
+    rows = words.withColumn("_n", norm).join(single.select(F.col("n").alias("_n"), F.lit(True).alias("_known")).distinct(), "_n", "left")
+    return rows.groupBy(*keys, "chunk").agg(F.count("*").alias("words"), F.bool_and(F.coalesce("_known", F.lit(False)) | text.is_english(F.col("_n"))).alias("resolved"))

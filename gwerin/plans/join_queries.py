@@ -52,8 +52,8 @@ def gaps_islands_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("video_url", "island").agg(F.count("*").alias("cues"), F.round(F.max("segment_end") - F.min("segment_start"), 3).alias("seconds"))
 
 
-ENTRIES = SQL["p7_found"].partition("SELECT line_no, reason FROM r WHERE")[0].replace("r AS (SELECT line_no, CASE", "r AS (SELECT line_no, f, CASE") + """, x AS (SELECT f[1] AS wordform, lower(f[2]) AS l, f[3] AS tag FROM r WHERE reason IS NULL),
-g AS (SELECT wordform, count(*) AS n, CASE WHEN min(l) = max(l) THEN min(l) END AS lemma, CASE WHEN count(*) = 1 THEN min(tag) END AS tag FROM x GROUP BY wordform)
+ENTRIES = SQL["p7_found"].partition("SELECT line_no, reason FROM r WHERE")[0].replace("r AS (SELECT line_no, CASE", "r AS (SELECT line_no, f, CASE") + """, x AS (SELECT f[1] AS wordform, lower(f[2]) AS l, f[3] AS tag, f[4] AS morph FROM r WHERE reason IS NULL),
+g AS (SELECT wordform, count(*) AS n, CASE WHEN min(l) = max(l) THEN min(l) END AS lemma, CASE WHEN count(*) = 1 THEN min(tag) END AS tag, CASE WHEN count(*) = 1 THEN min(morph) END AS morph FROM x GROUP BY wordform)
 """
 
 
@@ -74,14 +74,35 @@ def case_recovery_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.look_up(lex.select(F.lower("wordform").alias("w0")).distinct(), "w0", lex).select(F.col("w0").alias("w"), "form", "lemma", "tag")
 
 
-@query(f"""WITH w AS (SELECT DISTINCT {sql_norm('word')} AS n FROM words), c AS (SELECT lower(following_word) AS n, min(lemma) AS lemma FROM mutations WHERE lemma IS NOT NULL GROUP BY 1)
-SELECT n, CASE WHEN n IN ({listed(T.SUPPLETIVE)}) THEN n WHEN n IN ({listed(ENGLISH)}) THEN NULL ELSE coalesce(c.lemma, n) END AS lemma FROM w LEFT JOIN c USING (n) WHERE n <> ''""")
+def _feature(name: str, values: dict[str, str]) -> str:
+    return case(values, f"regexp_extract(coalesce(morph, ''), '(?:^|\\|){name}=([^|]*)', 1)")
+
+
+@query(ENTRIES + f"SELECT wordform, {_feature('Mutation', T.LEXICON_TYPES)} AS mutation_type, {_feature('Gender', T.LEXICON_GENDERS)} AS gender, {_feature('Number', T.LEXICON_NUMBERS)} AS number FROM g WHERE n = 1")
+def lexicon_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the lexicon says in the tagger's stead of wordforms with a single reading."""
+    return joins.resolved(entries(spark, sf_dir)).where("n = 1").select("wordform", "mutation_type", "gender", "number")
+
+
+@query(ENTRIES + f""", w AS (SELECT DISTINCT {sql_norm('word')} AS n FROM words), c AS (SELECT lower(following_word) AS n, min(lemma) AS lemma FROM mutations WHERE lemma IS NOT NULL GROUP BY 1)
+SELECT w.n, CASE WHEN w.n IN ({listed(T.SUPPLETIVE)}) THEN w.n WHEN w.n IN ({listed(ENGLISH)}) THEN NULL ELSE coalesce(c.lemma, CASE WHEN a.wordform IS NOT NULL THEN a.lemma ELSE b.lemma END, w.n) END AS lemma
+FROM w LEFT JOIN c ON c.n = w.n LEFT JOIN g a ON a.wordform = w.n LEFT JOIN g b ON b.wordform = upper(w.n[1]) || w.n[2:] WHERE w.n <> ''""")
 def lemma_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First answer of: suppletive list, none for English, earlier lemmas, the word itself."""
-    known = table(spark, sf_dir, "mutations").where("lemma is not null").groupBy(F.lower("following_word").alias("n")).agg(F.min("lemma").alias("lemma"))
+    """First answer of: suppletive list, none for English, earlier lemmas, the lexicon if its readings agree, the word itself."""
+    known = table(spark, sf_dir, "mutations").where("lemma is not null").groupBy(F.lower("following_word").alias("n")).agg(F.min("lemma").alias("known"))
     words = table(spark, sf_dir, "words").select(text.normalize_word(F.col("word")).alias("n")).where("n <> ''").distinct()
-    lemma = F.when(F.col("n").isin(T.SUPPLETIVE), F.col("n")).when(text.is_english(F.col("n")), None).otherwise(F.coalesce("lemma", "n"))
-    return words.join(known, "n", "left").select("n", lemma.alias("lemma"))
+    asked = joins.look_up(words, "n", entries(spark, sf_dir)).select("n", F.col("lemma").alias("listed"))
+    lemma = F.when(F.col("n").isin(T.SUPPLETIVE), F.col("n")).when(text.is_english(F.col("n")), None).otherwise(F.coalesce("known", "listed", "n"))
+    return asked.join(known, "n", "left").select("n", lemma.alias("lemma"))
+
+
+@query(ENTRIES + ", pk AS (" + SQL["greedy_chunk_budget"] + f"), t AS (SELECT segment_id, unnest(range(len(a)))::INT AS pos, unnest(a) AS raw FROM (SELECT segment_id, string_split_regex(trim(coalesce(segment_text, ''), chr(32) || chr(10) || chr(9) || chr(13)), '[ \\n\\t\\r]+') AS a FROM segments)), u AS (SELECT pk.segment_id, chunk, {sql_norm('raw')} AS w FROM pk JOIN t ON t.segment_id = pk.segment_id AND t.pos = pk.pos) SELECT segment_id, chunk, count(*) AS words, bool_and(w IN ({listed(ENGLISH)}) OR w IN (SELECT wordform FROM g WHERE n = 1)) AS resolved FROM u GROUP BY ALL")
+def chunk_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of each segment, and whether the lexicon answers for all words of it."""
+    said = lines(spark, sf_dir)
+    packed = tokens.pack(said, ["segment_id"], "pos", "word", budget=30)
+    words = said.join(packed, ["segment_id", "pos"])
+    return tokens.local_chunks(words, ["segment_id"], "word", entries(spark, sf_dir).where("n = 1").select(F.col("wordform").alias("n")))
 
 
 @query(BASE + f""", a AS (SELECT mutation_id, video_url, lower(following_word) AS n, try_cast(regexp_extract(timestamp_span, '-\\s*([\\d.]+)s', 1) AS DOUBLE) AS t1 FROM f),

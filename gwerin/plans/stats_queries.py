@@ -183,3 +183,12 @@ def erosion_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(BASE + "SELECT channel_register, count(*) AS n, sum(coalesce(is_erosion, false)::INT)::BIGINT AS erosion, round(sum(coalesce(is_erosion, false)::INT) / count(*), 6) AS erosion_rate FROM f WHERE NOT cs AND ev GROUP BY 1")
 def erosion_by_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.erosion_plain(facts(spark, sf_dir, "channel_register", "status", "is_erosion", "is_code_switch"), "channel_register")
+
+
+@query(VIDEO + """, t AS (SELECT coalesce(sum(video_word_count), 0)::BIGINT AS w, coalesce(sum(video_codeswitch_word_count), 0)::BIGINT AS s FROM v),
+a AS (SELECT count(*) AS total_analyzed_contexts, sum(cs::INT)::BIGINT AS code_switch_cases_at_triggers, sum(ev::INT)::BIGINT AS evaluable_non_code_switch_contexts, sum((ev AND is_erosion)::INT)::BIGINT AS erosion_cases_all, sum((ev AND is_high_confidence_erosion)::INT)::BIGINT AS erosion_cases_high_confidence,
+""" + ", ".join(f"sum((status = '{s}')::INT)::BIGINT AS {n}" for s, n in (("correct_mutation", "correct_mutation_cases"), ("wrong_mutation_type", "wrong_mutation_type_cases"), ("phantom_mutation", "phantom_omission_cases"), ("selective_invariancy", "selective_invariancy_cases"), ("erosion_unverified", "erosion_unverified_cases"))) + """, count(collision_flag) AS collision_flagged_cases FROM f)
+SELECT a.*, t.w AS total_words, CASE WHEN t.w > 0 THEN t.s ELSE code_switch_cases_at_triggers END AS code_switch_words_total, round(CASE WHEN t.w > 0 THEN t.s / t.w ELSE code_switch_cases_at_triggers / total_analyzed_contexts END, 6) AS code_switch_rate,
+CASE WHEN t.w > 0 THEN 'total_words' ELSE 'total_contexts (video_word_count unavailable)' END AS code_switch_rate_denominator, round(erosion_cases_all / evaluable_non_code_switch_contexts, 6) AS erosion_rate_all, round(erosion_cases_high_confidence / evaluable_non_code_switch_contexts, 6) AS erosion_rate_high_confidence FROM a, t""")
+def research_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.research_summary(facts(spark, sf_dir, "status", "is_erosion", "is_high_confidence_erosion", "is_code_switch", "collision_flag", "video_word_count", "video_codeswitch_word_count"))

@@ -51,3 +51,25 @@ def read_state(path: str, empty: object) -> object:
     except (OSError, ValueError):
         return empty
     return state if isinstance(state, type(empty)) else empty
+
+
+def write_outputs(frames: dict[str, DataFrame], path: str) -> list[str]:
+    """Each frame that has rows as CSV below the folder; the names written."""
+    done = []
+    for name, df in frames.items():
+        if not df.isEmpty():
+            write_csv(df, f"{path}/{name}")
+            done.append(name)
+    return done
+
+
+def write_version(df: DataFrame, path: str) -> int:
+    """The frame as the next version of a table, v=1, v=2, ...; earlier ones stay as they are, the first being the backup. Its number is returned."""
+    spark = df.sparkSession
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = files.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    number = max([int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit()], default=0) + 1
+    df.write.parquet(f"{path}/v={number}")
+    return number

@@ -47,3 +47,7 @@ VOCATIVE_DEPS = ["vocative"]
 PHANTOM_TAGS = ["NF", "NM", "VBF", "VB", "VB+NM", "NM+VBF", "PLACE", "PERSON"]
 # letters and the combining marks that they are composed with
 MARKED = {"\u0300": "aàeèiìoòuù", "\u0301": "aáeéiíoóuú", "\u0302": "aâeêiîoôuûwŵyŷ", "\u0308": "aäeëiïoöuü", "\u0303": "aãnñoõ", "\u0327": "cç", "\u030a": "aå"}
+LEXICON_TYPES = {"SM": "soft", "NM": "nasal", "AM": "aspirate", "HM": "h-mutation"}
+LEXICON_GENDERS = {"Masc": "masculine", "Fem": "feminine"}
+LEXICON_NUMBERS = {"Sing": "singular", "Plur": "plural"}
+COLLISIONS = {"chi": "Pronoun 'chi' (you) collides with aspirate-mutated 'ci' (dog -> chi)."}

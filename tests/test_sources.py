@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gwerin.sources import readers, sinks
+from gwerin.operators import review
 from gwerin.streaming import incremental
 
 
@@ -84,3 +85,19 @@ def test_incremental_run_sees_each_file_once(spark, sf, tmp_path):
     assert facts() == whole and whole != first
     incremental.stream_facts(stream(), out, state).awaitTermination()
     assert facts() == whole
+
+
+def test_versions_and_outputs(spark, tmp_path):
+    df = spark.createDataFrame([(1,)], "a int")
+    assert [sinks.write_version(df, str(tmp_path / "t")) for _ in range(3)] == [1, 2, 3]
+    assert spark.read.parquet(str(tmp_path / "t")).groupBy("v").count().count() == 3
+    assert sinks.write_outputs({"some": df, "none": df.where("false")}, str(tmp_path / "o")) == ["some"]
+
+
+def test_queue(spark):
+    q = spark.createDataFrame([("a", "s", "r", 0), ("b", None, "r", 1), ("c", "t", None, 2)], "id string, source string, channel_register string, place int")
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    assert review.numbers("0 3 5-8, x 1-2-3 -4") == [0, 3, 5, 6, 7, 8] and ids(review.without_places(q, "0 2")) == ["b"] and ids(review.without_places(q, "")) == ["a", "b", "c"]
+    assert ids(review.of_sources(q, ["s"], True)) == ["a"] and ids(review.of_sources(q, ["s"], False)) == ["b", "c"]
+    assert ids(review.add_absent(q, spark.createDataFrame([("c",), ("d",), ("d",)], "id string"), "id")) == ["a", "b", "c", "d"]
+    assert sorted((r["level"], r["channel_register"] or "", r["n"]) for r in review.breakdown(q).collect()) == [(0, "", 1), (0, "r", 1), (0, "r", 1), (2, "", 1), (2, "r", 2)]
