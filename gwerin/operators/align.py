@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gwerin.functions import text
 from gwerin.operators.carry import last_before
 from gwerin.operators.joins import tolerance_join
-from gwerin.session import checkpoint
+from gwerin.session import written
 
 BLOCK = 480.0  # seconds of a video that are aligned at a time
 MARGIN = 120.0  # seconds on either side that are aligned along with them, and left to the neighbours
@@ -100,7 +100,7 @@ def align_streams(words: DataFrame, cues: DataFrame) -> DataFrame:
     sides = [_windows(_numbered(s)) for s in (words, cues)]
     left = sides[0].select("video_url", "block", "core", "rank", "id", "word", "t")
     right = sides[1].select("video_url", "block", "core", "rank", "word", "t")
-    pieces = checkpoint(left.groupBy("video_url", "block").cogroup(right.groupBy("video_url", "block")).applyInPandas(_one, PIECES))  # read twice
+    pieces = written(left.groupBy("video_url", "block").cogroup(right.groupBy("video_url", "block")).applyInPandas(_one, PIECES))  # read twice
     return _whole_runs(pieces).select("video_url", "block", "w_idx", "word_id", "word", "caption_word", "tag", "timing_ok", "run_len")
 
 

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from gwerin import tables as T
 from gwerin.functions import text
+from gwerin.session import sent
 
 AHEAD = 3
 GATE = 0.65
 HIGH = 0.85
+LEMMAS = 200_000  # known lemmas up to which they are sent to the words; beyond, both are shuffled
 BUCKET = 300.0  # seconds of a video whose words are looked through at a time
 TAGS = ["word", "confidence", "cysill_pos", "spacy_pos", "spacy_dep", "spacy_mutation", "gender"]
 # what a parser or tagger may say besides; layers that need it are silent where a table lacks it
@@ -39,15 +41,18 @@ def enrich(words: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
     the table lacks are null.
     """
     kept = [c for c in MORE if c in words.columns]
-    w = words.where("video_url is not null and segment_start is not null").groupBy("video_url", "segment_start", "word_start", "word_end").agg(F.min_by(F.struct("word_id", *TAGS, *kept), "word_id").alias("r")).select("video_url", "segment_start", "word_start", "word_end", "r.*")
+    rows = words.where("video_url is not null and segment_start is not null").select("video_url", "segment_start", "word_start", "word_end", "word_id", *TAGS, *kept)
+    # one exchange for deliveries, order and neighbours: a bucket of a video holds whole segments
+    rows = rows.withColumn("_b", F.floor(F.col("segment_start") / BUCKET)).repartition("video_url", "_b")
+    w = rows.groupBy("video_url", "_b", "segment_start", "word_start", "word_end").agg(F.min_by(F.struct("word_id", *TAGS, *kept), "word_id").alias("r")).select("video_url", "_b", "segment_start", "word_start", "word_end", "r.*")
     w = w.withColumn("w", text.normalize_word(F.col("word"))).where(F.length("w") >= 2)
     w = w.withColumns({c: F.lit(None).cast("string") for c in MORE if c not in kept})
     if lemmas is None:
         w = w.withColumns({"lemma": F.lit(None).cast("string"), "genuine": F.lit(None).cast("boolean")})
     else:
-        w = w.join(lemmas, w["w"] == lemmas["n"], "left").drop("n")
+        w = w.join(sent(lemmas, LEMMAS), w["w"] == lemmas["n"], "left").drop("n")
     w = w.withColumn("lemma", F.when(F.col("w").isin(T.SUPPLETIVE), F.col("w")).when(~text.is_english(F.col("w")), F.nullif(text.normalize_word(F.col("lemma")), F.lit(""))))
-    by = Window.partitionBy("video_url", "segment_start").orderBy("word_start", "word_id")
+    by = Window.partitionBy("video_url", "_b", "segment_start").orderBy("word_start", "word_id")
     return w.withColumn("i", F.row_number().over(by) - 1)
 
 
@@ -56,7 +61,8 @@ def with_next(words: DataFrame, steps: int) -> DataFrame:
 
     Words lie in buckets of ``BUCKET`` seconds; a bucket gets the first words of those after it.
     """
-    words = words.withColumn("_b", F.floor(F.col("segment_start") / BUCKET))
+    if "_b" not in words.columns:
+        words = words.withColumn("_b", F.floor(F.col("segment_start") / BUCKET))
     bucket = Window.partitionBy("video_url", "_b")
     by = bucket.orderBy("segment_start", "i")
     here = words.withColumns({f"_lead{k}": F.lead("me", k).over(by) for k in range(1, steps + 1)} | {"_at": F.row_number().over(by)}).withColumn("_left", F.count("*").over(bucket) - F.col("_at"))
