@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gwerin import tables as T
 from gwerin.functions import text
-from gwerin.session import sent
+from gwerin.session import sent, written
 
 AHEAD = 3
 GATE = 0.65
@@ -340,17 +340,18 @@ def scan(words: DataFrame) -> DataFrame:
     words to skip at its beginning to words to skip behind it; the maps are composed over
     the buckets, so no video is walked in one task.
     """
-    rows = candidates(words)
-    packed = rows.groupBy("video_url", "_b").agg(F.array_sort(F.collect_list(F.struct("_at", "step", "segment_start", "i", "word_start", "hit"))).alias("l"))
-    packed = packed.select("video_url", "_b", "l", F.transform("l", lambda x: x["step"]).alias("steps"))
-    entries = _entries(packed.select("video_url", "_b", _ways(F.col("steps")).alias("way")))
-    marked = packed.join(entries, ["video_url", "_b"]).select("video_url", F.explode(F.arrays_zip("l", _stops(F.col("steps"), F.col("skip")).alias("stop"))).alias("x"))
-    return marked.where("x.stop").select("video_url", "x.l.segment_start", "x.l.i", "x.l.word_start", "x.l.hit")
+    rows = written(candidates(words).select("video_url", "_b", "_at", "segment_start", "i", "word_start", "hit", "step"))  # most hits are null; read twice
+    steps = rows.groupBy("video_url", "_b").agg(F.array_sort(F.collect_list(F.struct("_at", "step"))).alias("l"))  # the words of ``BUCKET`` seconds
+    steps = written(steps.select("video_url", "_b", F.transform("l", lambda x: x["step"]).alias("steps")))
+    entries = _entries(steps.select("video_url", "_b", _ways(F.col("steps")).alias("way")))
+    stops = steps.join(entries, ["video_url", "_b"]).select("video_url", "_b", F.posexplode(_stops(F.col("steps"), F.col("skip"))).alias("p", "stop"))
+    stops = stops.where("stop").select("video_url", "_b", (F.col("p") + 1).alias("_at"))
+    return rows.join(stops, ["video_url", "_b", "_at"]).select("video_url", "segment_start", "i", "word_start", "hit")
 
 
 def scan_facts(words: DataFrame) -> DataFrame:
     """The facts of the whole engine: those of the words at which the scan stops."""
-    return evaluate(scan(words))
+    return evaluate(scan(words).where("hit is not null"))
 
 
 def confidence(df: DataFrame) -> DataFrame:
