@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from gwerin.operators.assignment import assign
 from gwerin.operators.carry import last_before, sum_before
-from gwerin.session import checkpoint, sent
+from gwerin.session import sent, written
 
 SKETCH = 6  # log2 of the entries of a sketch of a field's values: bounded, and merged in the map
 FEW = 50_000  # fields that went or came up to which their list is sent to the values; beyond, values are shuffled to it
@@ -122,7 +122,7 @@ def _moved(long: DataFrame, diff: DataFrame) -> DataFrame:
         new.select("series", "file_name", F.col("file_name").alias("now"), F.col("new_name").alias("field"), F.lit(False).alias("old"))
     )
     h = [F.xxhash64("value", F.lit(seed)).alias(name) for seed, name in ((1, "a"), (2, "b"))]
-    values = checkpoint(long.where("value is not null").join(sent(asked, FEW), ["series", "file_name", "field"]).select("now", "old", "field", "fact", *h))  # read for facts and for sketches
+    values = written(long.where("value is not null").join(sent(asked, FEW), ["series", "file_name", "field"]).select("now", "old", "field", "fact", *h))  # read for facts and for sketches
     cells = values.repartition("now", "fact").groupBy("now", "fact", "old", "field").agg(*[f(c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in "ab"])
     marks = ["lo_a", "lo_b", "hi_a", "hi_b"]
     side = lambda is_old, name, tail: cells.where(F.col("old") == is_old).select("now", "fact", F.col("field").alias(name), *[F.col(c).alias(c + tail) for c in marks])
@@ -137,7 +137,7 @@ def _moved(long: DataFrame, diff: DataFrame) -> DataFrame:
     pairs = pairs.join(old_k, ["file_name", "old_name"], "left").join(new_k, ["file_name", "new_name"], "left")
     shared = F.coalesce(F.theta_sketch_estimate(F.theta_intersection("k1", "k2")) / F.greatest(F.lit(1), F.theta_sketch_estimate(F.theta_union("k1", "k2"))), F.lit(0.0))
     scored = pairs.select("file_name", F.struct("old_name", "new_name", (1 + zero("both") + F.col("alike") + shared).cast("double").alias("score")).alias("p"))
-    renamed = checkpoint(scored.groupBy("file_name").agg(F.collect_list("p").alias("c")).select("file_name", F.explode(_pairs(F.col("c"))).alias("p")).select("file_name", "p.*"))  # read three times
+    renamed = written(scored.groupBy("file_name").agg(F.collect_list("p").alias("c")).select("file_name", F.explode(_pairs(F.col("c"))).alias("p")).select("file_name", "p.*"))  # read three times
     left = gone.join(renamed, ["file_name", "old_name"], "left_anti").select("file_name", F.lit("removed").alias("change"), "old_name", F.lit("").alias("new_name"))
     came = new.join(renamed, ["file_name", "new_name"], "left_anti").select("file_name", F.lit("added").alias("change"), F.lit("").alias("old_name"), "new_name")
     return renamed.select("file_name", F.lit("renamed").alias("change"), "old_name", "new_name").unionByName(left).unionByName(came)
@@ -146,12 +146,12 @@ def _moved(long: DataFrame, diff: DataFrame) -> DataFrame:
 def _changes(long: DataFrame, prof: DataFrame) -> DataFrame:
     files = prof.select("series", "file_name", "stamp", "day").distinct().withColumn("me", F.struct("file_name"))
     files = last_before(files, ["series"], "day", ["stamp", "file_name"], "me", "before").select("series", "file_name", F.col("before.file_name").alias("before"))
-    pairs = checkpoint(files.where("before is not null"))
+    pairs = written(files.where("before is not null"))
 
     then = prof.join(pairs.select("series", F.col("before").alias("file_name"), F.col("file_name").alias("now")), ["series", "file_name"]).select("series", "now", F.col("file_name").alias("before"), F.col("field").alias("f"))
     now = prof.join(pairs, ["series", "file_name"]).select(F.col("series").alias("s2"), F.col("file_name").alias("n2"), F.col("before").alias("b2"), F.col("field").alias("f2"))
     both = then.join(now, (F.col("series") == F.col("s2")) & (F.col("now") == F.col("n2")) & (F.col("f") == F.col("f2")), "full_outer")
-    diff = checkpoint(both.where("f is null or f2 is null").select(F.coalesce("series", "s2").alias("series"), F.coalesce("now", "n2").alias("file_name"), F.coalesce("before", "b2").alias("before"), F.col("f").alias("old_name"), F.col("f2").alias("new_name")))
+    diff = written(both.where("f is null or f2 is null").select(F.coalesce("series", "s2").alias("series"), F.coalesce("now", "n2").alias("file_name"), F.coalesce("before", "b2").alias("before"), F.col("f").alias("old_name"), F.col("f2").alias("new_name")))
 
     kinds = last_before(prof.select("series", "field", "day", "stamp", "file_name", "kind"), ["series", "field"], "day", ["stamp", "file_name"], "kind", "had")
     stayed = kinds.where("kind <> had").join(pairs, ["series", "file_name"]).join(prof.select("series", F.col("file_name").alias("before"), "field"), ["series", "before", "field"], "left_semi")
@@ -165,9 +165,9 @@ def changes(records: DataFrame) -> DataFrame:
     holds the candidate pairs of a file's fields; values are compared only for fields that
     went or came.
     """
-    once = checkpoint(delivered(records))  # read for the profiles and again for values
+    once = written(delivered(records))  # read for the profiles and again for values
     long = fields(once)
-    return _changes(long, checkpoint(profile(long)))
+    return _changes(long, written(profile(long)))
 
 
 def identities(usage: DataFrame, report: DataFrame) -> DataFrame:
@@ -184,18 +184,19 @@ def identities(usage: DataFrame, report: DataFrame) -> DataFrame:
     null = F.lit(None).cast("string")
     events = event(renamed, "old_name", 1, "out", null).unionByName(event(renamed, "new_name", 2, "in", F.col("old_name"))).unionByName(event(added, "new_name", 2, "added", null))
     asks = renamed.select(*at, F.col("old_name").alias("name"), F.lit(0).alias("side"), none.alias("e")).unionByName(usage.select(*at, F.col("field").alias("name"), F.lit(3).alias("side"), none.alias("e")))
-    line = last_before(events.unionByName(asks), ["series", "name"], "day", ["stamp", "file_name", "side"], "e", "last")
+    # each step is written, as the next reads it twice
+    line = last_before(written(events.unionByName(asks)), ["series", "name"], "day", ["stamp", "file_name", "side"], "e", "last")
     line = line.withColumn("reborn", ((F.col("e.what") == "added") & F.coalesce(F.col("last.what") == "out", F.lit(False))).cast("long")).withColumn("came", F.when(F.col("e.what") != "out", F.col("e"))).drop("last")
-    line = last_before(line, ["series", "name"], "day", ["stamp", "file_name", "side"], "came", "from")
-    line = sum_before(line, ["series", "name"], "day", ["stamp", "file_name", "side"], "reborn", "births").where("side in (0, 3)")
+    line = last_before(written(line), ["series", "name"], "day", ["stamp", "file_name", "side"], "came", "from")
+    line = sum_before(written(line), ["series", "name"], "day", ["stamp", "file_name", "side"], "reborn", "births").where("side in (0, 3)")
     label = F.when(F.col("births") > 0, F.concat("name", F.lit("#"), F.col("births") + 1)).otherwise(F.col("name"))
-    line = checkpoint(line.select("series", "file_name", "name", "side", label.alias("label"), F.when(F.col("from.what") == "in", F.struct(F.col("from.file_name").alias("file_name"), F.col("from.old_name").alias("name"))).alias("parent")))
+    line = written(line.select("series", "file_name", "name", "side", label.alias("label"), F.when(F.col("from.what") == "in", F.struct(F.col("from.file_name").alias("file_name"), F.col("from.old_name").alias("name"))).alias("parent")))
 
     # each rename points to the one that gave its old name; pointers are doubled until all reach the start
     links = line.where("side = 0").drop("side")
     while links.where("parent is not null").limit(1).count():
         above = links.select("series", F.struct("file_name", "name").alias("parent"), F.col("label").alias("label2"), F.col("parent").alias("parent2"))
-        links = checkpoint(links.join(above, ["series", "parent"], "left").select("series", "file_name", "name", F.coalesce("label2", "label").alias("label"), F.col("parent2").alias("parent")))
+        links = written(links.join(above, ["series", "parent"], "left").select("series", "file_name", "name", F.coalesce("label2", "label").alias("label"), F.col("parent2").alias("parent")))
     root = links.select("series", F.struct("file_name", "name").alias("parent"), F.col("label").alias("root"))
     return line.where("side = 3").join(root, ["series", "parent"], "left").select("series", "file_name", F.col("name").alias("field"), F.coalesce("root", "label").alias("label"))
 
@@ -263,13 +264,13 @@ def unify(records: DataFrame, report: DataFrame | None = None) -> DataFrame:
     clash with another one, case ignored, gets underscores at its end. The list of
     columns, as of any table, is on the driver.
     """
-    once = checkpoint(delivered(records))
+    once = written(delivered(records))
     long = fields(once)
-    prof = checkpoint(profile(long))
-    report = _changes(long, prof) if report is None else report
+    prof = written(profile(long))
+    report = written(_changes(long, prof)) if report is None else report
     files = prof.select("series", "file_name").distinct()
     usage = prof.select("series", "file_name", "stamp", "day", "field")
-    used = checkpoint(identities(usage, report.join(files, "file_name").select("series", "file_name", *_stamp("file_name"), "change", "old_name", "new_name")))
+    used = written(identities(usage, report.join(files, "file_name").select("series", "file_name", *_stamp("file_name"), "change", "old_name", "new_name")))
     common = common_names(used)
 
     counts: dict[str, dict[str, int]] = {}
