@@ -164,10 +164,8 @@ class Words:
         self.line_end = np.flatnonzero(~brk & np.r_[brk[1:], True]) + 1
         self.line_of = np.cumsum(np.bincount(self.line_start, minlength=n)[:n]) - 1  # holds within lines
         lines = len(self.line_start)
-        count = lambda flag: np.bincount(self.line_of[((f & flag) > 0) & ~brk], minlength=lines)
-        self.letters, self.mixed = count(IS_LETTER), count(IS_UPPER) > 0
-        self.thai, self.greek = count(IS_THAI) * 2 > self.letters, count(IS_GREEK) * 2 > self.letters
-        self.line_flags = count
+        self.letters, self.mixed = self.line_flags(IS_LETTER), self.line_flags(IS_UPPER) > 0
+        self.thai, self.greek = self.line_flags(IS_THAI) * 2 > self.letters, self.line_flags(IS_GREEK) * 2 > self.letters
         # next character that is no space; one that is no space or closing mark: both stop at a line's end
         position = np.arange(n)
         space = ((f & IS_SPACE) > 0) & ~brk
@@ -219,6 +217,10 @@ class Words:
             clean & capital & inside, clean & capital & opens, clean & small & mixed,
         ]).astype(np.int64)
 
+    def line_flags(self, flag: int) -> np.ndarray:
+        """Characters of a class in each line."""
+        return np.bincount(self.line_of[((self.flags & flag) > 0) & ((self.flags & IS_BREAK) == 0)], minlength=len(self.line_start))
+
     def by_text(self) -> np.ndarray:
         """Number of each (text, word) among those of the batch."""
         text = np.searchsorted(self.offset, self.start, "right")

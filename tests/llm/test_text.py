@@ -1,5 +1,6 @@
 """Character form, language, tokens, sentences: edge cases and brute force."""
 
+import gc
 import random
 import unicodedata
 
@@ -241,6 +242,20 @@ def test_plain_lines_and_lines_walked_by_themselves_agree():
     assert [p for some in one for p in some] == list(zip(got[0].tolist(), got[1].tolist())) and [len(x) for x in one] == got[2].tolist()
 
 
+def test_the_arrays_of_a_slice_go_with_it(monkeypatch):
+    """A cycle would keep them until the collector runs, which array work seldom makes it do: by then a task had all of its slices."""
+    monkeypatch.setattr(sentences, "SLICE_BYTES", 40)
+    texts = pa.array(["Mae Mr. Huws yma. “Do.” Aeth hi.", "Roedd e.e. dau (2.5 km). Do.", None, ""] * 5)
+    gc.collect()
+    gc.disable()
+    try:
+        assert sum(b.num_rows for b in sentences._counts([pa.RecordBatch.from_arrays([texts], names=["text"])])) > 10
+        assert len(sentences.Segmenter().split_all(texts.fill_null("").to_pylist())[0]) > 10
+        assert not any(isinstance(x, sentences.Words) for x in gc.get_objects())
+    finally:
+        gc.enable()
+
+
 def test_corpus_teaches_abbreviations_and_names(spark):
     docs = [(i, f"Mae Cyfarwyddg. Huws yma.\nAeth pawb adref.\nRoedd Cyfarwyddg. Elen {i} yno. Cyfarwyddg. y dydd yno.") for i in range(20)] + [(90, None), (91, ""), (None, docs_end := "Aeth Cyfarwyddg. Huws. Do."), (None, docs_end)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
